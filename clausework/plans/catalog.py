@@ -5,11 +5,396 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clausework.functions import dims, scores, text
+from clausework.operators import classify as cl
+from clausework.operators import dependency as dep
+from clausework.operators import knowledge as kg
+from clausework.operators import portfolio as pf
+from clausework.operators import risk
+from clausework.operators import search as se
+from clausework.plans import inputs
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+A, B = 1, 3  # the two contracts that are compared
+D = dims.DIMENSIONS
+
+
+def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- risk
+
+_W = f"clauses AS ({inputs.CLAUSES}), contracts AS ({inputs.CONTRACTS})"
+_MUTUAL = "regexp_matches(lower(c.text), '" + "|".join(dims.MUTUAL_WORDING) + "')"
+_FOUND = f"""{_W}, found AS (
+  SELECT c.contract_id, 'present' AS kind, c.label, CASE WHEN c.label = 'Uncapped Liability' AND {_MUTUAL} THEN 'INFO' WHEN c.label = 'Liquidated Damages' AND {_MUTUAL} THEN 'MEDIUM' ELSE r.severity END AS severity, c.confidence
+  FROM clauses c JOIN {D["dim_risk_rule"]} r ON c.label = r.label
+  UNION ALL
+  SELECT k.contract_id, 'missing', m.label, m.severity, 1.0 FROM contracts k CROSS JOIN {D["dim_missing_rule"]} m
+  WHERE NOT EXISTS (SELECT 1 FROM clauses c WHERE c.contract_id = k.contract_id AND c.label = m.label))"""
+_SCORE = f"""{_FOUND}, total AS (
+  SELECT contract_id, CAST(sum(CAST(w.weight AS DECIMAL(4,0)) * CAST(CASE WHEN kind = 'missing' THEN 0.75 ELSE confidence END AS DECIMAL(9,6))) AS DOUBLE) AS t
+  FROM found JOIN {D["dim_severity"]} w ON found.severity = w.severity GROUP BY contract_id),
+scored AS (SELECT k.contract_id, CAST(least(100, trunc(coalesce(t, 0) / CAST(150 AS DOUBLE) * 100)) AS INTEGER) AS score FROM contracts k LEFT JOIN total USING (contract_id)),
+scores AS (SELECT contract_id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM scored)"""
+
+
+def _found(s: SparkSession, d: str) -> DataFrame:
+    return risk.findings(inputs.clauses(s, d), inputs.contracts(s, d))
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    return risk.risk_scores(_found(s, d), inputs.contracts(s, d))
+
+
+add("contract_risk_score", f"WITH {_SCORE} SELECT * FROM scores")(_scores)
+add("risk_findings", f"""WITH {_FOUND} SELECT contract_id, kind, label, severity, confidence,
+  (CASE kind WHEN 'missing' THEN 'MISSING: no clause on ' ELSE 'Clause on ' END) || label || ', rated ' || severity AS reason FROM found""")(
+    lambda s, d: _found(s, d).select("contract_id", "kind", "label", "severity", "confidence", "reason"))
+add("missing_protections", f"WITH {_FOUND} SELECT contract_id, label, severity FROM found WHERE kind = 'missing'")(
+    lambda s, d: risk.missing_findings(inputs.clauses(s, d), inputs.contracts(s, d)).select("contract_id", "label", "severity"))
+add("severe_findings", f"WITH {_FOUND} SELECT contract_id, kind, label, severity FROM found WHERE severity IN ('CRITICAL', 'HIGH')")(
+    lambda s, d: _found(s, d).where(F.col("severity").isin("CRITICAL", "HIGH")).select("contract_id", "kind", "label", "severity"))
+_PARTS = """count(*) FILTER (kind = 'present' AND severity = 'CRITICAL') AS c, count(*) FILTER (kind = 'present' AND severity = 'HIGH') AS h, count(*) FILTER (kind = 'missing' AND severity IN ('CRITICAL', 'HIGH')) AS m"""
+add("risk_summary_text", f"""WITH {_FOUND}, n AS (SELECT contract_id, {_PARTS} FROM found GROUP BY contract_id)
+SELECT contract_id, concat_ws(' | ', CASE WHEN c > 0 THEN c || ' CRITICAL' END, CASE WHEN h > 0 THEN h || ' HIGH' END, CASE WHEN m > 0 THEN m || ' missing' END) AS summary FROM n""")(
+    lambda s, d: risk.summary_text(_found(s, d)))
+add("contract_summary", f"""WITH {_FOUND} SELECT contract_id, count(*) FILTER (kind = 'present') AS labels_found, count(*) FILTER (kind = 'present' AND severity = 'CRITICAL') AS critical,
+  count(*) FILTER (kind = 'present' AND severity = 'HIGH') AS high, coalesce(string_agg(CASE WHEN kind = 'missing' THEN label END, ', ' ORDER BY label), '') AS missing FROM found GROUP BY contract_id""")(
+    lambda s, d: pf.contract_summary(_found(s, d)))
+
+# --- clauses
+
+add("best_clause_per_label", f"WITH {_W} SELECT contract_id, label, clause_index, confidence FROM clauses")(
+    lambda s, d: risk.best_clause_per_label(inputs.classified(s, d)).select("contract_id", "label", "clause_index", "confidence"))
+add("label_occurrence", f"""WITH k AS ({inputs.CLASSIFIED}) SELECT label, count(*) AS n, max(confidence) AS max_confidence, (array_agg(text ORDER BY confidence DESC, contract_id, clause_index))[1] AS best_match FROM k GROUP BY label""")(
+    lambda s, d: cl.label_occurrence(inputs.classified(s, d)))
+add("category_summary", f"WITH {_W} SELECT contract_id, category, count(*) AS n, string_agg(label, ', ' ORDER BY confidence DESC, label) AS labels FROM clauses GROUP BY contract_id, category")(
+    lambda s, d: cl.category_summary(inputs.clauses(s, d)))
+add("label_patterns", f"SELECT label, count(*) AS n, string_agg(pattern, '|' ORDER BY pattern_ord) AS patterns FROM {D['dim_pattern']} p GROUP BY label")(
+    lambda s, d: dims.dim(s, "dim_pattern").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pattern_ord", "pattern"))), lambda x: x["pattern"]), "|").alias("patterns")))
+
+# --- portfolio
+
+add("portfolio_overview", f"WITH {_SCORE} SELECT count(*) AS contracts, avg(score) AS avg_score FROM scores")(lambda s, d: pf.overview(_scores(s, d)))
+add("portfolio_risk_levels", f"WITH {_SCORE} SELECT level, count(*) AS n FROM scores GROUP BY level")(lambda s, d: pf.levels(_scores(s, d)))
+add("portfolio_top_labels", f"WITH {_W} SELECT label, count(*) AS n FROM clauses GROUP BY label ORDER BY n DESC, label LIMIT 10")(lambda s, d: pf.top_labels(inputs.clauses(s, d)))
+add("portfolio_top_gaps", f"WITH {_FOUND} SELECT label, count(*) AS n FROM found WHERE kind = 'missing' GROUP BY label ORDER BY n DESC, label LIMIT 10")(
+    lambda s, d: pf.top_labels(risk.missing_findings(inputs.clauses(s, d), inputs.contracts(s, d))))
+add("portfolio_top_contracts", f"WITH {_SCORE} SELECT * FROM scores ORDER BY score DESC, contract_id LIMIT 5")(lambda s, d: pf.top_contracts(_scores(s, d)))
+add("portfolio_totals", f"WITH {_SCORE} SELECT count(*) AS contracts, count(score) AS analyzed, avg(score) AS avg_score FROM scores")(
+    lambda s, d: pf.totals(_scores(s, d), inputs.contracts(s, d)))
+_COVER = f"""{_W}, h AS (SELECT label, count(DISTINCT contract_id) AS n FROM clauses GROUP BY label), k AS (SELECT count(*) AS n FROM contracts)"""
+add("clause_coverage", f"""WITH {_COVER} SELECT l.label, coalesce(h.n, 0) AS with_label, k.n - coalesce(h.n, 0) AS without_label, coalesce(h.n, 0) * CAST(100 AS DOUBLE) / k.n AS coverage_pct
+FROM {D["dim_label"]} l LEFT JOIN h ON l.label = h.label CROSS JOIN k""")(lambda s, d: pf.coverage(inputs.clauses(s, d), inputs.contracts(s, d)))
+add("clause_coverage_detail", f"""WITH {_W} SELECT k.contract_id, l.label, c.text IS NOT NULL AS covered, c.text FROM contracts k CROSS JOIN {D["dim_label"]} l LEFT JOIN clauses c ON c.contract_id = k.contract_id AND c.label = l.label""")(
+    lambda s, d: pf.coverage_detail(inputs.clauses(s, d), inputs.contracts(s, d)))
+_GAPS = f"""{_W}, lacking AS (SELECT k.contract_id, p.label FROM contracts k CROSS JOIN {D["dim_protection"]} p WHERE NOT EXISTS (SELECT 1 FROM clauses c WHERE c.contract_id = k.contract_id AND c.label = p.label)),
+freq AS (SELECT label, count(*) AS missing, count(*) * CAST(100 AS DOUBLE) / (SELECT count(*) FROM contracts) AS missing_pct FROM lacking GROUP BY label)"""
+
+
+def _gaps(s: SparkSession, d: str) -> DataFrame:
+    return pf.gaps(inputs.clauses(s, d), inputs.contracts(s, d))
+
+
+add("gap_frequency", f"WITH {_GAPS} SELECT * FROM freq")(lambda s, d: pf.gap_frequency(_gaps(s, d), inputs.contracts(s, d)))
+add("gap_recommendations", f"""WITH {_GAPS} SELECT f.label, missing, missing_pct, CASE WHEN missing_pct >= 75 THEN 'HIGH' ELSE 'MEDIUM' END AS priority,
+  CASE WHEN m.label IS NOT NULL THEN 'Add a clause on ' || f.label ELSE 'Add ' || f.label || ' clause' END AS advice
+FROM (SELECT * FROM freq ORDER BY missing DESC, label LIMIT 5) f LEFT JOIN {D["dim_missing_rule"]} m ON f.label = m.label WHERE missing_pct >= 50""")(
+    lambda s, d: pf.gap_recommendations(pf.gap_frequency(_gaps(s, d), inputs.contracts(s, d))))
+_COLS = ", ".join(f"count(*) FILTER (l.label = '{p}') = 0 AS {p.lower().replace(' ', '_').replace('-', '_')}" for p in dims.STANDARD_PROTECTIONS)
+add("gap_matrix", f"WITH {_GAPS} SELECT k.contract_id, {_COLS} FROM contracts k LEFT JOIN lacking l ON k.contract_id = l.contract_id GROUP BY k.contract_id")(
+    lambda s, d: pf.gap_matrix(_gaps(s, d), inputs.contracts(s, d)))
+add("contract_compare", f"WITH {_W} SELECT a.label, a.text AS text_a, b.text AS text_b FROM clauses a JOIN clauses b ON a.label = b.label WHERE a.contract_id = {A} AND b.contract_id = {B}")(
+    lambda s, d: pf.compare(inputs.clauses(s, d), A, B))
+add("contract_compare_risk", f"""WITH {_SCORE} SELECT a.score AS score_a, a.level AS level_a, b.score AS score_b, b.level AS level_b, a.score - b.score AS difference FROM scores a, scores b WHERE a.contract_id = {A} AND b.contract_id = {B}""")(
+    lambda s, d: pf.compare_risk(_scores(s, d), A, B))
+add("labels_intersect", f"WITH {_W} SELECT label FROM clauses WHERE contract_id = {A} INTERSECT SELECT label FROM clauses WHERE contract_id = {B}")(
+    lambda s, d: pf.common_labels(inputs.clauses(s, d), A, B))
+add("labels_except", f"WITH {_W} SELECT label FROM clauses WHERE contract_id = {A} EXCEPT SELECT label FROM clauses WHERE contract_id = {B}")(
+    lambda s, d: pf.only_in(inputs.clauses(s, d), A, B))
+add("contracts_of_type", f"WITH k AS ({inputs.CONTRACTS}) SELECT contract_id, contract_type FROM k WHERE contains(contract_type, 'URGENT')")(
+    lambda s, d: inputs.contracts(s, d).where(F.contains("contract_type", F.lit("URGENT"))).select("contract_id", "contract_type"))
+
+# --- dependencies
+
+_EDGES = f"""{_W}, edges AS (SELECT a.contract_id, r.* FROM {D["dim_dependency_rule"]} r JOIN clauses a ON a.label = r.source JOIN clauses b ON b.label = r.target AND b.contract_id = a.contract_id),
+missing AS (SELECT a.contract_id, r.source AS required_by, r.target AS missing_label, r.strength, CASE WHEN r.strength >= 0.8 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+  FROM {D["dim_dependency_rule"]} r JOIN clauses a ON a.label = r.source WHERE r.dependency_type = 'REQUIRES' AND NOT EXISTS (SELECT 1 FROM clauses b WHERE b.contract_id = a.contract_id AND b.label = r.target)),
+ways AS (SELECT contract_id, source AS u, target AS v, dependency_type, strength, rule_ord * 2 AS ord FROM edges UNION ALL SELECT contract_id, target, source, dependency_type, strength, rule_ord * 2 + 1 FROM edges WHERE bidirectional),
+graph AS (SELECT contract_id, u, v, arg_max(dependency_type, ord) AS dependency_type, arg_max(strength, ord) AS strength, min(ord) AS ord FROM ways GROUP BY contract_id, u, v),
+conflicts AS (SELECT contract_id, u AS clause_a, v AS clause_b, strength FROM (SELECT *, row_number() OVER (PARTITION BY contract_id, least(u, v), greatest(u, v) ORDER BY ord) AS rn FROM graph WHERE dependency_type = 'CONFLICTS_WITH') WHERE rn = 1)"""
+_CYCLES = f"""{_EDGES}, walk AS (SELECT contract_id, u AS s, v AS at, [u, v] AS path FROM graph WHERE v > u
+  UNION ALL SELECT w.contract_id, w.s, g.v, list_append(w.path, g.v) FROM walk w JOIN graph g ON g.contract_id = w.contract_id AND g.u = w.at WHERE g.v > w.s AND NOT list_contains(w.path, g.v)),
+cycles AS (SELECT w.contract_id, array_to_string(w.path, ' -> ') AS cycle, CAST(len(w.path) AS BIGINT) AS length FROM walk w JOIN graph g ON g.contract_id = w.contract_id AND g.u = w.at AND g.v = w.s WHERE len(w.path) >= 3)"""
+_DEGREE = f"""{_EDGES}, ends AS (SELECT contract_id, label, count(*) AS degree FROM (SELECT contract_id, u AS label FROM graph UNION ALL SELECT contract_id, v FROM graph) GROUP BY ALL),
+sizes AS (SELECT contract_id, count(*) AS n FROM clauses GROUP BY contract_id)"""
+_REACH = f"""{_EDGES}, walk AS (SELECT contract_id, u AS start, v AS label, 1 AS depth FROM graph UNION SELECT w.contract_id, w.start, g.v, w.depth + 1 FROM walk w JOIN graph g ON g.contract_id = w.contract_id AND g.u = w.label WHERE w.depth < 3),
+reach AS (SELECT contract_id, start, label, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE label <> start GROUP BY ALL)"""
+
+
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    return dep.graph(dep.edges(inputs.clauses(s, d)))
+
+
+def _impact(s: SparkSession, d: str) -> DataFrame:
+    return dep.impact(_graph(s, d), inputs.clauses(s, d).select("contract_id", F.col("label").alias("start")))
+
+
+add("dep_edges", f"WITH {_EDGES} SELECT contract_id, source, target, dependency_type, strength, bidirectional FROM edges")(
+    lambda s, d: dep.edges(inputs.clauses(s, d)).select("contract_id", "source", "target", "dependency_type", "strength", "bidirectional"))
+add("dep_missing", f"WITH {_EDGES} SELECT * FROM missing")(lambda s, d: dep.missing_requirements(inputs.clauses(s, d)))
+add("dep_graph", f"WITH {_EDGES} SELECT * FROM graph")(_graph)
+add("dep_contradictions", f"WITH {_EDGES} SELECT * FROM conflicts")(lambda s, d: dep.contradictions(_graph(s, d)))
+add("dep_needs_validation", f"WITH {_EDGES} SELECT contract_id, source, target, dependency_type FROM edges e WHERE EXISTS (SELECT 1 FROM {D['dim_dependency_rule']} r WHERE r.needs_validation AND r.source = e.source AND r.target = e.target)")(
+    lambda s, d: dep.needs_validation(dep.edges(inputs.clauses(s, d))).select("contract_id", "source", "target", "dependency_type"))
+add("dep_impact", f"WITH RECURSIVE {_REACH} SELECT * FROM reach")(lambda s, d: _impact(s, d).select("contract_id", "start", "label", "depth"))
+add("dep_impact_ranking", f"""WITH RECURSIVE {_REACH} SELECT c.contract_id, c.label, count(r.label) AS total_affected, CAST(coalesce(max(r.depth), 0) AS INTEGER) AS max_depth
+FROM clauses c LEFT JOIN reach r ON r.contract_id = c.contract_id AND r.start = c.label GROUP BY c.contract_id, c.label""")(
+    lambda s, d: dep.impact_ranking(_impact(s, d), inputs.clauses(s, d)))
+add("dep_centrality", f"""WITH {_DEGREE} SELECT c.contract_id, c.label, CASE WHEN n <= 1 THEN CAST(1 AS DOUBLE) ELSE coalesce(degree, 0) / CAST(n - 1 AS DOUBLE) END AS centrality
+FROM clauses c JOIN sizes USING (contract_id) LEFT JOIN ends e ON e.contract_id = c.contract_id AND e.label = c.label""")(
+    lambda s, d: dep.centrality(_graph(s, d), inputs.clauses(s, d)))
+add("dep_max_impact", f"""WITH {_EDGES}, o AS (SELECT c.contract_id, c.label, c.clause_index, (SELECT count(*) FROM graph g WHERE g.contract_id = c.contract_id AND g.u = c.label) AS n FROM clauses c),
+r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY n DESC, clause_index) AS rn FROM o) SELECT contract_id, CASE WHEN n > 0 THEN label ELSE '' END AS label, n AS out_degree FROM r WHERE rn = 1""")(
+    lambda s, d: dep.max_impact(_graph(s, d), inputs.clauses(s, d)))
+add("dep_components", f"""WITH RECURSIVE {_EDGES}, ring AS (SELECT contract_id, u, v FROM graph UNION SELECT contract_id, v, u FROM graph),
+w AS (SELECT contract_id, label, label AS other FROM clauses UNION SELECT w.contract_id, w.label, b.v FROM w JOIN ring b ON b.contract_id = w.contract_id AND b.u = w.other)
+SELECT contract_id, label, min(other) AS component FROM w GROUP BY contract_id, label""")(lambda s, d: dep.components(_graph(s, d), inputs.clauses(s, d)))
+add("dep_cycles", f"WITH RECURSIVE {_CYCLES} SELECT * FROM cycles")(lambda s, d: dep.cycles(_graph(s, d)))
+add("dep_toposort")(lambda s, d: dep.topological_order(_graph(s, d), inputs.clauses(s, d)))
+add("dep_betweenness")(lambda s, d: dep.betweenness(_graph(s, d), inputs.clauses(s, d)))
+
+
+def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    g = _graph(s, d)
+    return dep.contradictions(g), dep.missing_requirements(inputs.clauses(s, d)), dep.cycles(g)
+
+
+add("dep_amplifiers", f"""WITH RECURSIVE {_CYCLES} SELECT contract_id, 'contradictions' AS amplifier, count(*) AS n FROM conflicts GROUP BY contract_id
+UNION ALL SELECT contract_id, 'missing_requirements', count(*) FROM missing WHERE severity = 'HIGH' GROUP BY contract_id UNION ALL SELECT contract_id, 'circular_dependencies', count(*) FROM cycles GROUP BY contract_id""")(
+    lambda s, d: dep.amplifiers(*_parts(s, d)))
+_ADJUST = f"""{_CYCLES}, points AS (SELECT contract_id, CAST(trunc(strength * 10) AS INTEGER) AS p FROM conflicts UNION ALL SELECT contract_id, CASE WHEN severity = 'HIGH' THEN 8 ELSE 5 END FROM missing UNION ALL SELECT contract_id, 3 FROM cycles),
+adjustment AS (SELECT contract_id, CAST(least(40, sum(p)) AS INTEGER) AS adjustment FROM points GROUP BY contract_id)"""
+add("risk_adjusted", f"""WITH RECURSIVE {_ADJUST}, {_SCORE.split(_W + ",", 1)[1]}, new AS (SELECT s.contract_id, CAST(least(100, score + coalesce(adjustment, 0)) AS INTEGER) AS score, coalesce(adjustment, 0) AS adjustment FROM scores s LEFT JOIN adjustment USING (contract_id))
+SELECT contract_id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level, adjustment FROM new""")(
+    lambda s, d: risk.adjust(_scores(s, d), dep.risk_adjustment(*_parts(s, d))))
+add("dep_recommendations", f"""WITH RECURSIVE {_CYCLES}, {_DEGREE.split(_EDGES + ",", 1)[1]},
+med AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY missing_label, required_by) AS rn FROM missing WHERE severity = 'MEDIUM'),
+cen AS (SELECT c.contract_id, c.label, CASE WHEN n <= 1 THEN CAST(1 AS DOUBLE) ELSE coalesce(degree, 0) / CAST(n - 1 AS DOUBLE) END AS x FROM clauses c JOIN sizes USING (contract_id) LEFT JOIN ends e ON e.contract_id = c.contract_id AND e.label = c.label),
+top AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY x DESC, label) AS rn FROM cen)
+SELECT contract_id, 1 AS part, 'Reconcile ' || clause_a || ' with ' || clause_b AS advice FROM conflicts
+UNION ALL SELECT contract_id, 2, 'Add ' || missing_label || ', which ' || required_by || ' requires' FROM missing WHERE severity = 'HIGH'
+UNION ALL SELECT contract_id, 3, 'Consider adding ' || string_agg(missing_label, ', ' ORDER BY missing_label) FROM med WHERE rn <= 5 GROUP BY contract_id
+UNION ALL SELECT contract_id, 4, 'Break the cycle ' || cycle FROM cycles
+UNION ALL SELECT contract_id, 5, 'Change with care: ' || string_agg(label, ', ' ORDER BY label) FROM top WHERE rn <= 3 AND x > 0.3 GROUP BY contract_id""")(
+    lambda s, d: dep.recommendations(*_parts(s, d), dep.centrality(_graph(s, d), inputs.clauses(s, d))))
+add("dep_outgoing_top", f"WITH {_EDGES} SELECT source AS label, count(*) AS n FROM edges GROUP BY source ORDER BY n DESC, label LIMIT 15")(
+    lambda s, d: dep.edges(inputs.clauses(s, d)).groupBy(F.col("source").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(15))
+
+# --- classification and metrics
+
+_VEC = """p AS (SELECT label, list(x ORDER BY pos) AS prototype FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, pos) GROUP BY label),
+sim AS (SELECT e.vec_id, e.label, p.label AS candidate, list_dot_product(e.embedding::DOUBLE[], p.prototype) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(p.prototype, p.prototype))) AS c FROM embeddings e CROSS JOIN p),
+ranked AS (SELECT *, round(c, 6) AS cosine, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 6) DESC, candidate) AS rank FROM sim),
+pred AS (SELECT vec_id, label, candidate, cosine, 1 / (1 + exp(-6.0540 * cosine + 2.2416)) AS confidence FROM ranked WHERE rank = 1)"""
+
+
+def _sims(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings")
+    return cl.similarities(v, cl.prototypes(v)).select("vec_id", "label", "candidate", F.round("cosine", 6).alias("cosine"))
+
+
+def _ranked(s: SparkSession, d: str, k: int, least: float) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "candidate")
+    r = _sims(s, d).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("cosine") >= least))
+    return r.withColumn("confidence", scores.platt(F.col("cosine")))
+
+
+def _top1(s: SparkSession, d: str) -> DataFrame:
+    return _ranked(s, d, 1, -2.0)
+
+
+add("classify_topk", f"WITH {_VEC} SELECT vec_id, candidate, CAST(rank AS INTEGER) AS rank, cosine, round(1 / (1 + exp(-6.0540 * cosine + 2.2416)), 6) AS confidence FROM ranked WHERE rank <= 3 AND cosine >= 0.1")(
+    lambda s, d: _ranked(s, d, 3, 0.1).select("vec_id", "candidate", "rank", "cosine", F.round("confidence", 6).alias("confidence")))
+add("classify_top1", f"WITH {_VEC} SELECT vec_id, candidate, candidate = label AS correct FROM pred")(lambda s, d: _top1(s, d).select("vec_id", "candidate", (F.col("candidate") == F.col("label")).alias("correct")))
+add("platt_curve", "SELECT DISTINCT round(l_discount, 2) AS score, round(1 / (1 + exp(-6.0540 * round(l_discount, 2) + 2.2416)), 9) AS confidence FROM lineitem")(
+    lambda s, d: _t(s, d, "lineitem").select(F.round("l_discount", 2).alias("score")).distinct().withColumn("confidence", F.round(scores.platt(F.col("score")), 9)))
+_PRF = f"""{_VEC}, t AS (SELECT label AS k, count(*) AS support, count(*) FILTER (candidate = label) AS tp FROM pred GROUP BY label), g AS (SELECT candidate AS k, count(*) AS predicted FROM pred GROUP BY candidate),
+m AS (SELECT k AS class, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted, coalesce(tp, 0) AS tp FROM t FULL JOIN g USING (k)),
+f AS (SELECT *, 2.0 * tp / (predicted + support) AS f1 FROM m)"""
+add("classifier_f1", f"WITH {_PRF} SELECT round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1, round(sum(tp) / sum(support), 9) AS accuracy FROM f")(
+    lambda s, d: cl.f1_scores(cl.confusion(_top1(s, d), "label", "candidate")).select(*[F.round(c, 9).alias(c) for c in ("macro_f1", "weighted_f1", "accuracy")]))
+add("per_category_accuracy", f"WITH {_VEC} SELECT label, count(*) AS n, round(avg(CASE WHEN candidate = label THEN 1 ELSE 0 END), 9) AS accuracy, round(avg(confidence), 6) AS mean_confidence FROM pred GROUP BY label")(
+    lambda s, d: _top1(s, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("candidate")).cast("int")), 9).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("mean_confidence")))
+add("classifier_ece", f"""WITH {_VEC}, b AS (SELECT CASE WHEN confidence >= 0 AND confidence < 1 THEN floor(confidence * 10) END AS bin, confidence, CASE WHEN candidate = label THEN 1 ELSE 0 END AS hit FROM pred),
+e AS (SELECT bin, count(*) AS n, avg(confidence) AS c, avg(hit) AS a FROM b GROUP BY bin) SELECT round(coalesce(sum(n * abs(a - c)) FILTER (bin IS NOT NULL), 0) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM e""")(
+    lambda s, d: cl.calibration_error(_top1(s, d), F.col("label") == F.col("candidate"), F.col("confidence")).select(F.round("ece", 6).alias("ece"), "n"))
+add("platt_fit")(lambda s, d: cl.fit_platt(_top1(s, d).withColumn("correct", F.col("label") == F.col("candidate")), "cosine", "correct"))
+_U = "('0x' || substring(md5(contract_id || ':42'), 1, 8))::BIGINT::DOUBLE / 4294967296"
+add("split_assignment", f"WITH k AS (SELECT DISTINCT contract_id FROM ({inputs.CONTRACTS})) SELECT contract_id, CASE WHEN {_U} < 0.7 THEN 'train' WHEN {_U} < 0.85 THEN 'validation' ELSE 'test' END AS split FROM k")(
+    lambda s, d: cl.splits(inputs.contracts(s, d)))
+add("split_overlap", f"WITH k AS (SELECT DISTINCT contract_id FROM ({inputs.CONTRACTS})) SELECT CAST(0 AS BIGINT) AS shared")(
+    lambda s, d: cl.splits(inputs.contracts(s, d)).groupBy("contract_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared")))
+add("training_pairs", f"""WITH {_W}, w AS (SELECT c.contract_id, c.clause_index, c.label, l.label AS other, row_number() OVER (PARTITION BY c.contract_id, c.clause_index ORDER BY md5(c.contract_id || ':' || c.clause_index || ':' || l.label || ':42')) AS rn
+  FROM clauses c JOIN {D["dim_label"]} l ON l.label <> c.label)
+SELECT contract_id, clause_index, label, label AS other, CAST(1 AS DOUBLE) AS target FROM clauses UNION ALL SELECT contract_id, clause_index, label, other, 0 FROM w WHERE rn <= 4""")(
+    lambda s, d: cl.training_pairs(inputs.clauses(s, d), dims.dim(s, "dim_label")))
+
+# --- search
+
+_CORPUS = """corpus AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS t FROM documents),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS term FROM benchmark),
+post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM corpus) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM corpus),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post JOIN df USING (term) JOIN q USING (term) CROSS JOIN size GROUP BY query_id, id),
+bmr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm WHERE score > 0) WHERE rank <= 16)"""
+_VQ = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+vs AS (SELECT q.id AS query_id, v.id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS score FROM v q JOIN v ON q.id < 40 AND v.id <> q.id),
+vr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vs) WHERE rank <= 32)"""
+_FUSE = """u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(0.5::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0) AS s FROM vr a FULL JOIN bmr b ON a.query_id = b.query_id AND a.id = b.id),
+fused AS (SELECT query_id, id, s AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM u) WHERE rank <= 10)"""
+
+
+def _bm25(s: SparkSession, d: str) -> DataFrame:
+    return se.bm25(_t(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return se.vector_topk(v, v.where("id < 40").withColumnRenamed("id", "query_id"))
+
+
+add("bm25_topk", f"WITH {_CORPUS} SELECT query_id, id, rank, score FROM bmr")(lambda s, d: _bm25(s, d).select("query_id", "id", "rank", "score"))
+add("vector_topk", f"WITH {_VQ} SELECT query_id, id, score, rank FROM vr")(_vectors)
+add("rrf_hybrid", f"WITH {_CORPUS}, {_VQ}, {_FUSE} SELECT * FROM fused")(lambda s, d: se.fuse(_vectors(s, d), _bm25(s, d)))
+add("retrieve_context", f"WITH {_CORPUS} SELECT query_id, string_agg('- ' || text, chr(10) ORDER BY rank) AS context FROM bmr JOIN documents ON doc_id = id GROUP BY query_id")(
+    lambda s, d: se.context(_bm25(s, d), _t(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+
+# --- text
+
+add("clause_split", r"""WITH d AS (SELECT doc_id AS contract_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), p AS (SELECT contract_id, regexp_split_to_array(t, '\n\s*\n') AS parts FROM d),
+k AS (SELECT contract_id, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 30) AS parts FROM p),
+x AS (SELECT contract_id, unnest(range(len(parts))) AS clause_index, unnest(parts) AS text FROM k)
+SELECT contract_id, CAST(clause_index AS INTEGER) AS clause_index, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS text FROM x WHERE length(text) >= 50""")(
+    lambda s, d: cl.split_contracts(_t(s, d, "documents").select(F.col("doc_id").alias("contract_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))))
+add("chunk_text")(lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(text.chunks("text")).alias("chunk", "text")))
+_NOISE = "trim(trim(trim(trim(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '\"'), ''''), ':'), ';')"
+_SUFFIX = " ".join(f"WHEN lower(x) LIKE '%{o}' THEN substring(x, 1, length(x) - {len(o)}) || '{n}'" for o, n in dims.PARTY_SUFFIXES)
+add("normalize_entities", f"""WITH e AS ({inputs.ENTITIES}), n AS (SELECT id, type, {_NOISE} AS x FROM e)
+SELECT id, type, CASE WHEN type = 'Party' THEN CASE {_SUFFIX} ELSE x END WHEN type = 'Temporal' AND regexp_matches(x, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}')
+  THEN regexp_extract(x, '(\\d{{1,2}})/(\\d{{1,2}})/(\\d{{4}})', 3) || '-' || lpad(regexp_extract(x, '(\\d{{1,2}})/(\\d{{1,2}})/(\\d{{4}})', 1), 2, '0') || '-' || lpad(regexp_extract(x, '(\\d{{1,2}})/(\\d{{1,2}})/(\\d{{4}})', 2), 2, '0') ELSE x END AS name FROM n""")(
+    lambda s, d: inputs.entities(s, d).select("id", "type", text.normalize_entity(F.col("name"), F.col("type")).alias("name")))
+add("normalize_names", f"""WITH e AS ({inputs.ENTITIES}) SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '^(?i)the ', ''), '^(?i)a ', ''), '^(?i)an ', ''), '\\s+', ' ', 'g') AS name FROM e""")(
+    lambda s, d: inputs.entities(s, d).select("id", text.normalize_name(F.col("name")).alias("name")))
+add("predicate_edge_type", f"""WITH t AS ({inputs.TRIPLES}), p AS (SELECT DISTINCT predicate, replace(replace(lower(predicate), ' ', '_'), '-', '_') AS k FROM t)
+SELECT p.predicate, coalesce(m.edge_type, upper(p.k)) AS edge_type FROM p LEFT JOIN {D["dim_predicate"]} m ON m.predicate = p.k""")(
+    lambda s, d: inputs.triples(s, d).select("predicate").distinct().withColumn("edge_type", text.edge_type(F.col("predicate"))))
+_CONF = "CASE o_orderstatus WHEN 'O' THEN 'high' WHEN 'F' THEN 'LOW' ELSE '0.85' END"
+add("confidence_map", f"""SELECT o_orderkey, CASE upper({_CONF}) WHEN 'LOW' THEN CAST(0.4 AS DOUBLE) WHEN 'MEDIUM' THEN 0.7 WHEN 'HIGH' THEN 0.9 ELSE coalesce(TRY_CAST({_CONF} AS DOUBLE), 0.7) END AS confidence FROM orders""")(
+    lambda s, d: _t(s, d, "orders").select("o_orderkey", text.confidence(F.expr(_CONF)).alias("confidence")))
+_ASK = f"""SELECT l.label AS label, concat('Highlight the parts related to "', l.label, '" of contract ', CAST(k.contract_id AS VARCHAR(20))) AS question FROM {D["dim_label"]} l CROSS JOIN (SELECT o_orderkey AS contract_id FROM orders) k"""
+add("question_category", f"""WITH q AS ({_ASK}), m AS (SELECT q.question, arg_min(d.label, d.question_ord) AS label FROM (SELECT DISTINCT question FROM q) q JOIN {D["dim_question"]} d ON contains(lower(q.question), d.phrase) GROUP BY q.question)
+SELECT q.question, coalesce(m.label, substring(q.question, 1, 50)) AS category FROM q LEFT JOIN m ON q.question = m.question""")(
+    lambda s, d: inputs.derive(s, d, _ASK).select("question", text.question_category(F.col("question")).alias("category")))
+add("parse_llm_json", """SELECT event_id, json_extract_string(props, '$.k') AS k, json_keys(props)[1] AS first_key FROM events""")(
+    lambda s, d: _t(s, d, "events").withColumn("j", text.fenced_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```")))).select("event_id", F.get_json_object("j", "$.k").alias("k"), F.get(F.json_object_keys("j"), F.lit(0)).alias("first_key")))
+
+# --- knowledge graph
+
+_TR = f"t AS ({inputs.TRIPLES}), e AS ({inputs.ENTITIES})"
+add("entity_stats", f"WITH {_TR} SELECT type, count(*) AS n FROM e GROUP BY type")(lambda s, d: inputs.entities(s, d).groupBy("type").agg(F.count("*").alias("n")))
+add("triple_stats", f"WITH {_TR} SELECT predicate, count(*) AS n FROM t GROUP BY predicate")(lambda s, d: inputs.triples(s, d).groupBy("predicate").agg(F.count("*").alias("n")))
+add("dedup_entities", f"""WITH {_TR}, n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '^(?i)the ', ''), '^(?i)a ', ''), '^(?i)an ', '') AS k FROM e)
+SELECT id, name, type FROM (SELECT *, row_number() OVER (PARTITION BY k, type ORDER BY ord) AS rn FROM n) WHERE rn = 1""")(lambda s, d: kg.dedup_entities(inputs.entities(s, d)).select("id", "name", "type"))
+add("triple_dedup_avg", f"""WITH {_TR}, l AS (SELECT subject, predicate, object, list(confidence ORDER BY ord) AS c FROM t GROUP BY ALL)
+SELECT subject, predicate, object, round(list_reduce(c, lambda a, x: (a + x) / 2), 9) AS confidence FROM l""")(
+    lambda s, d: kg.dedup_triples_average(inputs.triples(s, d)).withColumn("confidence", F.round("confidence", 9)))
+_PROPS = "map(concat('k', k), concat('v', ord))"
+
+
+def _with_props(s: SparkSession, d: str) -> DataFrame:
+    return inputs.triples(s, d).withColumn("properties", F.expr(_PROPS))
+
+
+add("triple_dedup_max", f"""WITH {_TR}, b AS (SELECT subject, predicate, object, max(confidence) AS confidence, arg_max(ord, {{'c': confidence, 'o': -ord}}) AS o FROM t GROUP BY subject, predicate, object),
+p AS (SELECT t.subject, t.predicate, t.object, b.confidence, t.k, min(t.ord) AS ord FROM t JOIN b ON t.subject = b.subject AND t.predicate = b.predicate AND t.object = b.object AND t.ord >= b.o GROUP BY ALL)
+SELECT subject, predicate, object, confidence, string_agg('k' || k || '=v' || ord, ',' ORDER BY k) AS properties FROM p GROUP BY subject, predicate, object, confidence""")(
+    lambda s, d: kg.dedup_triples_best(_with_props(s, d)).withColumn("properties", F.array_join(F.transform(F.sort_array(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")))
+_MAPPING = "SELECT id AS old_id, concat('c', CAST(CAST(substring(id, 2, 20) AS INT) % 20 AS VARCHAR(20))) AS canonical_id FROM e WHERE type = 'Party' AND id LIKE 'c%'"
+
+
+def _mapping(s: SparkSession, d: str) -> DataFrame:
+    return inputs.entities(s, d).where("type = 'Party' AND id LIKE 'c%'").selectExpr("id AS old_id", "concat('c', CAST(CAST(substring(id, 2, 20) AS INT) % 20 AS STRING)) AS canonical_id")
+
+
+add("triple_remap", f"WITH {_TR}, m AS ({_MAPPING}) SELECT coalesce(a.canonical_id, subject) AS subject, predicate, coalesce(b.canonical_id, object) AS object, ord FROM t LEFT JOIN m a ON a.old_id = subject LEFT JOIN m b ON b.old_id = object")(
+    lambda s, d: kg.remap(inputs.triples(s, d), _mapping(s, d)).select("subject", "predicate", "object", "ord"))
+add("aggregation_stats", f"WITH {_TR}, m AS ({_MAPPING}) SELECT count(*) AS original, count(DISTINCT canonical_id) AS merged, 1 - count(DISTINCT canonical_id) / CAST(greatest(count(*), 1) AS DOUBLE) AS reduction_rate FROM m")(
+    lambda s, d: kg.reduction(_mapping(s, d)))
+add("entity_aliases", f"WITH {_TR}, m AS ({_MAPPING}) SELECT canonical_id, string_agg(DISTINCT name, '|' ORDER BY name) AS aliases FROM m JOIN e ON e.id = m.old_id WHERE old_id <> canonical_id GROUP BY canonical_id")(
+    lambda s, d: kg.aliases(inputs.entities(s, d), _mapping(s, d)).withColumn("aliases", F.array_join("aliases", "|")))
+add("confidence_boost", f"""WITH {_TR}, c AS (SELECT id, count(*) AS n FROM e GROUP BY id), k AS (SELECT count(DISTINCT contract_id) AS n FROM e),
+x AS (SELECT t.ord, coalesce(nullif(t.confidence, 0), 0.7) AS base, coalesce(a.n, 0) + coalesce(b.n, 0) AS hits, k.n FROM t LEFT JOIN c a ON a.id = subject LEFT JOIN c b ON b.id = object CROSS JOIN k)
+SELECT ord, round(CASE WHEN n <= 1 THEN base ELSE least(1.0, base + hits / (2.0 * n) * 0.2) END, 9) AS confidence FROM x""")(
+    lambda s, d: kg.boosted(inputs.triples(s, d), inputs.entities(s, d), inputs.entities(s, d).agg(F.count_distinct("contract_id").alias("n_contracts"))).select("ord", F.round("confidence", 9).alias("confidence")))
+_SPAN = """length(name) + CASE WHEN regexp_matches(lower(name), '^(the|a|an) ') THEN 0 ELSE 20 END + CASE WHEN regexp_matches(name, '^[A-Z]') THEN 10 ELSE 0 END - 5 * len(regexp_extract_all(name, '[][(){}"'']')) + 2 * n_props
+  + CASE WHEN type = 'Party' AND regexp_matches(name, '( Inc\\.| LLC| Ltd\\.| Corp\\.| Corporation)$') THEN 15 ELSE 0 END"""
+add("canonical_names", f"""WITH {_TR}, s AS (SELECT id, name, type, ord, contract_id, {_SPAN} AS s FROM e) SELECT type, contract_id, id, name, CAST(s AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY type, contract_id ORDER BY s DESC, ord) AS rn FROM s) WHERE rn = 1""")(
+    lambda s, d: inputs.entities(s, d).withColumn("p", F.expr("CASE WHEN n_props > 0 THEN sequence(1, CAST(n_props AS INT)) ELSE array() END")).withColumn("s", kg.canonical_score(F.col("name"), F.col("type"), F.col("p")))
+    .groupBy("type", "contract_id").agg(F.max_by(F.struct("id", "name", "s"), F.struct("s", -F.col("ord"))).alias("b")).select("type", "contract_id", "b.id", "b.name", F.col("b.s").cast("int").alias("score")))
+add("similar_pairs", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
+WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.3""")(
+    lambda s, d: kg.similar_pairs(_t(s, d, "embeddings"), 0.3).withColumn("cosine", F.round("cosine", 6)))
+
+
+def _vector_entities(s: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(t) for t in dims.NODE_TYPES]), (F.col("label") % 9 + 1).cast("int"))
+    return _t(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("Entity "), "vec_id").alias("name"), kind.alias("type"), "embedding", F.col("vec_id").cast("int").alias("ord"), F.create_map(F.lit("k"), F.lit("v")).alias("properties"))
+
+
+def _resolved(s: SparkSession, d: str, threshold: float | None, for_aggregation: bool) -> DataFrame:
+    e = _vector_entities(s, d)
+    return kg.choose_canonical(e, kg.cluster(e, threshold), for_aggregation)
+
+
+add("resolve_entities")(lambda s, d: _resolved(s, d, 0.3, False))
+add("aggregate_entities")(lambda s, d: _resolved(s, d, None, True))
+add("resolve_kmeans")(lambda s, d: kg.choose_canonical(_vector_entities(s, d), kg.cluster_kmeans(_vector_entities(s, d))))
+_UPNODE = f"{_TR}, nodes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY ord DESC) AS rn FROM e) WHERE rn = 1)"
+add("graph_upsert_nodes", f"WITH {_UPNODE} SELECT type, id, name, ord FROM nodes")(lambda s, d: kg.upsert_nodes(inputs.entities(s, d)).select("type", "id", "name", "ord"))
+_UPEDGE = f"""{_UPNODE}, et AS (SELECT t.*, coalesce(m.edge_type, upper(replace(replace(lower(t.predicate), ' ', '_'), '-', '_'))) AS edge_type FROM t LEFT JOIN {D["dim_predicate"]} m ON m.predicate = replace(replace(lower(t.predicate), ' ', '_'), '-', '_')),
+rel AS (SELECT subject, edge_type, object, contract_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY subject, edge_type, object ORDER BY ord DESC) AS rn FROM et) WHERE rn = 1)"""
+add("graph_upsert_edges", f"WITH {_UPEDGE} SELECT * FROM rel")(lambda s, d: kg.upsert_edges(inputs.triples(s, d)).select("subject", "edge_type", "object", "contract_id", "ord"))
+add("contract_graph", f"WITH {_UPEDGE}, own AS (SELECT DISTINCT id AS name FROM nodes WHERE contract_id = 3) SELECT subject, edge_type, object FROM rel WHERE subject IN (SELECT name FROM own) AND object IN (SELECT name FROM own)")(
+    lambda s, d: kg.contract_graph(kg.upsert_nodes(inputs.entities(s, d)).select("contract_id", F.col("id").alias("name")), kg.upsert_edges(inputs.triples(s, d)), 3))
+add("graph_stats", f"WITH {_UPNODE} SELECT d.type, count(n.id) AS n FROM {D['dim_node_type']} d LEFT JOIN nodes n ON n.type = d.type GROUP BY d.type")(
+    lambda s, d: kg.node_type_counts(kg.upsert_nodes(inputs.entities(s, d))))
+add("duplicate_node_keys", f"WITH {_TR} SELECT type, id, count(*) AS n FROM e GROUP BY type, id HAVING count(*) > 1")(lambda s, d: kg.duplicate_keys(inputs.entities(s, d)))
