@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "html_text", "masked_lm", "kd_search", "packing", "source_mix", "quality_mil")
+MODULES = ("quality_rules", "html_text", "masked_lm", "kd_search", "packing", "source_mix", "quality_mil", "partenum")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
