@@ -251,7 +251,7 @@ class Plan:
 
     def _small(self, length: int, left: int) -> None:
         while left:
-            room = next((r for r in range(length, self.capacity) if self.open.get(r)), None)
+            room = next((r for r in range(length, self.capacity + 1) if self.open.get(r)), None)
             if room is None:
                 room = self.capacity
                 bins = -(-left // (room // length))
