@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clausework.llm.session import shuffle_partitions
 
 SCHEMA = "bucket int, n int, payload binary"
 FLUSH_ENTRIES = 1 << 20
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 2
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -62,11 +63,18 @@ class Sender:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "n", "payload"])
 
 
-def reduce_buckets(sent: DataFrame, kinds: list[str], work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work(arrays)`` once for each bucket, with its entries sorted by key; one bucket at a time is held."""
+def deal(df: DataFrame, *order: str) -> DataFrame:
+    """Rows by bucket, the same number of buckets in each partition."""
+    n = shuffle_partitions(df.sparkSession)
+    return df.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n))).sortWithinPartitions("bucket", *order)
+
+
+def reduce_buckets(sent: DataFrame, kinds: list[str], start: Callable[[], tuple[Callable[..., Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]], schema: str) -> DataFrame:
+    """``start()`` gives, for each task, a function of a bucket's entries, sorted by key, and one for the end; one bucket at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        work, end = start()
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
@@ -82,8 +90,9 @@ def reduce_buckets(sent: DataFrame, kinds: list[str], work: Callable[..., Iterat
                     at = bucket
                 held.append(unpack(payload.as_py(), n, kinds))
         yield from done()
+        yield from end()
 
-    return sent.repartition(shuffle_partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return deal(sent).mapInArrow(run, schema)
 
 
 def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -143,7 +143,7 @@ def stars(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "member"])
 
     sent = docs.mapInArrow(send, blobs.SCHEMA)
-    return blobs.reduce_buckets(sent, ["<u8", "<i8"], meet, "leader long, member long").distinct()
+    return blobs.reduce_buckets(sent, ["<u8", "<i8"], lambda: (meet, lambda: iter(())), "leader long, member long").distinct()
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:

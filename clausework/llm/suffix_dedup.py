@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm import blobs
-from clausework.llm.session import cut, shuffle_partitions, table
+from clausework.llm import blobs, home
+from clausework.llm.session import table
 from clausework.llm.words import _BYTE, CHUNK_BYTES, U64, mix, string_parts
 
 QUERY = "op9_suffix_dedup"
@@ -75,7 +74,7 @@ def string_names(part: np.ndarray, bounds: np.ndarray, length: int, mer: int = M
     begin = np.flatnonzero(new & ok)
     ends = np.append(np.flatnonzero(new), len(least))
     stop = np.minimum(ends[np.searchsorted(ends, begin, side="right")], bounds[1:][doc[begin]] - length + 1)
-    return begin, stop - begin, least[begin], doc[begin]
+    return begin, stop - begin, mix(least[begin]), doc[begin]
 
 
 def text_groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -88,30 +87,10 @@ def text_groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         i = j
 
 
-def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (doc ^ (doc >> 7) ^ (doc >> 15)) % buckets
-
-
-def _home_column(buckets: int) -> Column:
-    d = F.col("doc_id")
-    return F.pmod(d.bitwiseXOR(F.shiftright(d, 7)).bitwiseXOR(F.shiftright(d, 15)), F.lit(buckets)).cast("int")
-
-
-def _tag(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def tag(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(name ^ mix(doc.astype(np.int64).view(U64)))
 
 
-def _by_home(doc: np.ndarray, arrays: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs for the documents' buckets."""
-    if not len(doc):
-        return
-    home = _home(doc, buckets)
-    order = np.argsort(home, kind="stable")
-    cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-    rows = [(i, int(b - a), blobs.pack([x[order[a:b]] for x in arrays])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "n", "payload"])
-
-
 def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Blobs, by document bucket, of tags of each document and name that occurs in other documents, too."""
 
@@ -128,48 +107,27 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield from sender.add(name[keep], ids[rows][doc[keep]])
         yield from sender.flush()
 
-    def meet(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        name, doc = arrays
-        begin, n = blobs.runs(name)
-        if not len(begin):
-            return
-        several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
-        own = np.repeat(several, n)
-        yield from _by_home(doc[own], [_tag(name[own], doc[own])], buckets)
-
-    return blobs.reduce_buckets(docs.mapInArrow(send, blobs.SCHEMA), ["<u8", "<i8"], meet, blobs.SCHEMA)
-
-
-def at_home(docs: DataFrame, sent: DataFrame, buckets: int) -> DataFrame:
-    """Texts and blobs of each bucket together, the blobs first."""
-    texts = docs.select(_home_column(buckets).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "uid", "copy", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("payload"), "text")
-    notes = sent.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"), F.lit(False).alias("copy"), "n", "payload", F.lit(None).cast("string").alias("text"))
-    return notes.unionAll(texts).repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
-
-
-def _homes(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple[list[np.ndarray], pa.RecordBatch]]:
-    """Runs of text rows with the columns that the blobs of their bucket hold."""
-    at, held, notes = None, [], None
-    for b in batches:
-        bucket = b.column("bucket").to_numpy()
-        begin, n = blobs.runs(bucket)
-        for s, m in zip(begin.tolist(), n.tolist(), strict=True):
-            if bucket[s] != at:
-                at, held, notes = bucket[s], [], None
-            rows = b.slice(s, m)
-            kind = rows.column("kind").to_numpy()
-            k = int((kind == 0).sum())
-            for x, y in zip(rows.column("n").to_pylist()[:k], rows.column("payload").slice(0, k), strict=True):
-                held.append(blobs.unpack(y.as_py(), x, kinds))
-            if k < m:
-                if notes is None:
-                    notes = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.dtype(t)) for t in kinds]
-                    order = np.argsort(notes[0], kind="stable")
-                    notes, held = [a[order] for a in notes], []
-                yield notes, rows.slice(k)
-
-
-def runs_by_name(home: DataFrame, length: int, buckets: int) -> DataFrame:
+    return home_tags(docs.mapInArrow(send, blobs.SCHEMA), buckets)
+
+
+def home_tags(sent: DataFrame, buckets: int) -> DataFrame:
+    """Notes for documents: tags of the names that they share with others."""
+
+    def start() -> tuple:
+        notes = home.Notes(buckets)
+
+        def meet(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            name, doc = arrays
+            begin, n = blobs.runs(name)
+            own = np.repeat(np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin), n)
+            yield from notes.add(doc[own], tag(name[own], doc[own]))
+
+        return meet, notes.flush
+
+    return blobs.reduce_buckets(sent, ["<u8", "<i8"], start, home.SCHEMA)
+
+
+def runs_by_name(gathered: DataFrame, length: int, buckets: int) -> DataFrame:
     """Blobs, by name, of runs: name, document, row, start, number of strings, and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +154,15 @@ def runs_by_name(home: DataFrame, length: int, buckets: int) -> DataFrame:
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[1]) for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "n", "payload"])
 
-        for (tags,), rows in _homes(batches, ["<u8"]):
-            rows = rows.filter(pc.invert(rows.column("copy"))) if len(tags) else rows.slice(0, 0)
+        for (tags,), copy, rows in home.visits(batches, ["<u8"]):
+            rows = rows.filter(pa.array(~copy)) if len(tags) else rows.slice(0, 0)
             if not rows.num_rows:
                 continue
             ids, uids = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "uid"))
             for own, part, bounds in text_groups(rows.column("text")):
                 begin, count, name, doc = string_names(part, bounds, length)
-                tag = _tag(name, ids[own][doc])
-                hit = tags[np.minimum(np.searchsorted(tags, tag), len(tags) - 1)] == tag
+                mine = tag(name, ids[own][doc])
+                hit = tags[np.minimum(np.searchsorted(tags, mine), len(tags) - 1)] == mine
                 begin, count, name, doc = begin[hit], count[hit], name[hit], doc[hit]
                 pieces = -(-count // RUN)
                 k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -221,7 +179,7 @@ def runs_by_name(home: DataFrame, length: int, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return home.mapInArrow(run, blobs.SCHEMA)
+    return gathered.mapInArrow(run, blobs.SCHEMA)
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -233,12 +191,12 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
         key = key * 512 + np.where(left > k, padded[k : n + k], 0)
     depth, most = 7, int(left.max()) + 1
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
         if depth >= most or rank[order[-1]] == n - 1:
-            return order
+            return np.argsort(rank * n + np.arange(n))
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - depth)] = rank[depth:] + 1
         key = rank * (n + 1) + np.where(left > depth, ahead, 0)
@@ -259,7 +217,7 @@ def common_prefix_blocks(order: np.ndarray, symbols: np.ndarray, left: np.ndarra
     start[1:] = left[:-1] == 0  # the first symbol of a string has none before it
     letter = np.where(start, 0, before)[order]
     target = np.where(start[order], -1, place[order - 1])
-    by = np.argsort(letter * (n + 1) + np.arange(n), kind="stable")
+    by = np.argsort(letter * (n + 1) + np.arange(n))
     same = letter[by[1:]] == letter[by[:-1]]
     previous, following = np.full(n, -1), np.full(n, n)
     previous[by[1:][same]] = by[:-1][same]
@@ -277,7 +235,7 @@ def common_prefix_blocks(order: np.ndarray, symbols: np.ndarray, left: np.ndarra
         last = has & (following[at] > np.repeat(high, size))
         a, z = target[at[first]], target[at[last]]
         of_a, of_z = np.repeat(np.arange(len(low)), size)[first], np.repeat(np.arange(len(low)), size)[last]
-        x, y = np.lexsort((letter[at[first]], of_a)), np.lexsort((letter[at[last]], of_z))
+        x, y = np.argsort(of_a * 512 + letter[at[first]]), np.argsort(of_z * 512 + letter[at[last]])
         a, z = a[x], z[y]
         fresh = lcp[z + 1] < 0
         low, high = a[fresh], z[fresh]
@@ -313,7 +271,7 @@ def least_holders(strings: np.ndarray, width: np.ndarray, holder: np.ndarray, le
 def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Blobs, by document bucket, of row, begin and end of removed bytes."""
 
-    def work(name: np.ndarray, doc: np.ndarray, uid: np.ndarray, start: np.ndarray, count: np.ndarray, strings: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(name: np.ndarray, doc: np.ndarray, uid: np.ndarray, start: np.ndarray, count: np.ndarray, strings: np.ndarray, notes: home.Notes) -> Iterator[pa.RecordBatch]:
         width = count.astype(np.int64) + length - 1
         first = np.cumsum(width) - width
         place = np.arange(len(strings)) - np.repeat(first, width)
@@ -334,7 +292,12 @@ def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
                 w = np.append(w, width[i])
                 lead = np.append(lead, i)
             at = np.concatenate([np.arange(first[i], first[i] + width[i]) for i in lead])
-        least = least_holders(strings[at], w, doc[lead], length)
+        _, inverse, several = np.unique(name[lead], return_inverse=True, return_counts=True)
+        mixed = several[inverse] > 1  # a name with one distinct run needs no search
+        least = np.repeat(doc[lead], w)
+        if mixed.any():
+            sought = np.repeat(mixed, w)
+            least[sought] = least_holders(strings[at[sought]], w[mixed], doc[lead][mixed], length)
         begins = np.cumsum(w) - w
         c = count.astype(np.int64)
         k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
@@ -348,10 +311,10 @@ def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
         opens[1:] = (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1])
         b = np.flatnonzero(opens)
         e = np.append(b[1:], len(place)) - 1
-        yield from _by_home(doc[row[b]], [uid[row[b]], place[b].astype(np.uint32), (place[e] + length).astype(np.uint32)], buckets)
+        yield from notes.add(doc[row[b]], uid[row[b]], place[b].astype(np.uint32), (place[e] + length).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, notes = None, [], home.Notes(buckets)
 
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -372,7 +335,7 @@ def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
                 hi = int(begin[nxt]) if nxt < len(begin) else len(order)
                 w = width[lo:hi]
                 idx = np.repeat(first[lo:hi] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
-                yield from work(*(x[lo:hi] for x in heads), strings[idx])
+                yield from work(*(x[lo:hi] for x in heads), strings[idx], notes)
                 lo = hi
 
         for b in batches:
@@ -386,8 +349,9 @@ def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
                 size = int((heads[4].astype(np.int64) + length - 1).sum())
                 held.append((*heads, np.frombuffer(pa.Codec("zstd", 1).decompress(raw[cut_at:], size, asbytes=True), np.uint8)))
         yield from done()
+        yield from notes.flush()
 
-    return runs.repartition(shuffle_partitions(runs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, blobs.SCHEMA)
+    return blobs.deal(runs).mapInArrow(run, home.SCHEMA)
 
 
 def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,19 +369,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     d = d.withColumn("uid", F.xxhash64("doc_id", "text"))
     buckets = blobs.buckets_of(docs)
-    digests = cut(d.where("doc_id IS NOT NULL").select("doc_id", "uid", F.sha2("text", 256).alias("digest")))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = cut(digests.join(first, "digest").where("doc_id > first").select("doc_id", "uid").distinct())
     known = d.where("doc_id IS NOT NULL")
+    copies = home.copies_of(known)
     sent = shared_names(known, length, buckets)
-    marked = known.join(copies.select("uid", F.lit(True).alias("copy")), "uid", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    runs = runs_by_name(at_home(marked, sent, buckets), length, buckets)
+    runs = runs_by_name(home.gather(known, copies, sent, buckets), length, buckets)
     gone = removed_intervals(runs, length, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (uid, begin, end), rows in _homes(batches, ["<i8", "<u4", "<u4"]):
+        for (uid, begin, end), copies_, rows in home.visits(batches, ["<i8", "<u4", "<u4"]):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, u, copy, t in zip(rows.column("doc_id").to_pylist(), rows.column("uid").to_pylist(), rows.column("copy").to_pylist(), rows.column("text"), strict=True):
+            for i, u, copy, t in zip(rows.column("doc_id").to_pylist(), rows.column("uid").to_pylist(), copies_.tolist(), rows.column("text"), strict=True):
                 raw = t.as_py().encode()
                 a, z = np.searchsorted(uid, u, side="left"), np.searchsorted(uid, u, side="right")
                 if copy:
@@ -438,7 +399,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])  # noqa: B905
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = at_home(marked, gone, buckets).mapInArrow(finish, schema)
+    out = home.gather(known, copies, gone, buckets).mapInArrow(finish, schema)
     bare = d.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "utf-8").alias("kept")] if with_text else []))
     return out.unionAll(bare)
 
