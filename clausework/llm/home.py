@@ -96,6 +96,7 @@ def gather(docs: DataFrame, copies: DataFrame, notes: DataFrame, buckets: int) -
                     size = 0
         if held:
             yield from flush()
+        blobs.release()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Notes(buckets, COPIES)

@@ -350,6 +350,7 @@ def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
                 held.append((*heads, np.frombuffer(pa.Codec("zstd", 1).decompress(raw[cut_at:], size, asbytes=True), np.uint8)))
         yield from done()
         yield from notes.flush()
+        blobs.release()
 
     return blobs.deal(runs).mapInArrow(run, home.SCHEMA)
 
