@@ -4,7 +4,9 @@ A document's set holds the hashes (64 bits) of its distinct word shingles. Equal
 size, are joined first and stand for one. Sizes fall into bands, so that similar sets are in the same or in
 neighbouring bands; for each of the two, the shingle domain is split into parts and each part into three. Two sets that are similar
 enough differ in so few shingles that in some part two thirds agree whole: every part and pair of thirds gives a
-signature. Sets with a common signature meet in the family of the signature's least document, where every pair is
+signature. Unrelated sets would meet in signatures of empty thirds, so there are spare parts: a set that has no more parts with
+thin signatures (fewer than ``THIN`` shingles) than spare ones leaves these signatures out, as a part without them must agree, too;
+of two similar sets, the one that leaves out more still gives a signature that the other gives. Sets with a common signature meet in the family of the signature's least document, where every pair is
 verified exactly; large families are dealt out in tiles, and each tile reports a spanning forest of its links only.
 Components come from star contraction in DataFrame operations.
 
@@ -30,6 +32,7 @@ QUERY = "op10_ngram_jaccard"
 WIDTH, PERCENT = 4, 85
 TILE = 1024
 COLUMNS = 4096
+SPARE_SHARE, SPARE_ROUND, THIN = 6, 4, 2  # a spare part for six needed ones
 _TOP = U64(32)
 
 
@@ -69,21 +72,31 @@ def signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarr
     for step in (0, 1):
         instance = band + step  # pairs of bands instance - 1 and instance, and pairs within instance - 1
         apart = (100 - percent) * (ends[instance - 1] + ends[np.minimum(instance, len(ends) - 1)]) // (100 + percent)
-        parts = np.where(apart > 0, (apart + 2) // 2, 1)
+        needed = np.where(apart > 0, (apart + 2) // 2, 1)
+        spare = np.where(apart > 0, (needed + SPARE_ROUND) // SPARE_SHARE, 0)
+        parts = needed + spare
         base = np.concatenate([[0], np.cumsum(np.where(size > 0, parts * 3, 0))])
         x = mix(h ^ (instance.astype(U64) * U64(0xC2B2AE3D27D4EB4F))[doc])
         part = ((x >> _TOP) * parts.astype(U64)[doc] >> _TOP).astype(np.int64)
         third = ((x & U64(0xFFFFFFFF)) * U64(3) >> _TOP).astype(np.int64)
         sums = np.zeros(int(base[-1]), dtype=U64)
-        np.add.at(sums, base[doc] + part * 3 + third, value)
+        place = base[doc] + part * 3 + third
+        np.add.at(sums, place, value)
         cell = sums.reshape(-1, 3)
+        load = np.bincount(place, minlength=len(sums)).reshape(-1, 3)
         own = np.repeat(full, parts[full])
         number = np.arange(len(own)) - np.repeat(np.cumsum(parts[full]) - parts[full], parts[full])
         whole = cell.sum(axis=1, dtype=U64)
         tag = mix(instance[own].astype(U64) * U64(0x9E3779B97F4A7C15) + number.astype(U64))
         many = apart[own] > 0
+        load = np.where(many[:, None], load.sum(axis=1)[:, None] - load, 1 << 30)
+        begin = np.cumsum(parts[full]) - parts[full]
+        least = np.zeros(len(size), dtype=np.int64)
+        for t in range(1, THIN + 1):
+            thin = np.add.reduceat((load < t).any(axis=1).astype(np.int64), begin)
+            least[full] = np.where(thin <= spare[full], t, least[full])
         for j in range(3):
-            use = many if j else np.ones(len(own), dtype=bool)
+            use = (load[:, j] >= least[own]) & (many | (j == 0))
             left = np.where(many, whole - cell[:, j], whole)
             out.append(mix(left ^ mix(tag + U64(j + 1)))[use])
             of.append(own[use])
