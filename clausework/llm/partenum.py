@@ -59,13 +59,18 @@ def shingle_sets(d: Docs, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets, and which set each is of."""
+    return _signatures(h, first, percent)[:2]
+
+
+def _signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their sets, and whether the set is of the upper of the signature's two bands."""
     size = np.diff(first)
     if not len(h):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
     ends = size_bands(int(size.max()), percent)
     ends = np.append(ends, [max(ends[-1] + 1, (ends[-1] + 1) * 100 // percent)])
     band = np.searchsorted(ends, size)  # ends[band - 1] < size <= ends[band]
-    out, of = [], []
+    out, of, upper = [], [], []
     full = np.flatnonzero(size > 0)
     doc = np.repeat(np.arange(len(size)), size)
     value = mix(h + U64(0x51ED270B7A1F3C2D))
@@ -100,7 +105,8 @@ def signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarr
             left = np.where(many, whole - cell[:, j], whole)
             out.append(mix(left ^ mix(tag + U64(j + 1)))[use])
             of.append(own[use])
-    return np.concatenate(out), np.concatenate(of)
+            upper.append(np.full(len(of[-1]), step == 0))
+    return np.concatenate(out), np.concatenate(of), np.concatenate(upper)
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -139,24 +145,38 @@ def stars(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     seen.add(name)
                 size = np.where(new, np.diff(first), 0)
                 h = h[np.repeat(new, np.diff(first))]
-                sig, of = signatures(h, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), percent)
-                yield from sender.add(sig, ids[d.rows][of])
+                sig, of, upper = _signatures(h, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), percent)
+                yield from sender.add(sig & ~U64(1) | upper.astype(U64), ids[d.rows][of])
         yield from sender.flush()
 
-    def meet(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, doc = arrays
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        begin, n = blobs.runs(key)
-        begin, n = begin[n > 1], n[n > 1]
-        if len(begin):
-            leader = np.repeat(doc[begin], n)
-            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            pairs = np.unique(np.stack([leader, doc[at]], axis=1)[leader != doc[at]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "member"])
+    def start() -> tuple:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                pairs = np.unique(np.concatenate(held), axis=0)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "member"])
+
+        def meet(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, doc = arrays
+            lower, key = (key & U64(1)) == 0, key >> U64(1)
+            order = np.lexsort((doc, key))
+            key, doc, lower = key[order], doc[order], lower[order]
+            begin, n = blobs.runs(key)
+            use = (n > 1) & np.logical_or.reduceat(lower, begin)  # sets of the upper band meet where it is the lower one
+            begin, n = begin[use], n[use]
+            if len(begin):
+                leader = np.repeat(doc[begin], n)
+                at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                held.append(np.unique(np.stack([leader, doc[at]], axis=1)[leader != doc[at]], axis=0))
+            if sum(map(len, held)) >= blobs.FLUSH_ENTRIES:
+                yield from flush()
+
+        return meet, flush
 
     sent = docs.mapInArrow(send, blobs.SCHEMA)
-    return blobs.reduce_buckets(sent, ["<u8", "<i8"], lambda: (meet, lambda: iter(())), "leader long, member long").distinct()
+    return blobs.reduce_buckets(sent, ["<u8", "<i8"], start, "leader long, member long").distinct()
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
