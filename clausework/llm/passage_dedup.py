@@ -3,11 +3,12 @@
 Tokens are five-word shingles, lower-cased. Under each of several hash functions the Cartesian tree over a document's token hashes gives compact
 windows: a node's interval holds all subsequences whose least hash is the node's, so they share a signature. Windows
 at least as wide as a passage are kept, named by function and least hash, and names of one document only are set aside. The rest is dealt out by
-name with the words around the centre; within a name, windows are paired with the earliest one and the one before that agree
-on a side of the centre (exactly, or in its least hash under two more functions), so no group emits all its pairs. Pairs are
-verified on the words: an equal run of at least ``length`` words, or a segment of as many whose shingle sets have a
+name with the words around the centre. Within a name, every frame of ``length`` words around the centre is looked up among those of all
+windows, so no exact repeat is left out. Windows without one are compared with the windows of the name that share one of their
+rarest shingles (so many are taken that no similar pair shares none), the earliest and the nearest first, until one verifies or none is left; a group
+in which many windows are alike but none verifies costs all these pairs. Pairs are verified on the words: an equal run of at least ``length`` words, or a segment of as many whose shingle sets have a
 similarity of 0.8 or more. The passage goes from the document with the larger id. A near passage of similarity 0.8 is missed by
-all four functions with probability 0.002, and by both side keys with 0.04.
+all four functions with probability 0.002.
 
 Copies of a whole text lose all of it if it has ``length`` words, except the least id. Null texts are empty; rows of the same
 id do not remove from each other, rows without an id are returned unchanged. Empty tables give empty results; columns of
@@ -33,8 +34,8 @@ QUERY = "op2_passage_dedup"
 ORACLE_SQL = None
 LENGTH, WIDTH, FUNCTIONS = 50, 5, 4
 PERCENT = 80
-SIDE = 23
 SLICE_ROWS, BLOCK_ROWS = 4_000, 2_048
+FRAME_KEYS, ROUND_PAIRS = 1 << 22, 1 << 14
 _SEEDS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _PLACE = U64((1 << 24) - 1)
 
@@ -162,28 +163,46 @@ def _window_shingles(w: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(s), full
 
 
-def _window_keys(name: np.ndarray, s: np.ndarray, full: np.ndarray, keys: list[tuple[np.ndarray, np.ndarray]], sides: tuple[tuple[int, int], ...]) -> None:
-    """Fill the keys of both sides: exact, and least hash under two functions."""
-    at = 0
-    for a, z in sides:
-        power = np.cumprod(np.full(z - a, U64(0x9E3779B97F4A7C15)), dtype=U64)
-        keys[at][0][:] = mix(name ^ (s[:, a:z] * power).sum(axis=1, dtype=U64))
-        keys[at][1][:] = full[:, a:z].all(axis=1)
-        for g in (5, 6):
-            least = np.where(full[:, a:z], mix(s[:, a:z] ^ _SEEDS[g]), U64(2**64 - 1)).min(axis=1)
-            keys[at + g - 4][0][:] = mix(name ^ mix(least + U64(a * 8 + g)))
-            keys[at + g - 4][1][:] = full[:, a:z].sum(axis=1) >= SIDE // 2
-        at += 3
+def _rounds(key: np.ndarray, rows: np.ndarray, rank: np.ndarray, open_: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (row * m + earlier row) of equal key, in rounds: with the least, the one before, the second before, and so on.
+
+    Rows that are not ``open_`` any more when a round begins ask for no more partners; there is no bound on the rounds.
+    """
+    m = len(rank)
+    order = np.lexsort((rank[rows], key))
+    rows = rows[order]
+    begin, size = blobs.runs(key[order])
+    place = np.arange(len(rows)) - np.repeat(begin, size)
+    lead = np.repeat(begin, size)
+    own = np.flatnonzero((place > 0) & open_[rows])
+    yield np.unique(np.concatenate([rows[own] * m + rows[lead[own]], rows[own] * m + rows[own - 1]]))
+    far = 2
+    while True:
+        own = own[(place[own] > far) & open_[rows[own]]]
+        if not len(own):
+            return
+        step = max(1, ROUND_PAIRS // len(own))
+        for at in range(0, len(own), ROUND_PAIRS):
+            some = own[at : at + ROUND_PAIRS]
+            back = np.arange(far, far + step)
+            some, back = np.repeat(some, step), np.tile(back, len(some))
+            fits = (place[some] > back) & open_[rows[some]]
+            yield np.unique(rows[some[fits]] * m + rows[some[fits] - back[fits]])
+        far += step
 
 
 def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndarray, count: np.ndarray, words: np.ndarray, length: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows whose window repeats an earlier document's, with begin and end of the passage in words from the window's start.
 
     The words of window i are ``words[first[i] : first[i] + count[i]]``; windows are laid out in blocks only, so that a large group
-    needs its keys and words.
+    needs its keys and words. Every exact repeat of ``length`` words that two windows of a name hold around their centre is found; a window
+    without one is compared with the windows of its name that share enough shingles with it until one verifies or none is left.
     """
     reach, m = length - WIDTH, len(name)
-    wide = 2 * reach + WIDTH
+    wide, span = 2 * reach + WIDTH, 2 * reach + 1
+    rank = np.empty(m, np.int64)
+    by_rank = np.argsort(doc, kind="stable")
+    rank[by_rank] = np.arange(m)
 
     def dense(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = count[rows].astype(np.int64)
@@ -192,64 +211,116 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
         w[np.repeat(np.arange(len(rows)), n), place + np.repeat(reach - back[rows].astype(np.int64), n)] = words[place + np.repeat(first[rows], n)]
         return w, w < 65536
 
-    sides = ((reach, reach + SIDE), (reach - SIDE + 1, reach + 1))
-    keys = [(np.empty(m, U64), np.empty(m, bool)) for _ in range(6)]
-    for low in range(0, m, BLOCK_ROWS):
-        own = slice(low, low + BLOCK_ROWS)
-        s, full = _window_shingles(*dense(np.arange(low, min(low + BLOCK_ROWS, m))))
-        _window_keys(name[own], s, full, [(k[own], ok[own]) for k, ok in keys], sides)
-    pairs = []
-    for key, ok in keys:
-        rows = np.flatnonzero(ok)
-        rows = rows[np.lexsort((doc[rows], key[rows]))]
-        begin, size = blobs.runs(key[rows])
-        lead = np.repeat(rows[begin], size)
-        before = np.concatenate([rows[:1], rows[:-1]])
-        inside = np.ones(len(rows), dtype=bool)
-        inside[begin] = False
-        for other in (lead, before):
-            use = inside & (doc[other] < doc[rows])
-            pairs.append(rows[use] * m + other[use])
-    pairs = np.unique(np.concatenate(pairs))
-    if not len(pairs):
-        return (np.zeros(0, np.int64),) * 3
-    rows_out, begin_out, end_out = [], [], []
-    done = np.zeros(m, dtype=bool)
+    def blocks() -> Iterator[np.ndarray]:
+        for low in range(0, m, BLOCK_ROWS):
+            yield np.arange(low, min(low + BLOCK_ROWS, m))
+
+    def frames() -> np.ndarray:
+        """Pairs of a row and the earliest one with an equal frame of ``length`` words at the same distance from the centre."""
+        power = np.cumprod(np.full(wide, U64(0x9E3779B97F4A7C15)), dtype=U64)
+        step = max(1, FRAME_KEYS // max(m, 1))
+        out = [np.zeros(0, np.int64)]
+        for a in range(0, reach + 1, step):
+            at = np.arange(a, min(a + step, reach + 1))
+            keys, whose = [], []
+            for own in blocks():
+                w, there = dense(own)
+                total = np.zeros((len(own), wide + 1), U64)
+                np.cumsum((w.astype(U64) + U64(1)) * power, axis=1, out=total[:, 1:])
+                i, k = np.nonzero(there[:, at] & there[:, at + length - 1])
+                keys.append(mix(name[own][i] ^ mix(total[i, at[k] + length] - total[i, at[k]])))
+                whose.append(own[i])
+            key, rows = np.concatenate(keys), np.concatenate(whose)
+            order = np.argsort(key)
+            begin, size = blobs.runs(key[order])
+            begin, size, many = begin[size > 1], size[size > 1], np.repeat(size > 1, size)
+            if len(begin):
+                rows = rows[order][many]
+                begin = np.cumsum(size) - size
+                lead = np.repeat(by_rank[np.minimum.reduceat(rank[rows], begin)], size)
+                ok = doc[lead] < doc[rows]
+                out.append(np.unique(rows[ok] * m + lead[ok]))
+        return np.unique(np.concatenate(out))
+
+    def shingle_keys() -> tuple[np.ndarray, np.ndarray]:
+        """Keys and rows: of each window its rarest shingles, so many that two windows with enough shingles in common share one.
+
+        Segments of similarity ``percent`` have ``least`` places in common at least. Shingles are ordered by a count of their hash's cell
+        in the group, then by hash; those that stand alone in their cell have no partner.
+        """
+        frame = length - WIDTH + 1
+        least = -(-2 * frame * percent // (100 + percent))
+        cells = np.zeros(1 << 20, np.int64)
+        for own in blocks():
+            s, full = _window_shingles(*dense(own))
+            cells += np.bincount((mix(s ^ name[own, None]) >> U64(44)).astype(np.int64)[full], minlength=len(cells))
+        keys, whose = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for own in blocks():
+            s, full = _window_shingles(*dense(own))
+            key = mix(s ^ name[own, None])
+            n = cells[(key >> U64(44)).astype(np.int64)]
+            order = np.argsort(np.where(full, (n.astype(U64) << U64(40)) | (key & U64((1 << 40) - 1)), U64(2**64 - 1)), axis=1)
+            i, k = np.nonzero(np.arange(span) <= (full.sum(axis=1) - least)[:, None])
+            k = order[i, k]
+            some = full[i, k] & (n[i, k] > 1)
+            keys.append(key[i, k][some])
+            whose.append(own[i][some])
+        key, rows = np.concatenate(keys), np.concatenate(whose)
+        order = np.lexsort((rows, key))
+        key, rows = key[order], rows[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (rows[1:] != rows[:-1])
+        return key[new], rows[new]
+
+    rows_out, begin_out, end_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    open_ = np.ones(m, dtype=bool)
+    pairs = frames()
     for at in range(0, len(pairs), 4096):
         b, a = np.divmod(pairs[at : at + 4096], m)
         (wb, there), (wa, _) = dense(b), dense(a)
         same = (wb == wa) & there
         right = np.argmin(np.concatenate([same[:, reach:], np.zeros((len(b), 1), bool)], axis=1), axis=1)
         left = np.argmin(np.concatenate([same[:, reach::-1], np.zeros((len(b), 1), bool)], axis=1), axis=1)
-        run = right + left - 1
-        ok = run >= length
+        ok = right + left - 1 >= length
         rows_out.append(b[ok])
         begin_out.append(reach - left[ok] + 1)
         end_out.append(reach + right[ok])
-        done[b[ok]] = True
-    rest = pairs[~done[pairs // m]]
-    span = wide - WIDTH + 1
-    for at in range(0, len(rest), 512):
-        b, a = np.divmod(rest[at : at + 512], m)
-        (sb, full), (sa, there) = _window_shingles(*dense(b)), _window_shingles(*dense(a))
-        sb, sa = np.where(full, sb, U64(1)), np.where(there, sa, U64(2))
-        hit = sb[:, :, None] == sa[:, None, :]
-        mine = hit.any(axis=2)
-        gain = np.where(mine, 1, np.where(full, -4, -1000))
-        up = np.cumsum(gain[:, reach:], axis=1)
-        down = np.cumsum(gain[:, reach::-1], axis=1)
-        hi, lo = reach + up.argmax(axis=1), reach - down.argmax(axis=1)
-        inside = (np.arange(span) >= lo[:, None]) & (np.arange(span) <= hi[:, None])
-        common = (mine & inside).sum(axis=1)
-        theirs = (hit & inside[:, :, None]).any(axis=1)
-        spread = np.where(theirs.any(axis=1), span - theirs[:, ::-1].argmax(axis=1) - theirs.argmax(axis=1), 0)
-        ok = (hi - lo + WIDTH >= length) & (100 * common >= percent * (hi - lo + 1 + spread - common))
-        rows_out.append(b[ok])
-        begin_out.append(lo[ok])
-        end_out.append(hi[ok] + WIDTH)
+        open_[b[ok]] = False
+    for pairs in _rounds(*shingle_keys(), rank, open_) if open_.any() else ():
+        b, a = np.divmod(pairs, m)
+        pairs = pairs[(name[b] == name[a]) & (doc[a] < doc[b])]
+        for at in range(0, len(pairs), 512):
+            b, a = np.divmod(pairs[at : at + 512], m)
+            b, a = b[open_[b]], a[open_[b]]
+            if not len(b):
+                continue
+            (sb, full), (sa, there) = _window_shingles(*dense(b)), _window_shingles(*dense(a))
+            ok, lo, hi = similar(np.where(full, sb, U64(1)), np.where(there, sa, U64(2)), full, length, percent)
+            rows_out.append(b[ok])
+            begin_out.append(lo[ok])
+            end_out.append(hi[ok] + WIDTH)
+            open_[b[ok]] = False
     rows = np.concatenate(rows_out)
     shift = reach - back.astype(np.int64)[rows]
-    return rows, np.concatenate(begin_out) - shift, np.concatenate(end_out) - shift
+    found = np.unique(np.stack([rows, np.concatenate(begin_out) - shift, np.concatenate(end_out) - shift], axis=1), axis=0)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def similar(sb: np.ndarray, sa: np.ndarray, full: np.ndarray, length: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether windows of shingles ``sb`` hold a segment similar to one of ``sa``, with its first and last shingle."""
+    span = sb.shape[1]
+    reach = span // 2
+    hit = sb[:, :, None] == sa[:, None, :]
+    mine = hit.any(axis=2)
+    gain = np.where(mine, 1, np.where(full, -4, -1000))
+    up = np.cumsum(gain[:, reach:], axis=1)
+    down = np.cumsum(gain[:, reach::-1], axis=1)
+    hi, lo = reach + up.argmax(axis=1), reach - down.argmax(axis=1)
+    inside = (np.arange(span) >= lo[:, None]) & (np.arange(span) <= hi[:, None])
+    common = (mine & inside).sum(axis=1)
+    theirs = (hit & inside[:, :, None]).any(axis=1)
+    spread = np.where(theirs.any(axis=1), span - theirs[:, ::-1].argmax(axis=1) - theirs.argmax(axis=1), 0)
+    return (hi - lo + WIDTH >= length) & (100 * common >= percent * (hi - lo + 1 + spread - common)), lo, hi
 
 
 def passages(named: DataFrame, length: int, percent: int, buckets: int) -> DataFrame:

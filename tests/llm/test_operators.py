@@ -98,6 +98,16 @@ def test_near_passage_is_found(spark):
     assert got[1] == 0 and 100 <= got[2] <= 125 and got[None] == 0
 
 
+def test_hot_prefix_with_tails_in_pairs(spark):
+    rng = random.Random(12)
+    shared = " ".join(f"s{i}" for i in range(44))
+    tails = [" ".join(f"t{k}x{i}" for i in range(6)) for k in range(150)]
+    order = [k for k in range(150)] + rng.sample(range(150), 150)
+    rows = [(i, f"{prose(rng, 60, 10**6)} {shared} {tails[k]} {prose(rng, 60, 10**6)}") for i, k in enumerate(order)]
+    got = {r.doc_id: r.n_removed for r in passage_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] >= 50 for i in range(150, 300))
+
+
 def test_cartesian_intervals():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 2**62, 500, dtype=np.uint64)
