@@ -307,20 +307,41 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
 
 
 def similar(sb: np.ndarray, sa: np.ndarray, full: np.ndarray, length: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether windows of shingles ``sb`` hold a segment similar to one of ``sa``, with its first and last shingle."""
-    span = sb.shape[1]
-    reach = span // 2
-    hit = sb[:, :, None] == sa[:, None, :]
-    mine = hit.any(axis=2)
-    gain = np.where(mine, 1, np.where(full, -4, -1000))
-    up = np.cumsum(gain[:, reach:], axis=1)
-    down = np.cumsum(gain[:, reach::-1], axis=1)
-    hi, lo = reach + up.argmax(axis=1), reach - down.argmax(axis=1)
-    inside = (np.arange(span) >= lo[:, None]) & (np.arange(span) <= hi[:, None])
-    common = (mine & inside).sum(axis=1)
-    theirs = (hit & inside[:, :, None]).any(axis=1)
-    spread = np.where(theirs.any(axis=1), span - theirs[:, ::-1].argmax(axis=1) - theirs.argmax(axis=1), 0)
-    return (hi - lo + WIDTH >= length) & (100 * common >= percent * (hi - lo + 1 + spread - common)), lo, hi
+    """Whether windows of shingles ``sb`` hold a segment similar to one of ``sa``, with its first and last shingle.
+
+    All segments of ``length`` words or more that hold the centre are tried. The longest that begins and ends on a common shingle is
+    taken, without such a one the most similar.
+    """
+    n, span = sb.shape
+    reach, frame = span // 2, length - WIDTH + 1
+    ok, lo, hi = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    mine = (sb[:, :, None] == sa[:, None, :]).any(axis=2)
+    some = np.flatnonzero((100 + percent) * mine.sum(axis=1) >= 2 * percent * frame)
+    if not len(some):
+        return ok, lo, hi
+    mine, full = mine[some], full[some]
+    far = np.abs(np.arange(span)[:, None] - np.arange(span)).astype(np.int16)
+    near = np.where(sb[some][:, :, None] == sa[some][:, None, :], far, np.int16(span)).argmin(axis=2).astype(np.int16)
+
+    def outward(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[:, reach::-1], x[:, reach:]
+
+    def table(left: np.ndarray, right: np.ndarray, how: np.ufunc) -> np.ndarray:
+        return how(left[:, :, None], right[:, None, :])
+
+    count = table(*(np.cumsum(x, axis=1, dtype=np.int16) for x in outward(mine)), np.add) - mine[:, reach, None, None].astype(np.int16)
+    lowest = table(*(np.minimum.accumulate(x, axis=1) for x in outward(np.where(mine, near, np.int16(span)))), np.minimum)
+    highest = table(*(np.maximum.accumulate(x, axis=1) for x in outward(np.where(mine, near, np.int16(-1)))), np.maximum)
+    whole = table(*(np.logical_and.accumulate(x, axis=1) for x in outward(full)), np.logical_and)
+    size = (np.arange(reach + 1)[:, None] + np.arange(1, reach + 2)).astype(np.int16)
+    union = size + np.maximum(highest - lowest + 1, frame).astype(np.int16) - count
+    good = whole & (size >= frame) & (np.int32(100) * count >= np.int32(percent) * union)
+    ends = table(*outward(mine), np.logical_and)
+    grade = np.where(good, np.where(ends, 2000 + size, 1000 * count.astype(np.int32) // np.maximum(union, 1)), -1).reshape(len(some), -1)
+    best = grade.argmax(axis=1)
+    left, right = np.divmod(best, reach + 1)
+    ok[some], lo[some], hi[some] = grade.max(axis=1) >= 0, reach - left, reach + right
+    return ok, lo, hi
 
 
 def passages(named: DataFrame, length: int, percent: int, buckets: int) -> DataFrame:

@@ -108,6 +108,36 @@ def test_hot_prefix_with_tails_in_pairs(spark):
     assert all(got[i] >= 50 for i in range(150, 300))
 
 
+def test_one_changed_word_at_every_place():
+    rng = np.random.default_rng(5)
+    length, width = passage_dedup.LENGTH, passage_dedup.WIDTH
+
+    def brute(b, a):
+        """Whether any two segments of 46 shingles or more, the first around the centre, have a similarity of 0.8."""
+        n = length - width + 1
+        sb, sa = ([tuple(x[i : i + width]) for i in range(len(x) - width + 1)] for x in (b.tolist(), a.tolist()))
+        for lo in range(n):
+            for hi in range(max(lo + n, n), len(sb) + 1):
+                x = set(sb[lo:hi])
+                for k in range(max(0, lo - 2), min(len(sa), hi + 2) - (hi - lo) + 1):
+                    y = set(sa[k : k + hi - lo])
+                    if 5 * len(x & y) >= 4 * len(x | y):
+                        return True
+        return False
+
+    for size in (50, 80):
+        for change in range(size):
+            for at in sorted({0, size // 2 - 2, size - width} - set(range(change - width + 1, change + 1))):
+                p = rng.integers(0, 60_000, size)
+                q = p.copy()
+                q[change] = 60_001
+                a, b = (np.concatenate([rng.integers(0, 60_000, 45), x, rng.integers(0, 60_000, 45)])[at : at + 95] for x in (p, q))
+                words = np.concatenate([a, b]).astype(np.uint16)
+                rows, begin, end = passage_dedup.verified(np.full(2, 7, np.uint64), np.array([1, 2]), np.full(2, 45, np.uint8), np.array([0, 95]), np.full(2, 95, np.uint8), words, length, 80)
+                assert (len(rows) > 0) == brute(b, a), (size, change, at)
+                assert len(rows) == 0 or (end - begin).max() >= length
+
+
 def test_cartesian_intervals():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 2**62, 500, dtype=np.uint64)
