@@ -1,14 +1,20 @@
-"""Exact n-gram Jaccard join of documents by PartEnum signatures.
+"""Exact n-gram Jaccard join of documents by PartEnum signatures, in two rounds.
 
 A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets, told apart by two 64-bit sums and their
-size, are joined first and stand for one. Sizes fall into bands, so that similar sets are in the same or in
+size, are joined first and the least id stands for all. Sizes fall into bands, so that similar sets are in the same or in
 neighbouring bands; for each of the two, the shingle domain is split into parts and each part into three. Two sets that are similar
 enough differ in so few shingles that in some part two thirds agree whole: every part and pair of thirds gives a
 signature. Unrelated sets would meet in signatures of empty thirds, so there are spare parts: a set that has no more parts with
 thin signatures (fewer than ``THIN`` shingles) than spare ones leaves these signatures out, as a part without them must agree, too;
-of two similar sets, the one that leaves out more still gives a signature that the other gives. Sets with a common signature meet in the family of the signature's least document, where every pair is
-verified exactly; large families are dealt out in tiles, and each tile reports a spanning forest of its links only.
-Components come from star contraction in DataFrame operations.
+of two similar sets, the one that leaves out more still gives a signature that the other gives.
+
+Near copies share hundreds of signatures, and each would find the same pairs again. So the first round takes the signatures of ``LEAD`` parts alone
+and compares each document with the least one of its signature only, which links most near copies at a cost in proportion to their number. The second
+round takes all signatures. One whose documents are all known to be in one component has nothing to add; else they meet in the family
+of its least document, where all pairs of different components are verified exactly. Large families are dealt out in tiles: documents
+outside the family's largest component meet all others, those inside never each other.
+Components come from star contraction in DataFrame operations. Ids of documents wanted again are sought by a bitmap of bounded
+size, so that only their texts, and some more, are shuffled; the join after it is exact.
 
 Null and empty texts have no set and are linked with nothing. Documents of the same id are one node of the graph, each row keeps its own
 size; rows without an id come out with a null component. Empty tables give empty results; other columns are not read.
@@ -16,14 +22,14 @@ size; rows without an id come out with a null component. Empty tables give empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm import blobs
+from clausework.llm import blobs, bitmap
 from clausework.llm.graph import components
 from clausework.llm.session import cut, table
 from clausework.llm.words import U64, Docs, documents, mix, shingles
@@ -33,6 +39,7 @@ WIDTH, PERCENT = 4, 85
 TILE = 1024
 COLUMNS = 4096
 SPARE_SHARE, SPARE_ROUND, THIN = 6, 4, 2  # a spare part for six needed ones
+LEAD, LEAD_LOAD = 2, 4  # parts of the first round, and the least shingles of a signature there
 _TOP = U64(32)
 
 
@@ -62,8 +69,8 @@ def signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarr
     return _signatures(h, first, percent)[:2]
 
 
-def _signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, their sets, and whether the set is of the upper of the signature's two bands."""
+def _signatures(h: np.ndarray, first: np.ndarray, percent: int, lead: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their sets, and whether the set is of the upper of the signature's two bands; with ``lead``, of so many parts only."""
     size = np.diff(first)
     if not len(h):
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -80,28 +87,31 @@ def _signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
         needed = np.where(apart > 0, (apart + 2) // 2, 1)
         spare = np.where(apart > 0, (needed + SPARE_ROUND) // SPARE_SHARE, 0)
         parts = needed + spare
-        base = np.concatenate([[0], np.cumsum(np.where(size > 0, parts * 3, 0))])
+        kept = parts if lead is None else np.minimum(parts, lead)
+        base = np.concatenate([[0], np.cumsum(np.where(size > 0, kept * 3, 0))])
         x = mix(h ^ (instance.astype(U64) * U64(0xC2B2AE3D27D4EB4F))[doc])
         part = ((x >> _TOP) * parts.astype(U64)[doc] >> _TOP).astype(np.int64)
         third = ((x & U64(0xFFFFFFFF)) * U64(3) >> _TOP).astype(np.int64)
         sums = np.zeros(int(base[-1]), dtype=U64)
         place = base[doc] + part * 3 + third
-        np.add.at(sums, place, value)
+        near = part < kept[doc]
+        place = place[near]
+        np.add.at(sums, place, value[near])
         cell = sums.reshape(-1, 3)
         load = np.bincount(place, minlength=len(sums)).reshape(-1, 3)
-        own = np.repeat(full, parts[full])
-        number = np.arange(len(own)) - np.repeat(np.cumsum(parts[full]) - parts[full], parts[full])
+        own = np.repeat(full, kept[full])
+        begin = np.cumsum(kept[full]) - kept[full]
+        number = np.arange(len(own)) - np.repeat(begin, kept[full])
         whole = cell.sum(axis=1, dtype=U64)
         tag = mix(instance[own].astype(U64) * U64(0x9E3779B97F4A7C15) + number.astype(U64))
         many = apart[own] > 0
         load = np.where(many[:, None], load.sum(axis=1)[:, None] - load, 1 << 30)
-        begin = np.cumsum(parts[full]) - parts[full]
         least = np.zeros(len(size), dtype=np.int64)
-        for t in range(1, THIN + 1):
+        for t in range(1, THIN + 1) if lead is None else ():
             thin = np.add.reduceat((load < t).any(axis=1).astype(np.int64), begin)
             least[full] = np.where(thin <= spare[full], t, least[full])
         for j in range(3):
-            use = (load[:, j] >= least[own]) & (many | (j == 0))
+            use = (load[:, j] >= least[own]) & (many | (j == 0)) if lead is None else (load[:, j] >= LEAD_LOAD) & many
             left = np.where(many, whole - cell[:, j], whole)
             out.append(mix(left ^ mix(tag + U64(j + 1)))[use])
             of.append(own[use])
@@ -109,12 +119,19 @@ def _signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
     return np.concatenate(out), np.concatenate(of), np.concatenate(upper)
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and the two sums that name the set."""
+def _keys(h: np.ndarray, first: np.ndarray, percent: int, lead: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures whose lowest bit tells the upper band, and their sets."""
+    sig, of, upper = _signatures(h, first, percent, lead)
+    return sig & ~U64(1) | upper.astype(U64), of
+
+
+def set_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, the two sums that name the set, and the signatures of the first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, s1, s2 = (np.zeros(b.num_rows, t) for t in (np.int64, U64, U64))
+            keys, count = [np.zeros(0, U64)], np.zeros(b.num_rows + 1, np.int32)
             for d in documents(b.column(1), lower=True):
                 h, first = shingle_sets(d, width)
                 n[d.rows] = np.diff(first)
@@ -122,32 +139,57 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
                 if len(full):
                     s1[d.rows[full]] = np.add.reduceat(mix(h), first[:-1][full])
                     s2[d.rows[full]] = np.add.reduceat(mix(h ^ U64(0xA5A5A5A55A5A5A5A)), first[:-1][full])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n_shingles", "s1", "s2"])
+                key, of = _keys(h, first, percent, LEAD)
+                keys.append(key[np.argsort(of, kind="stable")])
+                count[d.rows + 1] = np.bincount(of, minlength=len(d.rows))
+            lead = pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lead], names=["doc_id", "n_shingles", "s1", "s2", "lead"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, lead array<long>")
+
+
+def lead_stars(rows: DataFrame) -> DataFrame:
+    """leader, member (leaders' own rows included): first-round signatures' least documents and the others."""
+    n_buckets = blobs.buckets_of(rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = blobs.Sender(n_buckets)
+        for b in batches:
+            keys, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
+            count = np.diff(keys.offsets.to_numpy())
+            own = np.repeat(ids, count)
+            yield from sender.add(keys.flatten().to_numpy(zero_copy_only=False).view(U64), own, own)
+        yield from sender.flush()
+
+    return stars(rows.select("doc_id", "lead").mapInArrow(send, blobs.SCHEMA))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
+def all_stars(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Stars of all signatures whose documents are not yet in one component.
 
-def stars(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """leader, member: for each signature its least document and each other one."""
+    ``known`` (doc_id, component, copy) names the components found so far; copies send nothing. Rows it cannot hold are read in place.
+    """
     n_buckets = blobs.buckets_of(docs)
+    seen = bitmap.build(known.select("doc_id"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = blobs.Sender(n_buckets)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            seen: set[tuple[int, int]] = set()
+            if b.num_columns == 2:
+                b = b.filter(pa.array(~seen.might_hold(b.column(0).to_numpy(zero_copy_only=False))))
+            ids, component = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, b.num_columns - 1 if b.num_columns == 3 else 0))
             for d in documents(b.column(1), lower=True):
-                h, first = shingle_sets(d, width)
-                sums = [int(h[a:z].sum(dtype=U64)) for a, z in zip(first[:-1], first[1:], strict=True)]
-                new = np.ones(len(sums), dtype=bool)
-                for i, name in enumerate(zip(sums, np.diff(first).tolist(), strict=True)):
-                    new[i] = name not in seen
-                    seen.add(name)
-                size = np.where(new, np.diff(first), 0)
-                h = h[np.repeat(new, np.diff(first))]
-                sig, of, upper = _signatures(h, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), percent)
-                yield from sender.add(sig & ~U64(1) | upper.astype(U64), ids[d.rows][of])
+                key, of = _keys(*shingle_sets(d, width), percent)
+                yield from sender.add(key, ids[d.rows][of], component[d.rows][of])
         yield from sender.flush()
+        blobs.release()
+
+    again = seen.narrow(docs).join(known, "doc_id", "left").where("copy IS NULL OR NOT copy").select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
+    return stars(docs.mapInArrow(send, blobs.SCHEMA).unionAll(again.mapInArrow(send, blobs.SCHEMA)))
+
+
+def stars(sent: DataFrame) -> DataFrame:
+    """leader, member, leader_component, component: for each signature of several components its least document and each other one."""
 
     def start() -> tuple:
         held: list[np.ndarray] = []
@@ -156,33 +198,35 @@ def stars(docs: DataFrame, width: int, percent: int) -> DataFrame:
             if held:
                 pairs = np.unique(np.concatenate(held), axis=0)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], names=["leader", "member", "leader_component", "component"])
 
         def meet(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, doc = arrays
+            key, doc, component = arrays
             lower, key = (key & U64(1)) == 0, key >> U64(1)
             order = np.lexsort((doc, key))
-            key, doc, lower = key[order], doc[order], lower[order]
+            key, doc, lower, component = key[order], doc[order], lower[order], component[order]
             begin, n = blobs.runs(key)
-            use = (n > 1) & np.logical_or.reduceat(lower, begin)  # sets of the upper band meet where it is the lower one
+            if not len(begin):
+                return
+            use = np.logical_or.reduceat(lower, begin)  # sets of the upper band meet where it is the lower one
+            use &= np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)
             begin, n = begin[use], n[use]
             if len(begin):
-                leader = np.repeat(doc[begin], n)
+                lead = np.repeat(begin, n)
                 at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                held.append(np.unique(np.stack([leader, doc[at]], axis=1)[leader != doc[at]], axis=0))
+                lead, at = lead[doc[lead] != doc[at]], at[doc[lead] != doc[at]]
+                held.append(np.unique(np.stack([doc[lead], doc[at], component[lead], component[at]], axis=1), axis=0))
             if sum(map(len, held)) >= blobs.FLUSH_ENTRIES:
                 yield from flush()
 
         return meet, flush
 
-    sent = docs.mapInArrow(send, blobs.SCHEMA)
-    return blobs.reduce_buckets(sent, ["<u8", "<i8"], start, "leader long, member long").distinct()
+    return blobs.reduce_buckets(sent, ["<u8", "<i8", "<i8"], start, "leader long, member long, leader_component long, component long").distinct()
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first set of its component under verified links."""
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of ``sets``."""
     m = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.float32)
     every = np.concatenate(sets)
     of = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
@@ -198,8 +242,16 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         block[row[at:end], column[at:end] - low] = 1
         both += block @ block.T
         at = end
+    return both
+
+
+def linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the first set of its component, under the known components and verified links between them."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.float32)
+    both = _common(sets)
     link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    np.fill_diagonal(link, True)
+    link |= component[:, None] == component[None, :]
     name = np.arange(m)
     while True:
         new = np.where(link, name[None, :], m).min(axis=1)
@@ -209,55 +261,96 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         name = new
 
 
-def family_links(docs: DataFrame, star: DataFrame, width: int, percent: int, tile: int = TILE) -> DataFrame:
-    """a, b: verified links that span each tile of each family."""
-    members = star.unionAll(star.select("leader", F.col("leader").alias("member")).distinct())
-    sizes = members.groupBy("leader").agg(F.count("*").alias("m"))
-    d = members.join(sizes, "leader").withColumn("blocks", F.ceil(F.col("m") / tile).cast("int"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    d = d.withColumn("t", F.explode(pairs)).select("leader", "t.i", "t.j", "member")
-    wanted = members.select(F.col("member").alias("doc_id")).distinct()
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[bytes] = []
-            for docs_ in documents(b.column(1), lower=True):
-                h, first = shingle_sets(docs_, width)
-                out += [h[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["member", "s"])
+def _sets(group: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows with a set, and their sets."""
+    rows, sets = [], []
+    for d in documents(group.column("text"), lower=True):
+        h, first = shingle_sets(d, width)
+        some = np.flatnonzero(np.diff(first))
+        rows.append(d.rows[some])
+        sets += [h[first[i] : first[i + 1]] for i in some]
+    return np.concatenate(rows), sets
+
 
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(build, "member long, s binary")
+def _verified_tiles(docs: DataFrame, tiles: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """a, b of ``work`` on each tile (leader, i, j, with member and component), with the members' texts."""
+    texts = bitmap.build(tiles.select(F.col("member").alias("doc_id")).distinct()).narrow(docs).select(F.col("doc_id").alias("member"), "text")
+    return tiles.join(texts, "member").groupBy("leader", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def star_links(docs: DataFrame, star: DataFrame, width: int, percent: int, tile: int = TILE) -> DataFrame:
+    """a, b: members that are similar to the leader of their star."""
+    sizes = star.groupBy("leader").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    d = star.join(sizes, "leader").select("leader", F.lit(0).alias("i"), F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("j"), "member")
+    d = cut(d.unionAll(sizes.select("leader", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("leader").alias("member"))))
+
+    def verify(group: pa.Table) -> pa.Table:
+        rows, sets = _sets(group, width)
+        ids = group.column("member").to_numpy()[rows]
+        lead = int(group.column("leader")[0].as_py())
+        found = np.zeros(len(ids), bool)
+        if len(ids):
+            size = np.array([len(s) for s in sets])
+            every, first = np.concatenate(sets), np.cumsum(size) - size
+            for k in np.flatnonzero(ids == lead):
+                common = np.add.reduceat(np.isin(every, sets[k]).astype(np.int64), first)
+                found |= 100 * common >= percent * (size + len(sets[k]) - common)
+        a = np.unique(ids[found & (ids != lead)])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.full(len(a), lead, np.int64))})
+
+    return _verified_tiles(docs, d, verify)
+
+
+def family_links(docs: DataFrame, star: DataFrame, width: int, percent: int, tile: int = TILE) -> DataFrame:
+    """a, b: documents of different components that verified links join, enough to span each tile of each family."""
+    members = star.select("leader", "member", "component").unionAll(star.select("leader", F.col("leader").alias("member"), F.col("leader_component").alias("component")).distinct())
+    largest = members.groupBy("leader", "component").agg(F.count("*").alias("m")).groupBy("leader").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("inside"), F.sum("m").alias("m"))
+    d = members.join(largest.select("leader", "main", F.ceil(F.col("inside") / tile).cast("int").alias("na"), F.ceil((F.col("m") - F.col("inside")) / tile).cast("int").alias("nb")), "leader")
+    d = d.withColumn("outside", F.col("component") != F.col("main"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("member"), F.when(F.col("outside"), F.col("nb")).otherwise(F.col("na"))).cast("int"))
+    d = d.withColumn("t", F.explode(F.expr("""
+        CASE WHEN outside
+        THEN concat(transform(sequence(0, na - 1), k -> named_struct('i', block, 'j', nb + k)), transform(filter(sequence(0, nb - 1), k -> k <> block), k -> named_struct('i', least(block, k), 'j', greatest(block, k))))
+        ELSE transform(sequence(0, nb - 1), k -> named_struct('i', k, 'j', nb + block)) END""")))
+    d = cut(d.select("leader", "t.i", "t.j", "member", "component"))
 
     def verify(group: pa.Table) -> pa.Table:
-        ids = group.column("member").to_numpy()
-        s = [np.frombuffer(x, U64) for x in group.column("s").to_pylist()]
+        rows, s = _sets(group, width)
+        ids, component = (group.column(c).to_numpy()[rows] for c in ("member", "component"))
         if len(s) == 2:
             common = len(np.intersect1d(s[0], s[1], assume_unique=True))
             name = np.array([0, 0 if 100 * common >= percent * (len(s[0]) + len(s[1]) - common) else 1])
         else:
-            name = linked(s, percent)
-        own = np.flatnonzero(ids != ids[name])
-        return pa.table({"a": pa.array(ids[own]), "b": pa.array(ids[name[own]])})
+            name = linked(s, component, percent) if len(s) else np.zeros(0, np.int64)
+        own = np.flatnonzero(component != component[name])
+        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[name[own]], pa.int64())})
 
-    return d.join(sets, "member").groupBy("leader", "i", "j").applyInArrow(verify, "a long, b long")
+    return _verified_tiles(docs, d, verify)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(set_rows(d, width))
+    rows = cut(set_rows(d, width, percent))
+    d = d.where("doc_id IS NOT NULL")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    names = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    names = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = cut(known.join(names, ["n_shingles", "s1", "s2"]).select("doc_id", "rep").where("doc_id <> rep").distinct())
-    star = stars(d.where("doc_id IS NOT NULL"), width, percent)
-    for c in ("leader", "member"):
-        star = star.join(same.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
-    star = cut(star.where("leader <> member").distinct())
-    links = family_links(d, star, width, percent).unionAll(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = components(links)
-    out = rows.join(found, rows.doc_id == found.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    several = known.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2")).alias("x"), F.max(F.struct("n_shingles", "s1", "s2")).alias("y")).where("x <> y").select("doc_id")
+    copies = cut(same.select("doc_id").distinct().join(several, "doc_id", "left_anti"))
+    alone = known.join(copies, "doc_id", "left_anti")
+    star = cut(lead_stars(alone))
+    links = star_links(d, star, width, percent).unionAll(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    early = cut(components(links))
+    marked = early.withColumnsRenamed({"node": "doc_id"}).join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").select("doc_id", "component", F.coalesce("copy", F.lit(False)).alias("copy"))
+    star = cut(all_stars(d, cut(marked), width, percent))
+    late = family_links(d, star, width, percent)
+    for c in ("a", "b"):
+        late = late.join(early.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left").withColumn(c, F.coalesce(f"{c}_component", c)).drop(f"{c}_component")
+    late = components(late)
+    out = rows.join(early, rows.doc_id == early.node, "left").withColumn("c", F.coalesce("component", "doc_id")).select("doc_id", "n_shingles", "c")
+    out = out.join(late, out.c == late.node, "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "c").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

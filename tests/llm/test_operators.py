@@ -390,13 +390,33 @@ def test_tiles_and_null_ids(spark):
     base = prose(rng, 100).split()
     rows = [(i, " ".join([*base[:99], f"end{i}"])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    star = partenum.stars(df, 4, 85)
+    nothing = spark.createDataFrame([], "doc_id long, component long, copy boolean")
+    star = partenum.all_stars(df, nothing, 4, 85)
     links = partenum.family_links(df, star, 4, 85, tile=7)
     assert {r.component for r in graph.components(links).collect()} == {0}
+    lead = spark.createDataFrame([(0, i) for i in range(1, 60)], "leader long, member long")
+    assert sorted(tuple(r) for r in partenum.star_links(df, lead, 4, 85, tile=7).collect()) == [(i, 0) for i in range(1, 60)]
+    known = spark.createDataFrame([(i, 0, False) for i in range(60)], "doc_id long, component long, copy boolean")
+    assert partenum.all_stars(df, known, 4, 85).count() == 0  # one component: nothing to add
+    split = spark.createDataFrame([(i, i % 3 // 2, False) for i in range(60)], "doc_id long, component long, copy boolean")
+    links = partenum.family_links(df, partenum.all_stars(df, split, 4, 85), 4, 85, tile=7).collect()
+    assert links and all(r.a % 3 // 2 != r.b % 3 // 2 for r in links)
     got = partenum.jaccard_components(spark.createDataFrame([*rows[:2], (None, rows[0][1])], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("0", "0"), ("1", "0"), ("None", "None")]
 
 
+def test_near_copies_with_repeated_ids_and_chains(spark):
+    rng = random.Random(18)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(40):  # a chain: each differs from the one before by one word, the ends by a third of all words
+        base[i * 3] = f"changed{i}"
+        rows.append((100 + (i * 7) % 40, " ".join(base)))
+    rows += [(100, prose(rng, 70)), (7, rows[5][1]), (8, prose(rng, 70)), (8, ""), (9, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in partenum.jaccard_components(df).collect()) == brute_join(rows, 4, 85)
+
+
 def test_signatures_are_complete():
     rng = np.random.default_rng(5)
     for size in (1, 2, 6, 7, 13, 50, 400):
