@@ -70,6 +70,19 @@ def test_quality_rules_lines(spark):
     assert got[2].clean_text == good
 
 
+def test_quality_rules_phrases_and_clashes(spark):
+    good = " ".join(f"word{i}" for i in range(80)) + "."
+    lines = ["Wir weisen darauf hin: Alle Rechte vorbehalten.", "Lisez la Politique de confidentialité du site.", "Puede aceptar las cookies de este sitio ahora.", "Please read the Terms of Service first, thanks."]
+    rows = spark.createDataFrame([(i, good + "\n" + x) for i, x in enumerate(lines)], "doc_id long, text string").withColumns({"__w": F.lit("mine"), "___t": F.lit(3)})
+    for r in quality_rules.quality_rules(rows).collect():
+        assert (r.n_bad_lines, r.lost_chars, r.clean_text) == (1, len(lines[r.doc_id]), good)
+        assert (r["__w"], r["___t"]) == ("mine", 3)
+    assert {r.n_bad_lines for r in quality_rules.quality_rules(rows, phrases=()).select("n_bad_lines").collect()} == {0}
+    for phrases in (quality_rules.PHRASES, ("a b", "b c")):
+        found = quality_rules._triggers(phrases)
+        assert all(any(t in p for t in found) for p in phrases)
+
+
 def test_passages(docs, texts):
     got = {r.doc_id: r for r in passage_dedup.passage_dedup(docs.withColumn("n_words", F.lit("clash"))).collect()}
     first, length = {}, passage_dedup.LENGTH
