@@ -5,10 +5,11 @@ windows: a node's interval holds all subsequences whose least hash is the node's
 at least as wide as a passage are kept, named by function and least hash, and names of one document only are set aside. The rest is dealt out by
 name with the words around the centre. Within a name, every frame of ``length`` words around the centre is looked up among those of all
 windows, so no exact repeat is left out. Windows without one are compared with the windows of the name that share one of their
-rarest shingles (so many are taken that no similar pair shares none), the earliest and the nearest first, until one verifies or none is left; a group
-in which many windows are alike but none verifies costs all these pairs. Pairs are verified on the words: an equal run of at least ``length`` words, or a segment of as many whose shingle sets have a
-similarity of 0.8 or more. The passage goes from the document with the larger id. A near passage of similarity 0.8 is missed by
-all four functions with probability 0.002.
+rarest shingles (so many are taken that no similar pair shares none): with the earliest and the one before first, then with all that have
+enough shingles in common, those with the most first, until one verifies or none is left. Pairs are verified on the words: an equal run of at least ``length`` words, or a segment of as many whose shingle sets have a
+similarity of 0.8 or more. Words travel as 16 bits of their hash, so 50 words are compared by 800 bits and a shingle by 80: texts that no function of the
+words tells apart otherwise are taken as equal. The passage goes from the document with the larger id. A near passage of similarity 0.8 is missed by
+all four functions with probability 0.002; ``tests/llm`` measures what is found.
 
 Copies of a whole text lose all of it if it has ``length`` words, except the least id. Null texts are empty; rows of the same
 id do not remove from each other, rows without an id are returned unchanged. Empty tables give empty results; columns of
@@ -17,7 +18,7 @@ the input named like results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,27 @@ ORACLE_SQL = None
 LENGTH, WIDTH, FUNCTIONS = 50, 5, 4
 PERCENT = 80
 SLICE_ROWS, BLOCK_ROWS = 4_000, 2_048
-FRAME_KEYS, ROUND_PAIRS = 1 << 22, 1 << 14
+FRAME_KEYS, ROUND_PAIRS, HELD_ROWS, MARK_BITS = 1 << 22, 1 << 12, 1 << 14, 11
 _SEEDS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_PLACE = U64((1 << 24) - 1)
+
+
+def _place_mask(n: int) -> U64:
+    """Low bits that give way to places: 24, more only for texts of more shingles."""
+    return U64((1 << max(24, int(n).bit_length())) - 1)
 
 
 def centres(v: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of least hashes of all frames of ``width`` tokens, and their documents: the tree's nodes that are wide enough."""
     if len(v) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = sliding_min((v & ~_PLACE) | np.arange(len(v), dtype=U64), width)
+    low = _place_mask(len(v))
+    least = sliding_min((v & ~low) | np.arange(len(v), dtype=U64), width)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
     ok = np.arange(len(least)) + width <= first[1:][doc]
     least, doc = least[ok], doc[ok]
     new = np.ones(len(least), dtype=bool)
     new[1:] = least[1:] != least[:-1]
-    return (least[new] & _PLACE).astype(np.int64), doc[new]
+    return (least[new] & low).astype(np.int64), doc[new]
 
 
 def cartesian_intervals(v: np.ndarray, places: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +65,7 @@ def cartesian_intervals(v: np.ndarray, places: np.ndarray, low: int, high: int)
     Any lesser hash next to a wide node is a wide node itself, so the tree over the places alone has the same intervals.
     """
     left, right, stack = np.empty(len(places), np.int64), np.full(len(places), high - 1), []
-    key = ((v[places] & ~_PLACE) | places.astype(U64)).tolist()
+    key = ((v[places] & ~_place_mask(len(v))) | places.astype(U64)).tolist()
     at = places.tolist()
     for i, k in enumerate(key):
         while stack and key[stack[-1]] > k:
@@ -163,32 +169,34 @@ def _window_shingles(w: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(s), full
 
 
-def _rounds(key: np.ndarray, rows: np.ndarray, rank: np.ndarray, open_: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs (row * m + earlier row) of equal key, in rounds: with the least, the one before, the second before, and so on.
-
-    Rows that are not ``open_`` any more when a round begins ask for no more partners; there is no bound on the rounds.
-    """
-    m = len(rank)
-    order = np.lexsort((rank[rows], key))
-    rows = rows[order]
-    begin, size = blobs.runs(key[order])
-    place = np.arange(len(rows)) - np.repeat(begin, size)
-    lead = np.repeat(begin, size)
+def _first_pairs(rows: np.ndarray, place: np.ndarray, lead: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Pairs (row * m + earlier row) of equal key: with the least row and the one before."""
+    m = len(open_)
     own = np.flatnonzero((place > 0) & open_[rows])
-    yield np.unique(np.concatenate([rows[own] * m + rows[lead[own]], rows[own] * m + rows[own - 1]]))
-    far = 2
-    while True:
-        own = own[(place[own] > far) & open_[rows[own]]]
-        if not len(own):
-            return
-        step = max(1, ROUND_PAIRS // len(own))
-        for at in range(0, len(own), ROUND_PAIRS):
-            some = own[at : at + ROUND_PAIRS]
-            back = np.arange(far, far + step)
-            some, back = np.repeat(some, step), np.tile(back, len(some))
-            fits = (place[some] > back) & open_[rows[some]]
-            yield np.unique(rows[some[fits]] * m + rows[some[fits] - back[fits]])
-        far += step
+    return np.unique(np.concatenate([rows[own] * m + rows[lead[own]], rows[own] * m + rows[own - 1]]))
+
+
+def _marks(s: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window a row of marks, and the mark of each of its shingles; places without a shingle have the last mark, which is never set."""
+    at = np.where(full, (s >> U64(64 - MARK_BITS)).astype(np.int16), np.int16(1 << MARK_BITS))
+    marks = np.zeros((len(s), (1 << MARK_BITS) + 1), bool)
+    marks[np.arange(len(s))[:, None], at] = True
+    marks[:, -1] = False
+    return marks, at
+
+
+def _possible(mine: np.ndarray, full: np.ndarray, length: int, percent: int) -> np.ndarray:
+    """Whether a segment that holds the centre has enough common places; ``similar`` can hold of no other."""
+    n, span = mine.shape
+    reach, frame = span // 2, length - WIDTH + 1
+    size = (np.arange(reach + 1)[:, None] + np.arange(1, reach + 2)).astype(np.int16)
+    least = np.where(size >= frame, -(-percent * (size.astype(np.int32) + frame) // (100 + percent)), 2 * span).astype(np.int16)
+    out = np.zeros(n, bool)
+    for low in range(0, n, 512):
+        some, whole = mine[low : low + 512], full[low : low + 512]
+        left, right = (np.where(np.logical_and.accumulate(w, axis=1), np.cumsum(x, axis=1, dtype=np.int16), np.int16(-2 * span)) for x, w in ((some[:, reach::-1], whole[:, reach::-1]), (some[:, reach:], whole[:, reach:])))
+        out[low : low + 512] = (left[:, :, None] + right[:, None, :] >= least + some[:, reach, None, None].astype(np.int16)).any(axis=(1, 2))
+    return out
 
 
 def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndarray, count: np.ndarray, words: np.ndarray, length: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,9 +219,12 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
         w[np.repeat(np.arange(len(rows)), n), place + np.repeat(reach - back[rows].astype(np.int64), n)] = words[place + np.repeat(first[rows], n)]
         return w, w < 65536
 
-    def blocks() -> Iterator[np.ndarray]:
-        for low in range(0, m, BLOCK_ROWS):
-            yield np.arange(low, min(low + BLOCK_ROWS, m))
+    def blocks(rows: np.ndarray) -> Iterator[np.ndarray]:
+        for low in range(0, len(rows), BLOCK_ROWS):
+            yield rows[low : low + BLOCK_ROWS]
+
+    def shingled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (held[0][where[rows]], held[1][where[rows]]) if held else _window_shingles(*dense(rows))
 
     def frames() -> np.ndarray:
         """Pairs of a row and the earliest one with an equal frame of ``length`` words at the same distance from the centre."""
@@ -223,7 +234,7 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
         for a in range(0, reach + 1, step):
             at = np.arange(a, min(a + step, reach + 1))
             keys, whose = [], []
-            for own in blocks():
+            for own in blocks(np.arange(m)):
                 w, there = dense(own)
                 total = np.zeros((len(own), wide + 1), U64)
                 np.cumsum((w.astype(U64) + U64(1)) * power, axis=1, out=total[:, 1:])
@@ -251,12 +262,12 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
         frame = length - WIDTH + 1
         least = -(-2 * frame * percent // (100 + percent))
         cells = np.zeros(1 << 20, np.int64)
-        for own in blocks():
-            s, full = _window_shingles(*dense(own))
+        for own in blocks(active):
+            s, full = shingled(own)
             cells += np.bincount((mix(s ^ name[own, None]) >> U64(44)).astype(np.int64)[full], minlength=len(cells))
         keys, whose = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for own in blocks():
-            s, full = _window_shingles(*dense(own))
+        for own in blocks(active):
+            s, full = shingled(own)
             key = mix(s ^ name[own, None])
             n = cells[(key >> U64(44)).astype(np.int64)]
             order = np.argsort(np.where(full, (n.astype(U64) << U64(40)) | (key & U64((1 << 40) - 1)), U64(2**64 - 1)), axis=1)
@@ -266,14 +277,89 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
             keys.append(key[i, k][some])
             whose.append(own[i][some])
         key, rows = np.concatenate(keys), np.concatenate(whose)
-        order = np.lexsort((rows, key))
+        order = np.lexsort((rank[rows], key))
         key, rows = key[order], rows[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (rows[1:] != rows[:-1])
         return key[new], rows[new]
 
+    def marked(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """For each pair, places of b whose shingle a might have: all that it has, and a few more."""
+        if held:
+            return held[2][where[a][:, None], held[3][where[b]]]
+        return np.take_along_axis(_marks(*shingled(a))[0], _marks(*shingled(b))[1].astype(np.int64), axis=1)
+
+    def compare(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+        (sb, full), (sa, there) = shingled(b), shingled(a)
+        ok, lo, hi = similar(np.where(full, sb, U64(1)), np.where(there, sa, U64(2)), full, length, percent)
+        found = np.flatnonzero(ok)
+        if len(found):
+            rows_out.append(b[found])
+            begin_out.append(lo[found])
+            end_out.append(hi[found] + WIDTH)
+            open_[b[found]] = False
+        return found
+
+    def promising(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs can be similar, and the places that they may have in common."""
+        chosen, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(b), BLOCK_ROWS):
+            x, y = b[low : low + BLOCK_ROWS], a[low : low + BLOCK_ROWS]
+            mine = marked(x, y)
+            total = mine.sum(axis=1)
+            some = np.flatnonzero((100 + percent) * total >= 2 * percent * (length - WIDTH + 1))
+            some = some[_possible(mine[some], shingled(x[some])[1], length, percent)]
+            chosen.append(low + some)
+            totals.append(total[some])
+        return np.concatenate(chosen), np.concatenate(totals)
+
+    def best_first(b: np.ndarray, a: np.ndarray) -> None:
+        """Pairs that can be similar, of each open window the one with the most in common first, until one verifies."""
+        own = (name[b] == name[a]) & (doc[a] < doc[b])
+        b, a = b[own], a[own]
+        some, total = promising(b, a)
+        some = some[np.lexsort((-total, b[some]))]
+        while len(some := some[open_[b[some]]]):
+            begin, _ = blobs.runs(b[some])
+            for low in range(0, len(begin), 512):
+                now = some[begin[low : low + 512]]
+                compare(b[now], a[now])
+            some = np.delete(some, begin)
+
+    def everyone(rows: np.ndarray, place: np.ndarray, lead: np.ndarray) -> None:
+        """Each open window with all earlier ones that share a key; many windows at once where they have few."""
+        left = np.flatnonzero(open_[rows] & (place > 1))
+        left = left[np.argsort(rows[left], kind="stable")]
+        begin, n = blobs.runs(rows[left])
+        if not len(left):
+            return
+        asks = np.add.reduceat(place[left], begin)
+        some = np.repeat(asks <= ROUND_PAIRS, n)
+        few, batch = left[some], np.repeat(np.cumsum(np.where(asks <= ROUND_PAIRS, asks, 0)) // (1 << 20), n)[some]
+        for e in np.split(few, blobs.runs(batch)[0][1:]) if len(few) else ():
+            k = place[e]
+            a = rows[np.repeat(lead[e] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            best_first(*np.divmod(np.unique(np.repeat(rows[e], k) * m + a), m))
+        asked = np.zeros(m, bool)
+        for x, k in zip(begin[asks > ROUND_PAIRS].tolist(), n[asks > ROUND_PAIRS].tolist(), strict=True):
+            b = int(rows[left[x]])
+            asked[:] = False
+            for e in left[x : x + k]:
+                asked[rows[lead[e] : lead[e] + place[e]]] = True
+            others = np.flatnonzero(asked)
+            others = others[(name[others] == name[b]) & (doc[others] < doc[b])]
+            some, total = promising(np.full(len(others), b), others)
+            others = others[some[np.argsort(-total, kind="stable")]]
+            at, step = 0, 8
+            while open_[b] and at < len(others):
+                if len(compare(np.full(len(others[at : at + step]), b), others[at : at + step])) > 1:
+                    for out in (rows_out, begin_out, end_out):
+                        out[-1] = out[-1][:1]
+                at, step = at + step, min(4 * step, 512)
+
     rows_out, begin_out, end_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     open_ = np.ones(m, dtype=bool)
+    held, where, active = None, None, None
     pairs = frames()
     for at in range(0, len(pairs), 4096):
         b, a = np.divmod(pairs[at : at + 4096], m)
@@ -286,20 +372,25 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
         begin_out.append(reach - left[ok] + 1)
         end_out.append(reach + right[ok])
         open_[b[ok]] = False
-    for pairs in _rounds(*shingle_keys(), rank, open_) if open_.any() else ():
-        b, a = np.divmod(pairs, m)
-        pairs = pairs[(name[b] == name[a]) & (doc[a] < doc[b])]
-        for at in range(0, len(pairs), 512):
-            b, a = np.divmod(pairs[at : at + 512], m)
-            b, a = b[open_[b]], a[open_[b]]
-            if not len(b):
-                continue
-            (sb, full), (sa, there) = _window_shingles(*dense(b)), _window_shingles(*dense(a))
-            ok, lo, hi = similar(np.where(full, sb, U64(1)), np.where(there, sa, U64(2)), full, length, percent)
-            rows_out.append(b[ok])
-            begin_out.append(lo[ok])
-            end_out.append(hi[ok] + WIDTH)
-            open_[b[ok]] = False
+    by_name = np.argsort(name, kind="stable")
+    begin, size = blobs.runs(name[by_name])
+    earliest = np.empty(m, np.int64)
+    earliest[by_name] = np.repeat(np.minimum.reduceat(doc[by_name], begin), size)
+    open_ &= doc > earliest
+    alive = np.empty(m, bool)
+    alive[by_name] = np.repeat(np.logical_or.reduceat(open_[by_name], begin), size)
+    active = np.flatnonzero(alive)
+    if len(active):
+        if len(active) <= HELD_ROWS:
+            where = np.empty(m, np.int64)
+            where[active] = np.arange(len(active))
+            held = _window_shingles(*dense(active))
+            held = (*held, *_marks(*held))
+        key, rows = shingle_keys()
+        begin, size = blobs.runs(key)
+        place, lead = np.arange(len(rows)) - np.repeat(begin, size), np.repeat(begin, size)
+        best_first(*np.divmod(_first_pairs(rows, place, lead, open_), m))
+        everyone(rows, place, lead)
     rows = np.concatenate(rows_out)
     shift = reach - back.astype(np.int64)[rows]
     found = np.unique(np.stack([rows, np.concatenate(begin_out) - shift, np.concatenate(end_out) - shift], axis=1), axis=0)
@@ -315,32 +406,44 @@ def similar(sb: np.ndarray, sa: np.ndarray, full: np.ndarray, length: int, perce
     n, span = sb.shape
     reach, frame = span // 2, length - WIDTH + 1
     ok, lo, hi = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    mine = (sb[:, :, None] == sa[:, None, :]).any(axis=2)
-    some = np.flatnonzero((100 + percent) * mine.sum(axis=1) >= 2 * percent * frame)
+    equal = sb[:, :, None] == sa[:, None, :]
+    place = equal.argmax(axis=2)
+    mine = np.take_along_axis(equal, place[:, :, None], axis=2)[:, :, 0]
+    common = mine.sum(axis=1)
+    some = np.flatnonzero((100 + percent) * common >= 2 * percent * frame)
     if not len(some):
         return ok, lo, hi
-    mine, full = mine[some], full[some]
-    far = np.abs(np.arange(span)[:, None] - np.arange(span)).astype(np.int16)
-    near = np.where(sb[some][:, :, None] == sa[some][:, None, :], far, np.int16(span)).argmin(axis=2).astype(np.int16)
-
-    def outward(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return x[:, reach::-1], x[:, reach:]
-
-    def table(left: np.ndarray, right: np.ndarray, how: np.ufunc) -> np.ndarray:
-        return how(left[:, :, None], right[:, None, :])
-
-    count = table(*(np.cumsum(x, axis=1, dtype=np.int16) for x in outward(mine)), np.add) - mine[:, reach, None, None].astype(np.int16)
-    lowest = table(*(np.minimum.accumulate(x, axis=1) for x in outward(np.where(mine, near, np.int16(span)))), np.minimum)
-    highest = table(*(np.maximum.accumulate(x, axis=1) for x in outward(np.where(mine, near, np.int16(-1)))), np.maximum)
-    whole = table(*(np.logical_and.accumulate(x, axis=1) for x in outward(full)), np.logical_and)
+    mine, full, place = mine[some], full[some], place[some].astype(np.int16)
+    again = np.flatnonzero(np.count_nonzero(equal.reshape(n, -1)[some], axis=1) > common[some])
+    if len(again):  # a shingle stands twice: its nearest place counts
+        far = np.abs(np.arange(span)[:, None] - np.arange(span)).astype(np.int16)
+        place[again] = np.where(equal[some[again]], far, np.int16(span)).argmin(axis=2).astype(np.int16)
+
+    def table(how: np.ufunc, x: np.ndarray, by: np.ufunc) -> np.ndarray:
+        """For each begin (outward from the centre) and end of a segment."""
+        return how(by.accumulate(x[:, reach::-1], axis=1)[:, :, None], by.accumulate(x[:, reach:], axis=1)[:, None, :])
+
+    one = mine.astype(np.int16)
+    count = table(np.add, one, np.add)
+    count -= one[:, reach, None, None]
+    theirs = table(np.maximum, np.where(mine, place, np.int16(-1)), np.maximum)
+    theirs -= table(np.minimum, np.where(mine, place, np.int16(span)), np.minimum)
+    theirs += np.int16(1)
     size = (np.arange(reach + 1)[:, None] + np.arange(1, reach + 2)).astype(np.int16)
-    union = size + np.maximum(highest - lowest + 1, frame).astype(np.int16) - count
-    good = whole & (size >= frame) & (np.int32(100) * count >= np.int32(percent) * union)
-    ends = table(*outward(mine), np.logical_and)
-    grade = np.where(good, np.where(ends, 2000 + size, 1000 * count.astype(np.int32) // np.maximum(union, 1)), -1).reshape(len(some), -1)
+    union = np.maximum(theirs, np.int16(frame), out=theirs)
+    union += size
+    union -= count
+    good = table(np.logical_and, full, np.logical_and) & (size >= frame)
+    good &= np.int16(100) * count >= np.int16(percent) * union
+    ends = good & mine[:, reach::-1, None] & mine[:, None, reach:]
+    grade = np.where(ends, size, np.int16(-1)).reshape(len(some), -1)
     best = grade.argmax(axis=1)
+    loose = np.flatnonzero(grade[np.arange(len(some)), best] < 0)
+    loose = loose[good[loose].any(axis=(1, 2))]
+    if len(loose):
+        best[loose] = np.where(good[loose], count[loose] / np.maximum(union[loose], 1), -1.0).reshape(len(loose), -1).argmax(axis=1)
     left, right = np.divmod(best, reach + 1)
-    ok[some], lo[some], hi[some] = grade.max(axis=1) >= 0, reach - left, reach + right
+    ok[some], lo[some], hi[some] = good.any(axis=(1, 2)), reach - left, reach + right
     return ok, lo, hi
 
 

@@ -361,6 +361,39 @@ def test_interval_expansion(seed):
         at += len(s)
 
 
+@pytest.mark.parametrize("case", ["anywhere", "middle", "two", "tails", "groups"])
+def test_passage_recall(spark, case):
+    """Near passages of 60 words in documents of 200 random ones: at least 95 in 100 later copies lose most of the passage."""
+    rng = random.Random(len(case))
+
+    def document(passage):
+        return " ".join([prose(rng, rng.randrange(20, 100), 10**9), " ".join(passage), prose(rng, 100, 10**9)])
+
+    def variant(base, at):
+        return [f"v{rng.randrange(10**9)}" if k in at else x for k, x in enumerate(base)]
+
+    rows, later = [], []
+    for _ in range(40 if case != "groups" else 3):
+        base = prose(rng, 60, 10**9).split()
+        if case == "groups":  # variants are 0.8 like the base, but less like each other
+            members = [variant(base, {rng.randrange(10, 50)}) for _ in range(41)]
+            members[20] = base
+            later += range(len(rows) + 21, len(rows) + 41)
+        elif case == "tails":  # a common head, tails in pairs: each has one exact partner far back in its group
+            tails = [prose(rng, 16, 10**9).split() for _ in range(6)]
+            members = [base[:44] + t for t in tails] + [base[:44] + t for t in tails]
+            later += range(len(rows) + 6, len(rows) + 12)
+        else:
+            at = {"anywhere": {rng.randrange(60)}, "middle": {rng.randrange(10, 50)}, "two": {rng.randrange(6), rng.randrange(54, 60)}}[case]
+            members = [base, variant(base, at)]
+            later.append(len(rows) + 1)
+        rows += [(len(rows) + k, document(x)) for k, x in enumerate(members)]
+    got = {r.doc_id: r for r in passage_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i].n_removed >= 45 for i in later)
+    assert found >= 0.95 * len(later), (found, len(later))
+    assert max(r.n_removed for r in got.values()) <= 70
+
+
 def brute_join(rows, width, percent):
     sets = []
     for _, t in rows:
