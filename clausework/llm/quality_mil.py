@@ -2,8 +2,8 @@
 
 A document is a bag of passages of 64 words. Every passage is encoded by fixed text statistics and a trained layer; gated attention,
 learned from document labels alone, weighs the passages, and a logistic unit scores the weighted sum. The model is
-trained in numpy on at most ``max_train_docs`` labelled documents (and ``MAX_TRAIN_PASSAGES`` passages in each of
-these), taken in order of a hash; longer labelled documents are not used for fitting. Scoring reads every passage of every text.
+trained in numpy on at most ``max_train_docs`` labelled rows and ``max_train_passages`` passages in all: whole documents are taken in order of a hash
+while they fit, long or short. No feature looks beyond its passage. Scoring reads every passage of every text.
 
 Empty and null texts are one passage without words and get a score. Rows of ``labels`` whose label is null are not used;
 without usable labels of both classes every score is the share of label 1 (0.5 without labels). Repeated rows score alike; input columns named like results are replaced.
@@ -19,24 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausework.llm.session import table, without
+from clausework.llm.session import cut, table, without
 from clausework.llm.words import documents, mix
 
 QUERY = "op8_quality_classifier"
 ORACLE_SQL = None
 PASSAGE_WORDS = 64
 MAX_TRAIN_DOCS = 6000
-MAX_TRAIN_PASSAGES = 64
+MAX_TRAIN_PASSAGES = 500_000
 HELD_OUT_MOD = 5
 THRESHOLD = 0.3
-HIDDEN, ATTENTION = 16, 8
+HIDDEN, ATTENTION, LEAST_STEPS = 16, 8, 900
 _CLASS = np.zeros((256, 7), dtype=np.float32)
 for _k, _chars in enumerate((b"#*$%&|<>@^~_=+{}[]\\/", b".", b",", b"!?", b"0123456789")):
     _CLASS[list(_chars), _k] = 1
 _CLASS[65:91, 5] = 1
 _CLASS[97:123, 6] = 1
 _CLASS[128:, 6] = 0.5
-N_FEATURES = 7 + 9
+N_FEATURES = 7 + 8
 
 
 def passage_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,15 +68,14 @@ def passage_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray,
             x[at, 10] = np.add.reduceat(pair.astype(np.float32), begins) / size
             x[at, 11] = _repeated(d.hashes, of, len(x))[at] / size
             tri = d.hashes.copy()
-            tri[:-2] = mix(d.hashes[:-2] * np.uint64(3) + d.hashes[1:-1] * np.uint64(5) + d.hashes[2:] * np.uint64(7)) if len(tri) > 2 else tri[:-2]
-            whole = np.repeat(np.arange(len(n)), n)
-            share = _repeated(tri, whole, len(n)) / np.maximum(n, 1)
-            x[at, 12] = np.repeat(share, passages)[at]
-            x[at, 13] = np.repeat(np.log1p(n) / 8, passages)[at]
+            if len(tri) > 2:
+                inside = of[2:] == of[:-2]
+                tri[:-2][inside] = mix(d.hashes[:-2] * np.uint64(3) + d.hashes[1:-1] * np.uint64(5) + d.hashes[2:] * np.uint64(7))[inside]
+            x[at, 12] = _repeated(tri, of, len(x))[at] / size
             last = part[d.end - lo - 1]
             marked = np.isin(last, np.frombuffer(b"!#*$%&|", np.uint8))
-            x[at, 14] = np.add.reduceat(marked.astype(np.float32), begins) / size
-            x[at, 15] = np.add.reduceat((lengths == 1).astype(np.float32), begins) / size
+            x[at, 13] = np.add.reduceat(marked.astype(np.float32), begins) / size
+            x[at, 14] = np.add.reduceat((lengths == 1).astype(np.float32), begins) / size
         yield d.rows, first, x
 
 
@@ -125,6 +124,7 @@ class AttentionModel:
         self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
         bags = [(b - self.mean) / self.scale for b in bags]
         r, step = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(bags) // batch)))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for epoch in range(epochs):
@@ -156,8 +156,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % HELD_OUT_MOD == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, text: str = "text", label: str = "quality") -> AttentionModel:
-    """Fit on labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_passages: int = MAX_TRAIN_PASSAGES, text: str = "text", label: str = "quality") -> AttentionModel:
+    """Fit on labelled rows outside the held-out fold; labels of one id that disagree count as 1."""
     rows = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
     joined = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(rows), "doc_id")
@@ -166,12 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
         for b in batches:
             ids, y = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
             for own, first, x in passage_features(b.column("text")):
-                few = np.flatnonzero(np.diff(first) <= MAX_TRAIN_PASSAGES)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own[few]]), pa.array(y[own[few]]), pa.array([x[first[i] : first[i + 1]].tobytes() for i in few], pa.binary())], names=["doc_id", "y", "x"]
-                )
-
-    got = joined.mapInArrow(run, "doc_id long, y double, x binary").collect()
+                bags = [x[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(y[own]), pa.array(bags, pa.binary())], names=["doc_id", "y", "x"])
+
+    found = cut(joined.mapInArrow(run, "doc_id long, y double, x binary").withColumn("h", F.xxhash64("doc_id", "x")))
+    left, ends = max_train_passages, set()
+    for r in found.select("h", "doc_id", F.length("x").alias("n")).orderBy("h", "doc_id").limit(max_train_docs).collect():
+        if r.n // (4 * N_FEATURES) <= left and (r.h, r.doc_id) not in ends:
+            left -= r.n // (4 * N_FEATURES)
+            ends.add((r.h, r.doc_id))
+    some = docs.sparkSession.createDataFrame(sorted(ends), "h long, doc_id long")
+    got = found.join(F.broadcast(some), ["h", "doc_id"]).dropDuplicates(["h", "doc_id"]).select("doc_id", "y", "x").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
     return AttentionModel().fit([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got], np.array([r.y for r in got]))
 
@@ -193,14 +198,5 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text", column: st
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, table(spark, sf_dir, "labels"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            for own, first, x in passage_features(b.column("text")):
-                out[own] = model.score(x.astype(np.float64), first)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
-
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
