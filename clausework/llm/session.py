@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set a local one only where none is named."""
+    """Keep the cluster's shared checkpoint folder; where none is named, take one in the warehouse, or on a local master a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "clausework-checkpoints"))
+    if not shared and sc.master.startswith("local"):
+        shared = os.path.join(tempfile.gettempdir(), "clausework-checkpoints")
+    sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/clausework-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,7 +36,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that an operator is about to write."""
     return df.drop(*[c for c in names if c in df.columns])
-
-
-def empty_like_null(col: str):
-    return F.coalesce(F.col(col), F.lit(""))
