@@ -1,10 +1,14 @@
-"""A corpus from raw documents to packed sequences, in five stages of operators of the llm subpackage."""
+"""A corpus from raw documents to packed sequences, in five stages of operators of the llm subpackage.
+
+Rows without an id pass the Jaccard stage and the passage stage as they are, since copies are told by ids; rows of the same id and text become
+one there. Null texts count as empty: they are scored, have no copies, and are packed as an end id. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausework.llm import packing, partenum, passage_dedup, quality_mil, source_mix
@@ -22,10 +26,12 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each component of five-word Jaccard links of 0.8 or more."""
-    found = partenum.jaccard_components(docs, width=5, percent=80)
+    """The least document of each component of five-word Jaccard links of 0.8 or more, equal rows once; rows without an id stay."""
+    named = docs.where("doc_id IS NOT NULL")
+    found = partenum.jaccard_components(named, width=5, percent=80)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    kept = named.join(keep, "doc_id", "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")))
+    return kept.where("__row = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +59,22 @@ STAGES = [
 ]
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    """All stages over documents, each written as Parquet to the shared folder and read again.
+
+    A stage's files go when the next one's are written; those of the last but one stay, since the result reads them.
+    """
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
-    return docs
+        if k:
+            _drop(spark, f"{base}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
