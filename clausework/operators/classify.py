@@ -93,3 +93,24 @@ def fit_platt(predicted: DataFrame, score: str, correct: str) -> DataFrame:
     d = VectorAssembler(inputCols=[score], outputCol="features").transform(predicted.select(F.col(score).cast("double").alias(score), F.col(correct).cast("double").alias("label")))
     m = LogisticRegression(regParam=0.0, maxIter=100).fit(d)
     return predicted.sparkSession.createDataFrame([(-float(m.coefficients[0]), -float(m.intercept))], "a double, b double")
+
+
+def gate(ranked: DataFrame, least: float = 0.45) -> DataFrame:
+    """Clauses whose best label is confident enough to be extracted."""
+    return ranked.where((F.col("rank") == 1) & (F.col("confidence") >= least))
+
+
+def split_stats(assigned: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Contracts and clauses of each split."""
+    d = assigned.join(clauses.groupBy("contract_id").agg(F.count("*").alias("n")), "contract_id", "left")
+    return d.groupBy("split").agg(F.count("*").alias("contracts"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("clauses"))
+
+
+def pair_stats(pairs: DataFrame) -> DataFrame:
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("target") == 1).alias("positive"))
+
+
+def calibration_delta(baseline: DataFrame, tuned: DataFrame) -> DataFrame:
+    """Two calibration errors and how much the second is better."""
+    d = baseline.select(F.col("ece").alias("baseline_ece")).crossJoin(F.broadcast(tuned.select(F.col("ece").alias("tuned_ece"))))
+    return d.withColumn("improvement", F.col("baseline_ece") - F.col("tuned_ece"))

@@ -125,14 +125,19 @@ def simple_cycles(adjacent: dict[str, list[str]], least: int = 3) -> list[tuple[
 
 
 def cycles(g: DataFrame) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacent = defaultdict(list)
-        for u, v in zip(pdf["u"], pdf["v"], strict=True):
-            adjacent[u].append(v)
-        found = sorted(simple_cycles(adjacent))
-        return pd.DataFrame({"contract_id": [pdf["contract_id"].iloc[0]] * len(found), "cycle": pd.Series([" -> ".join(c) for c in found], dtype=object), "length": [len(c) for c in found]}).astype({"contract_id": "int64", "length": "int64"})
+    """Simple cycles of three labels or more of every contract, from the least label on.
 
-    return g.groupBy("contract_id").applyInPandas(one, "contract_id long, cycle string, length long")
+    Edges come from the rules alone, so the cycles of the rules are listed once; a contract has those of which it has all edges.
+    """
+    adjacent = defaultdict(set)
+    for r in dims.dim(g.sparkSession, "dim_dependency_rule").select("source", "target", "bidirectional").collect():  # a dimension of under 200 rows
+        adjacent[r.source].add(r.target)
+        if r.bidirectional:
+            adjacent[r.target].add(r.source)
+    known = [(" -> ".join(c), len(c), u, v) for c in simple_cycles({u: sorted(vs) for u, vs in adjacent.items()}) for u, v in zip(c, (*c[1:], c[0]), strict=True)]
+    steps = g.sparkSession.createDataFrame(known, "cycle string, length long, u string, v string")
+    whole = g.select("contract_id", "u", "v").distinct().join(F.broadcast(steps), ["u", "v"]).groupBy("contract_id", "cycle", "length").agg(F.count("*").alias("n"))
+    return whole.where("n = length").select("contract_id", "cycle", "length")
 
 
 def topological_order(g: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -230,3 +235,11 @@ def recommendations(conflicts: DataFrame, missing: DataFrame, loops: DataFrame,
     top = central.withColumn("rn", F.row_number().over(Window.partitionBy("contract_id").orderBy(F.desc("centrality"), "label"))).where("rn <= 3 AND centrality > 0.3")
     e = top.groupBy("contract_id").agg(F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("x")).select("contract_id", F.lit(5).alias("part"), F.concat(F.lit("Change with care: "), "x").alias("advice"))
     return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e)
+
+
+def report(nodes: DataFrame, edge_list: DataFrame, g: DataFrame, conflicts: DataFrame, missing: DataFrame, loops: DataFrame) -> DataFrame:
+    """One row for each contract: counts of labels, edges, graph edges, contradictions, unmet requirements and cycles."""
+    out = nodes.groupBy("contract_id").agg(F.count("*").alias("labels"))
+    for name, d in (("dependencies", edge_list), ("graph_edges", g), ("contradictions", conflicts), ("missing_requirements", missing), ("cycles", loops)):
+        out = out.join(d.groupBy("contract_id").agg(F.count("*").alias(name)), "contract_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out

@@ -97,25 +97,45 @@ def cluster(entities: DataFrame, threshold: float | None = None, embedding: str
     return entities.select("id", "type", "ord", F.col(embedding).alias("v")).groupBy("type").applyInPandas(one, "id string, type string, leader_id string")
 
 
+KMEANS_LEAST = 20  # fixed value
+
+
+def find_duplicates(entities: DataFrame, threshold: float | None = None, embedding: str = "embedding") -> DataFrame:
+    """Groups of two or more similar entities, all types mixed; a threshold of 0 or none is the default one."""
+    mixed = cluster(entities.withColumn("type", F.lit("any")), threshold or dims.RESOLUTION_THRESHOLD, embedding)
+    w = Window.partitionBy("leader_id")
+    return mixed.withColumn("n", F.count("*").over(w)).where("n >= 2").select("id", "leader_id", "n")
+
+
+def item_texts(entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """Search texts of entities and triples under one another: "name (type)" and "subject predicate object"."""
+    a = entities.select(F.lit("entity").alias("kind"), F.col("id").alias("key"), F.concat("name", F.lit(" ("), "type", F.lit(")")).alias("text"))
+    said = F.lower(F.replace("predicate", F.lit("_"), F.lit(" ")))
+    return a.unionAll(triples.select(F.lit("triple"), F.col("ord").cast("string"), F.concat("subject", F.lit(" "), said, F.lit(" "), "object")))
+
+
 def cluster_kmeans(entities: DataFrame, embedding: str = "embedding", seed: int = 42) -> DataFrame:
-    """Clusters by k-means with the best silhouette of three sizes near the root of n; every cluster becomes one entity."""
+    """Clusters by k-means within each type, with the best silhouette of three sizes near the root of n; every cluster becomes one entity.
+
+    Types of fewer than ``KMEANS_LEAST`` entities are left as they are.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     d = entities.select("id", "type", array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
-    n = d.count()
-    best = None
-    for k in (int(n**0.5) - 1, int(n**0.5), int(n**0.5) + 1):
-        if 2 <= k < n:
-            out = KMeans(k=k, seed=seed).fit(d).transform(d)
-            s = ClusteringEvaluator().evaluate(out)
-            if best is None or s > best[0]:
-                best = (s, out)
-    if best is None:
-        return d.select("id", "type", F.col("id").alias("leader_id"))
-    w = Window.partitionBy("prediction")
-    return best[1].select("id", "type", F.min("id").over(w).alias("leader_id"))
+    out = d.limit(0).select("id", "type", F.col("id").alias("leader_id"))
+    for kind, n in sorted((r["type"], r["n"]) for r in d.where("type IS NOT NULL").groupBy("type").agg(F.count("*").alias("n")).collect()):  # types are few
+        own, best = d.where(F.col("type") == kind), None
+        for k in (int(n**0.5) - 1, int(n**0.5), int(n**0.5) + 1):
+            if n >= KMEANS_LEAST and 2 <= k < n:
+                found = KMeans(k=k, seed=seed).fit(own).transform(own)
+                grade = ClusteringEvaluator().evaluate(found)
+                if best is None or grade > best[0]:
+                    best = (grade, found)
+        leader = F.min("id").over(Window.partitionBy("prediction")) if best else F.col("id")
+        out = out.unionByName((best[1] if best else own).select("id", "type", leader.alias("leader_id")))
+    return out
 
 
 def choose_canonical(entities: DataFrame, clusters: DataFrame, for_aggregation: bool = False) -> DataFrame:

@@ -99,3 +99,26 @@ def totals(scores: DataFrame, contracts: DataFrame) -> DataFrame:
     """Contracts, analysed ones and their mean score."""
     d = contracts.select("contract_id").join(scores, "contract_id", "left")
     return d.agg(F.count("*").alias("contracts"), F.count("score").alias("analyzed"), F.avg("score").alias("avg_score"))
+
+
+def compare_values(values: DataFrame, a: int, b: int) -> DataFrame:
+    """Extracted values of labels that both contracts hold: field to value, of repeated fields the last; labels without any value go.
+
+    ``values`` has contract_id, label, ord, field, value, with a null field for a clause without values.
+    """
+    known = values.where(F.col("contract_id").isin(a, b)).groupBy("contract_id", "label", "field").agg(F.max_by("value", "ord").alias("value"))
+    maps = known.groupBy("contract_id", "label").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value"))))).alias("m"))
+    side = lambda c, n: maps.where(F.col("contract_id") == c).select("label", F.col("m").alias(n))
+    return side(a, "values_a").join(side(b, "values_b"), "label").where((F.size("values_a") > 0) | (F.size("values_b") > 0))
+
+
+def upsert_entries(entries: DataFrame, supplied: DataFrame, computed: DataFrame) -> DataFrame:
+    """One row for each contract: of repeated ones the last, with its supplied score and level or else the computed ones."""
+    last = entries.groupBy("contract_id").agg(F.max("ord").alias("ord"))
+    d = last.join(supplied.select("contract_id", F.col("score").alias("s"), F.col("level").alias("l")), "contract_id", "left").join(computed.select("contract_id", "score", "level"), "contract_id", "left")
+    return d.select("contract_id", F.coalesce("s", "score").alias("score"), F.when(F.col("s").isNotNull(), F.col("l")).otherwise(F.col("level")).alias("level"))
+
+
+def riskiest(contracts: DataFrame, scores: DataFrame, first: int = 10) -> DataFrame:
+    """Contracts on the list of the ``first`` highest scores."""
+    return contracts.join(F.broadcast(scores.orderBy(F.desc("score"), "contract_id").limit(first).select("contract_id")), "contract_id", "left_semi")

@@ -2,49 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import scores, text
 
 K1, B = 1.5, 0.75
+MOST_TERMS = 200_000  # query terms that are broadcast, so that other terms are left out before the postings are counted
+QUERY_BLOCK, ROW_BLOCK = 2048, 1024
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """id, term, tf, dl of every term of every document."""
-    d = corpus.select("id", text.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return d.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 16) -> DataFrame:
-    """query_id, id, score, rank of the k best for each query; idf is ln(1 + (N - n + 0.5) / (n + 0.5)).
+def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 16) -> DataFrame:
+    """query_id, id, score, rank of the k best (or all) for each query; idf is ln(1 + (N - n + 0.5) / (n + 0.5)).
 
-    Only postings of query terms go on after they are counted; the queries' terms are joined, not collected.
+    Terms that no query has go before postings are counted: by a broadcast of the queries' terms if these are ``MOST_TERMS`` at most, else by a
+    join.
     """
-    post = postings(corpus)
-    size = corpus.agg(F.count("*").alias("N"), F.avg(F.size(text.tokens(F.col("text")))).alias("avgdl"))
+    d = corpus.select("id", text.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    size = d.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    hits = post.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = terms.select("term").distinct()
+    every = d.select("id", "dl", F.explode("t").alias("term"))
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        every = every.join(F.broadcast(wanted), "term", "left_semi")
+    hits = every.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     d = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     s = d.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0").withColumn("score", F.round("score", 9))
+    if k is None:
+        return s
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 32) -> DataFrame:
-    """The k most similar vectors for each query; vectors without length are skipped, a query without length finds none.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 32, skip_empty: bool = True) -> DataFrame:
+    """The k most similar vectors for each query; vectors without length are skipped (or score 0), a query without length finds none.
 
-    The queries are a stated small side.
+    Queries are dealt in blocks of about ``QUERY_BLOCK``, each of which is broadcast and meets all vectors where they lie; a task passes on its own
+    k best for each query.
     """
-    q = queries.select("query_id", F.col("embedding").alias("q")).where(scores.norm(F.col("embedding")) > 0)
-    d = vectors.where(scores.norm(F.col("embedding")) > 0).crossJoin(q).where("query_id <> id").withColumn("score", F.round(scores.cosine(F.col("embedding"), F.col("q")), 9))
+    spark = vectors.sparkSession
+    some = scores.norm(F.col("embedding")) > 0
+    v = vectors.where(some if skip_empty else F.col("embedding").isNotNull()).select(F.col("id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
+    q = queries.where(some).select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+
+    def found(block: int) -> DataFrame:
+        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id").collect()
+        names = np.array([r.id for r in rows], np.int64)
+        asked = spark.sparkContext.broadcast((names, _normal(np.array([r.e for r in rows], np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ask, q_unit = asked.value
+            ids, score = np.zeros((len(ask), 0), np.int64), np.zeros((len(ask), 0))
+            for b in batches:
+                for low in range(0, b.num_rows if len(ask) else 0, ROW_BLOCK):
+                    part = b.slice(low, ROW_BLOCK)
+                    own = part.column(0).to_numpy(zero_copy_only=False)
+                    rows_unit = _normal(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                    new = np.round(q_unit @ rows_unit.T, 9)
+                    new[ask[:, None] == own] = -np.inf
+                    ids = np.concatenate([ids, np.broadcast_to(own, new.shape)], axis=1)
+                    score = np.concatenate([score, new], axis=1)
+                    best = np.lexsort((ids, -score), axis=1)[:, :k]
+                    ids, score = np.take_along_axis(ids, best, axis=1), np.take_along_axis(score, best, axis=1)
+            some = score > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ask, some.sum(axis=1))), pa.array(ids[some]), pa.array(score[some] + 0.0)], names=["query_id", "id", "score"])
+
+        return v.mapInArrow(run, "query_id long, id long, score double")
+
+    d = found(0)
+    for block in range(1, n_blocks):
+        d = d.unionAll(found(block))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
+def _normal(x: np.ndarray) -> np.ndarray:
+    if not x.size:
+        return x
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm == 0, 1.0, norm)
+
+
+def find_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
+    """The k best of all vectors, and of these those that reach the threshold; vectors without length score 0."""
+    return vector_topk(vectors, queries, k, skip_empty=False).where(F.col("score") >= threshold)
+
+
+def search_kind(semantic: DataFrame, keyword: DataFrame, kinds: DataFrame, kind: str | None, limit: int = 10, threshold: float = 0.0, k: int = 16) -> DataFrame:
+    """Fused search among items of one kind: the semantic list is cut before its kind is asked for, the keyword list after.
+
+    ``semantic`` holds the 2 k best, ``keyword`` all scored items, ``kinds`` id and kind.
+    """
+    wanted = kinds if kind is None else kinds.where(F.col("kind") == kind)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+
+    def best(d: DataFrame) -> DataFrame:
+        return d.drop("rank").join(wanted.select("id"), "id", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return fuse(best(semantic), best(keyword), limit, threshold)
+
+
 def fuse(semantic: DataFrame, keyword: DataFrame, limit: int | None = 10, threshold: float = 0.0) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists."""
     a, b = semantic.select("query_id", "id", F.col("rank").alias("ra")), keyword.select("query_id", "id", F.col("rank").alias("rb"))

@@ -12,6 +12,7 @@ from clausework.operators import classify as cl
 from clausework.operators import dependency as dep
 from clausework.operators import knowledge as kg
 from clausework.operators import portfolio as pf
+from clausework.operators import providers as pv
 from clausework.operators import risk
 from clausework.operators import search as se
 from clausework.plans import inputs
@@ -276,7 +277,7 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post JOIN df USING (term) JOIN q USING (term) CROSS JOIN size GROUP BY query_id, id),
 bmr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm WHERE score > 0) WHERE rank <= 16)"""
 _VQ = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
-vs AS (SELECT q.id AS query_id, v.id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS score FROM v q JOIN v ON q.id < 40 AND v.id <> q.id),
+vs AS (SELECT q.id AS query_id, v.id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS score FROM v q JOIN v ON q.id % 50 = 0 AND v.id <> q.id),
 vr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vs) WHERE rank <= 32)"""
 _FUSE = """u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(0.5::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0) AS s FROM vr a FULL JOIN bmr b ON a.query_id = b.query_id AND a.id = b.id),
 fused AS (SELECT query_id, id, s AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM u) WHERE rank <= 10)"""
@@ -286,9 +287,13 @@ def _bm25(s: SparkSession, d: str) -> DataFrame:
     return se.bm25(_t(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-def _vectors(s: SparkSession, d: str) -> DataFrame:
+def _vector_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return se.vector_topk(v, v.where("id < 40").withColumnRenamed("id", "query_id"))
+    return v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return se.vector_topk(*_vector_sides(s, d))
 
 
 add("bm25_topk", f"WITH {_CORPUS} SELECT query_id, id, rank, score FROM bmr")(lambda s, d: _bm25(s, d).select("query_id", "id", "rank", "score"))
@@ -297,6 +302,25 @@ add("rrf_hybrid", f"WITH {_CORPUS}, {_VQ}, {_FUSE} SELECT * FROM fused")(lambda
 add("retrieve_context", f"WITH {_CORPUS} SELECT query_id, string_agg('- ' || text, chr(10) ORDER BY rank) AS context FROM bmr JOIN documents ON doc_id = id GROUP BY query_id")(
     lambda s, d: se.context(_bm25(s, d), _t(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 
+add("find_similar", f"WITH {_VQ} SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vs) WHERE rank <= 10 AND score >= 0.2")(
+    lambda s, d: se.find_similar(*_vector_sides(s, d), k=10, threshold=0.2))
+_KIND = "CASE WHEN id % 3 = 0 THEN 'entity' ELSE 'triple' END"
+
+
+def _of_kind(kind: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        ids = _t(s, d, "documents").select(F.col("doc_id").alias("id")).union(_t(s, d, "embeddings").select("vec_id")).distinct()
+        words = se.bm25(_t(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), None)
+        return se.search_kind(_vectors(s, d), words, ids.withColumn("kind", F.expr(_KIND)), kind)
+
+    return run
+
+
+for _kind, _name in (("entity", "search_entities"), ("triple", "search_triples")):
+    add(_name, f"""WITH {_CORPUS}, {_VQ}, sk AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vr WHERE {_KIND} = '{_kind}') WHERE rank <= 16),
+bk AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm WHERE score > 0 AND {_KIND} = '{_kind}') WHERE rank <= 16),
+{_FUSE.replace("FROM vr a FULL JOIN bmr b", "FROM sk a FULL JOIN bk b")} SELECT * FROM fused""")(_of_kind(_kind))
+
 # --- text
 
 add("clause_split", r"""WITH d AS (SELECT doc_id AS contract_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), p AS (SELECT contract_id, regexp_split_to_array(t, '\n\s*\n') AS parts FROM d),
@@ -304,7 +328,11 @@ k AS (SELECT contract_id, list_filter(list_transform(parts, lambda x: regexp_rep
 x AS (SELECT contract_id, unnest(range(len(parts))) AS clause_index, unnest(parts) AS text FROM k)
 SELECT contract_id, CAST(clause_index AS INTEGER) AS clause_index, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS text FROM x WHERE length(text) >= 50""")(
     lambda s, d: cl.split_contracts(_t(s, d, "documents").select(F.col("doc_id").alias("contract_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))))
-add("chunk_text")(lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(text.chunks("text")).alias("chunk", "text")))
+_MARKS = ["'. '", "'.' || chr(10)", "chr(10) || chr(10)", "chr(10)", "' '"]
+_STOP = "CASE WHEN start + 2000 >= length(text) THEN start + 2000 " + " ".join(f"WHEN strpos(reverse(substr(text, start + 1001, 1000)), reverse({m})) > 0 THEN start + 2001 - strpos(reverse(substr(text, start + 1001, 1000)), reverse({m}))" for m in _MARKS) + " ELSE start + 2000 END"
+add("chunk_text", f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS chunk, 0::BIGINT AS start, {_STOP.replace("start", "0")} AS stop FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, text, chunk, start, {_STOP} FROM (SELECT doc_id, text, chunk + 1 AS chunk, stop - 200 AS start FROM c WHERE length(text) > 2000 AND stop - 200 < length(text)))
+SELECT doc_id, chunk, substr(text, start + 1, stop - start) AS text FROM c""")(lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(text.chunks("text")).alias("chunk", "text")))
 _NOISE = "trim(trim(trim(trim(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '\"'), ''''), ':'), ';')"
 _SUFFIX = " ".join(f"WHEN lower(x) LIKE '%{o}' THEN substring(x, 1, length(x) - {len(o)}) || '{n}'" for o, n in dims.PARTY_SUFFIXES)
 add("normalize_entities", f"""WITH e AS ({inputs.ENTITIES}), n AS (SELECT id, type, {_NOISE} AS x FROM e)
@@ -398,3 +426,45 @@ add("contract_graph", f"WITH {_UPEDGE}, own AS (SELECT DISTINCT id AS name FROM
 add("graph_stats", f"WITH {_UPNODE} SELECT d.type, count(n.id) AS n FROM {D['dim_node_type']} d LEFT JOIN nodes n ON n.type = d.type GROUP BY d.type")(
     lambda s, d: kg.node_type_counts(kg.upsert_nodes(inputs.entities(s, d))))
 add("duplicate_node_keys", f"WITH {_TR} SELECT type, id, count(*) AS n FROM e GROUP BY type, id HAVING count(*) > 1")(lambda s, d: kg.duplicate_keys(inputs.entities(s, d)))
+add("item_texts", f"""WITH {_TR} SELECT 'entity' AS kind, id AS key, name || ' (' || type || ')' AS text FROM e
+UNION ALL SELECT 'triple', CAST(ord AS VARCHAR), subject || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || object FROM t""")(lambda s, d: kg.item_texts(inputs.entities(s, d), inputs.triples(s, d)))
+
+# --- composed reports
+
+_VALUES = f"SELECT contract_id, label, clause_index AS ord, CASE WHEN clause_index % 3 = 0 THEN NULL ELSE concat('f', CAST(clause_index % 2 AS VARCHAR(20))) END AS field, value FROM ({inputs.CLASSIFIED}) c"
+
+
+def _pairs(c: str) -> F.Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+
+
+add("contract_compare_values", f"""WITH x AS ({_VALUES}), k AS (SELECT contract_id, label, field, arg_max(value, ord) AS value FROM x GROUP BY ALL),
+m AS (SELECT contract_id, label, coalesce(string_agg(field || '=' || value, ',' ORDER BY field) FILTER (field IS NOT NULL), '') AS v FROM k GROUP BY ALL)
+SELECT a.label, a.v AS values_a, b.v AS values_b FROM m a JOIN m b ON a.label = b.label AND a.contract_id = {A} AND b.contract_id = {B} WHERE a.v <> '' OR b.v <> ''""")(
+    lambda s, d: pf.compare_values(inputs.derive(s, d, _VALUES), A, B).select("label", _pairs("values_a").alias("values_a"), _pairs("values_b").alias("values_b")))
+add("portfolio_upsert", f"""WITH {_SCORE}, last AS (SELECT DISTINCT contract_id FROM contracts)
+SELECT l.contract_id, CASE WHEN l.contract_id % 3 = 0 THEN 50 ELSE score END AS score, CASE WHEN l.contract_id % 3 = 0 THEN 'MEDIUM' ELSE level END AS level FROM last l LEFT JOIN scores s ON s.contract_id = l.contract_id""")(
+    lambda s, d: pf.upsert_entries(inputs.contracts(s, d).withColumn("ord", F.lit(1)), inputs.contracts(s, d).where("contract_id % 3 = 0").select("contract_id", F.lit(50).alias("score"), F.lit("MEDIUM").alias("level")), _scores(s, d)))
+add("riskiest_contracts", f"WITH {_SCORE} SELECT * FROM contracts WHERE contract_id IN (SELECT contract_id FROM scores ORDER BY score DESC, contract_id LIMIT 10)")(
+    lambda s, d: pf.riskiest(inputs.contracts(s, d), _scores(s, d)))
+add("dep_report", f"""WITH RECURSIVE {_CYCLES}, n AS (SELECT contract_id, count(*) AS labels FROM clauses GROUP BY contract_id)
+SELECT n.contract_id, labels, (SELECT count(*) FROM edges x WHERE x.contract_id = n.contract_id) AS dependencies, (SELECT count(*) FROM graph x WHERE x.contract_id = n.contract_id) AS graph_edges,
+  (SELECT count(*) FROM conflicts x WHERE x.contract_id = n.contract_id) AS contradictions, (SELECT count(*) FROM missing x WHERE x.contract_id = n.contract_id) AS missing_requirements,
+  (SELECT count(*) FROM cycles x WHERE x.contract_id = n.contract_id) AS cycles FROM n""")(
+    lambda s, d: dep.report(inputs.clauses(s, d), dep.edges(inputs.clauses(s, d)), _graph(s, d), *_parts(s, d)))
+add("clause_gate", f"WITH {_VEC} SELECT vec_id, candidate FROM pred WHERE confidence >= 0.45")(lambda s, d: cl.gate(_top1(s, d)).select("vec_id", "candidate"))
+_SPLIT = _SQL["split_assignment"].replace("WITH k AS", "k AS").replace(" SELECT contract_id, CASE", ", a AS (SELECT contract_id, CASE")
+add("split_stats", f"WITH {_SPLIT}), w AS (SELECT contract_id, count(*) AS n FROM ({inputs.CLAUSES}) c GROUP BY contract_id) SELECT split, count(*) AS contracts, CAST(coalesce(sum(n), 0) AS BIGINT) AS clauses FROM a LEFT JOIN w ON w.contract_id = a.contract_id GROUP BY split")(
+    lambda s, d: cl.split_stats(cl.splits(inputs.contracts(s, d)), inputs.clauses(s, d)))
+add("pair_stats", f"SELECT count(*) AS pairs, count(*) FILTER (target = 1) AS positive FROM ({_SQL['training_pairs']})")(
+    lambda s, d: cl.pair_stats(cl.training_pairs(inputs.clauses(s, d), dims.dim(s, "dim_label"))))
+_ECE = "(SELECT sum(n * abs(c - a)) FILTER (bin IS NOT NULL) / sum(n) FROM (SELECT bin, count(*) AS n, avg(x) AS c, avg(hit) AS a FROM (SELECT CASE WHEN {x} >= 0 AND {x} < 1 THEN floor({x} * 10) END AS bin, {x} AS x, CASE WHEN candidate = label THEN 1 ELSE 0 END AS hit FROM pred) GROUP BY bin))"
+add("calibration_delta", f"WITH {_VEC}, b AS (SELECT {_ECE.format(x='cosine')} AS p, {_ECE.format(x='confidence')} AS q) SELECT round(p, 6) AS baseline_ece, round(q, 6) AS tuned_ece, round(p - q, 6) AS improvement FROM b")(
+    lambda s, d: cl.calibration_delta(*[cl.calibration_error(_top1(s, d), F.col("label") == F.col("candidate"), F.col(c)) for c in ("cosine", "confidence")]).select(*[F.round(c, 6).alias(c) for c in ("baseline_ece", "tuned_ece", "improvement")]))
+_REPLIES = "CASE event_id % 4 WHEN 0 THEN concat('Sure. ```json', chr(10), props, chr(10), '``` done') WHEN 1 THEN concat('Here: ', props, ' done') WHEN 2 THEN concat('So [', props, '] it is') ELSE 'nothing' END"
+add("parse_llm_value", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, event_id % 4 = 2 AS is_list FROM events")(
+    lambda s, d: _t(s, d, "events").withColumn("j", text.fenced_value(F.expr(_REPLIES))).select("event_id", F.coalesce(F.get_json_object("j", "$.k"), F.get_json_object("j", "$[0].k")).alias("k"), F.coalesce(F.startswith("j", F.lit("[")), F.lit(False)).alias("is_list")))
+_ASKED = "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'obligations' WHEN 1 THEN 'liability' WHEN 2 THEN 'governing_law' ELSE 'other' END AS name, CASE WHEN s_suppkey % 8 = 0 THEN s_name END AS party FROM supplier"
+add("canned_questions", f"""WITH a AS ({_ASKED}) SELECT s_suppkey, CASE WHEN name = 'obligations' AND party IS NOT NULL THEN 'What are the obligations of ' || party || '?'
+{" ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in pv.CANNED_QUESTIONS.items())} END AS question, CASE {" ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in pv.COMPARE_QUESTIONS.items())} ELSE '{pv.COMPARE_QUESTIONS["all"]}' END AS comparison FROM a""")(
+    lambda s, d: inputs.derive(s, d, _ASKED).select("s_suppkey", pv.canned_question(F.col("name"), F.col("party")).alias("question"), pv.compare_question(F.col("name")).alias("comparison")))

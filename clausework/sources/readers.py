@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausework.functions import text
+
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
     """contract_id (from the content), path and text of UTF-8 files; undecodable bytes are left out."""
@@ -51,7 +53,7 @@ def read_question_answers(spark: SparkSession, path: str, least: int = 21) -> Da
     schema = "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<question:string,answers:array<struct<text:string>>>>>>>>"
     d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("c"))
     d = d.select(F.col("c.title").alias("contract_id"), F.explode(F.col("c.paragraphs")[0]["qas"]).alias("q"))
-    d = d.select("contract_id", "q.question", F.explode("q.answers").alias("a")).select("contract_id", "question", F.trim("a.text").alias("answer"))
+    d = d.select("contract_id", "q.question", F.explode("q.answers").alias("a")).select("contract_id", "question", text.strip(F.col("a.text")).alias("answer"))
     return d.where(F.char_length("answer") >= least)
 
 

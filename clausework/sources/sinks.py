@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,26 @@ def check_size(df: DataFrame, warn: int = 50_000, most: int = 100_000) -> str:
     """ok, warn or full, by the row count; Spark itself needs no such guard."""
     n = df.limit(most).count()
     return "full" if n >= most else "warn" if n >= warn else "ok"
+
+
+def extraction_json(entities: DataFrame, triples: DataFrame, moment: str) -> DataFrame:
+    """contract_id and its entities, triples and their numbers as JSON; ``moment`` is the time to state, so that reruns give the same text."""
+    e = entities.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct("name", "type", "confidence"))).alias("entities"))
+    t = triples.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct("subject", "predicate", "object", "confidence"))).alias("triples"))
+    d = e.join(t, "contract_id", "full_outer")
+    d = d.withColumns({"entities": F.coalesce("entities", F.array()), "triples": F.coalesce("triples", F.array())})
+    about = F.struct(F.size("entities").alias("n_entities"), F.size("triples").alias("n_triples"), F.lit(moment).alias("extracted_at"))
+    return d.select("contract_id", F.to_json(F.struct("contract_id", "entities", "triples", about.alias("metadata"))).alias("json"))
+
+
+def store_result(nodes: DataFrame, triples: DataFrame, path: str) -> None:
+    """A result as two tables under one folder, nodes before triples, so that a triple never lacks its ends."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    triples.write.mode("overwrite").parquet(f"{path}/triples")
+
+
+def run_named(spark: SparkSession, sql: str, tables: dict[str, DataFrame], parameters: dict | None = None) -> DataFrame:
+    """A query over tables given by name, with named parameters: :name in the text, never pasted into it."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(sql, args=parameters or {})

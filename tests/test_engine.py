@@ -215,3 +215,65 @@ def test_plans(spark):
     plan = catalog.queries()["classify_top1"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_chunk_breaks():
+    s = "a" * 60 + ". " + "b" * 30 + "\n" + "c" * 30
+    assert text.chunk_spans(s, 100, 10)[0] == (0, 62)  # a sentence's end comes before a later line's
+    assert text.chunk_spans("a" * 30 + ". " + "b" * 100, 100, 10)[0] == (0, 100)  # none in the first half
+    with pytest.raises(ValueError):
+        text.chunk_spans("x" * 200, 100, 50)
+
+
+def test_extracted(spark):
+    from clausework.operators import providers as pv
+
+    reply = 'x ```json\n{"entities": [{"name": "Acme", "type": "Party", "confidence": "high"}, {"name": "Acme", "type": "Party", "confidence": "low"}], "relationships": [{"subject": "Acme", "predicate": "owes", "object": "Bob", "confidence": "0.5"}]}\n```'
+    rows = spark.createDataFrame([(1, "short"), (2, "silent"), (3, None)], "contract_id long, text string")
+    replies = rows.select(pv.prompt_key("none", F.col("text")).alias("prompt_key"), F.when(F.col("contract_id") == 1, reply).alias("reply"))
+    entities, triples = pv.extracted(rows, replies)
+    assert [(r.contract_id, r.name, r.confidence) for r in entities.collect()] == [(1, "Acme", 0.9)]
+    assert [(r.subject, r.predicate, r.object, r.confidence) for r in triples.collect()] == [("Acme", "owes", "Bob", 0.5)]
+    from clausework.sources import sinks
+
+    got = sinks.extraction_json(entities, triples, "2020-01-01T00:00:00").first()["json"]
+    assert '"n_entities":1' in got and '"n_triples":1' in got and "2020-01-01" in got
+
+
+def test_similar_and_duplicates(spark):
+    from clausework.operators import knowledge as kg
+    from clausework.operators import search as se
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, None)], "id long, embedding array<double>")
+    asked = vectors.where("id IN (1, 3)").withColumnRenamed("id", "query_id")
+    assert [(r.query_id, r.id, r.rank) for r in se.find_similar(vectors, asked, k=3, threshold=0.0).orderBy("rank").collect()] == [(1, 2, 1), (1, 3, 2)]
+    assert [r.id for r in se.vector_topk(vectors, asked).orderBy("rank").collect()] == [2, 4]
+    rows = [(f"e{i}", f"N{i}", "Party" if i % 2 else "Asset", [1.0, i // 10 * 5.0 + i % 10 * 1e-3], i) for i in range(60)]
+    e = spark.createDataFrame(rows, "id string, name string, type string, embedding array<double>, ord int")
+    kind = dict(zip([r[0] for r in rows], [r[2] for r in rows], strict=True))
+    got = kg.cluster_kmeans(e).collect()
+    assert len(got) == 60 and all(kind[r.id] == kind[r.leader_id] == r.type for r in got)
+    assert all(r.id == r.leader_id for r in kg.cluster_kmeans(e.where("ord < 20")).collect())  # ten of a type: too few
+    pairs = spark.createDataFrame([("a", "n", "Party", [1.0, 0.0], 0), ("b", "n", "Asset", [1.0, 0.01], 1), ("c", "n", "Party", [0.0, 1.0], 2)], e.schema)
+    assert sorted((r.id, r.leader_id, r.n) for r in kg.find_duplicates(pairs, 0).collect()) == [("a", "a", 2), ("b", "a", 2)]
+
+
+def test_cycles_are_those_of_the_rules(spark):
+    from clausework.functions import dims
+    from clausework.operators import dependency as dep
+
+    labels = [r.label for r in dims.dim(spark, "dim_label").collect()]
+    nodes = spark.createDataFrame([(1, x, i) for i, x in enumerate(labels)] + [(2, labels[0], 0)], "contract_id long, label string, clause_index int")
+    g = dep.graph(dep.edges(nodes))
+    adjacent = {}
+    for r in g.where("contract_id = 1").collect():
+        adjacent.setdefault(r.u, []).append(r.v)
+    want = sorted(" -> ".join(c) for c in dep.simple_cycles(adjacent))
+    got = dep.cycles(g).collect()
+    assert want and sorted(r.cycle for r in got) == want and {r.contract_id for r in got} == {1}
+
+
+def test_named_queries(spark):
+    from clausework.sources import sinks
+
+    assert sinks.run_named(spark, "SELECT id * :k AS x FROM given_ids WHERE id > 1", {"given_ids": spark.range(3)}, {"k": 5}).collect()[0].x == 10
