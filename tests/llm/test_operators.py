@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clausework.llm import graph, html_text, kd_search, masked_lm, packing, partenum, passage_dedup, quality_mil, quality_rules, source_mix, suffix_dedup
+from clausework.llm import graph, html_text, kd_search, masked_lm, packing, partenum, passage_dedup, quality_mil, quality_rules, source_mix, suffix_dedup, words
 
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,6 +175,53 @@ def test_html(spark):
     assert html_text.extract(rows.where("page_id < 0")).count() == 0
 
 
+def brute_lm(rows, vocabulary, network):
+    """The same score from plain dictionaries of windows."""
+    from collections import Counter
+
+    def parts(t):
+        d = next(iter(words.documents(pa.array([t or ""]), lower=True)), None)
+        if d is None or not len(d.hashes):
+            return []
+        k, share, h = vocabulary.tokens(d).tolist(), vocabulary.shares(d, vocabulary.tokens(d)).tolist(), d.hashes.tolist()
+        at = lambda x, i: x[i] if 0 <= i < len(x) else 0
+        kept = (masked_lm.windows(d) % masked_lm.MEMORY_SHARE == 0).tolist()
+        return [(float(network[at(k, i - 1), at(k, i + 1), k[i]]) + share[i], tuple(at(h, i + j) for j in (-2, -1, 1, 2)), h[i], kept[i]) for i in range(len(h))]
+
+    memory, own, known = {}, {}, {}
+    for i, t in rows:
+        known[i] = parts(t)
+        for _, window, word, kept in known[i]:
+            if kept:
+                memory.setdefault(window, Counter())[word] += 1
+                own.setdefault((i, window), Counter())[word] += 1
+    out = {}
+    for i, _ in rows:
+        out[i] = 0.0
+        for log, window, word, kept in known[i]:
+            others = memory[window] - own[i, window] if kept else Counter()
+            n, d = sum(others.values()), len(others)
+            out[i] += np.log(n / (n + d) * others[word] / n + d / (n + d) * np.exp(log)) if n else log
+    return out
+
+
+def test_masked_lm_tells_repeated_documents(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 150)) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(15)] + [(7, rows[7][1]), (None, rows[50][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = masked_lm.score(df, *masked_lm.fit(df)).collect()
+    assert len(got) == len(rows)
+    mean = {str(r.doc_id): r.mean_loglik for r in got}
+    assert min(mean[str(i)] for i in (*range(15), *range(100, 115), 50)) > max(mean[str(i)] for i in range(15, 60) if i != 50)
+    twice = [r.pseudo_loglik for r in got if r.doc_id == 7]
+    assert len(twice) == 2 and len(set(twice)) == 1  # repeated rows are one document to the memory
+    junk = [(500 + i, rows[20 + i][1].replace("w7", "q7")) for i in range(10)]
+    both = spark.createDataFrame(rows[15:49] + junk, df.schema)
+    again = {r.doc_id: r.mean_loglik for r in masked_lm.score(both, *masked_lm.fit(df)).collect()}
+    assert all(again[500 + i] < again[20 + i] for i in range(10) if rows[20 + i][1] != junk[i][1])  # unseen words cost more than seen ones of like shape
+
+
 def test_masked_lm(docs, texts):
     vocabulary, network = masked_lm.fit(docs.select("text"))
     assert np.allclose(np.exp(network.astype(float)).sum(axis=2), 1, atol=1e-3)
@@ -182,6 +230,8 @@ def test_masked_lm(docs, texts):
     none = next(i for i, t in texts if t is None)
     assert got[none].n_tokens == 0 and got[none].pseudo_loglik == 0
     assert got[3].pseudo_loglik == got[40].pseudo_loglik
+    for i, want in brute_lm(texts, vocabulary, network).items():
+        assert abs(got[i].pseudo_loglik - want) < 1e-3 * max(1, got[i].n_tokens), i
     assert masked_lm.score(empty(docs), *masked_lm.fit(empty(docs).select("text"))).count() == 0
 
 
