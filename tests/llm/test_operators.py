@@ -1,6 +1,7 @@
 """Each operator against plain Python on fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -256,6 +257,12 @@ def test_topk(spark):
         want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
     assert got == sorted(want)
     assert kd_search.topk(df.where("vec_id < 0"), F.col("vec_id") % 10 == 0).count() == 0
+    huge = [(1, [3e9, 1.0]), (2, [2e9, 0.5]), (3, [1e300, 0.0]), (4, [-1e300, 2.0]), (5, [1e-3, 2e-3]), (6, [1e9 + 1 / 1024, 0.0])]
+    got = kd_search.topk(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") == 5, shard_rows=2).collect()
+    size = lambda x: max(-(2**63), min(2**63 - 1, math.floor(1024 * x) if abs(1024 * x) < 2**63 else (2**63 - 1 if x > 0 else -(2**63))))
+    five = [size(x) for x in huge[4][1]]
+    exact = sorted((-max(-(2**63), min(2**63 - 1, sum(size(x) * y for x, y in zip(v, five, strict=True)))), i) for i, v in huge if i != 5)
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(exact)]
 
 
 def test_packing(docs, texts):
