@@ -3,7 +3,10 @@
 Every paragraph passes points for its length and commas to its parent and, halved, to its grandparent; a container's
 points are discounted by its share of link text. The best container is kept, widened to the article or main element
 around it, together with siblings that score well or read like prose. Menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers, scripts and styles are cut by element, role and class before scoring.
+adverts, forms, comments of readers, scripts and styles are cut by element, role and class before scoring. A class that only says what a page has or lacks
+(has-sidebar, no-comments) cuts nothing, and a name of three parts or more cuts nothing inside article or main. Lists and tables of links are left out
+as menus outside article and main only. A header with a heading that stands in the chosen container gives its heading. Pages of any length and depth are read whole,
+in time in proportion to their length.
 
 A null or empty page, or one without text, gives an empty text. Broken markup is read as far as it goes: a tag
 that is cut off at the end of the page is dropped. Repeated rows are treated one by one, and input columns named like results are replaced.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +48,7 @@ _CUT_WORD = {
     "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
     "subscription", "signup", "login", "search", "pagination", "pager", "toolbar", "widget", "rail", "copyright", "disclaimer", "skip", "tags", "outbrain", "taboola",
 }
+_STATES = {"has", "no", "not", "with", "without", "is", "hide", "show", "js", "enable", "disable"}  # a class that begins so tells of a state
 _KEEP_ALWAYS = {"html", "body", "article", "main"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -57,7 +62,18 @@ class _Node:
         self.score = self.chars = self.linked = 0
 
 
-def _is_cut(tag: str, attrs: str, parent: _Node) -> bool:
+def _names_cut(value: str, inside: bool) -> bool:
+    """Whether a class or id names something that is no part of the text."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not parts or parts[0] in _STATES or (inside and len(parts) > 2):
+            continue
+        if not _CUT_WORD.isdisjoint(parts):
+            return True
+    return False
+
+
+def _is_cut(tag: str, attrs: str, inside: bool) -> bool:
     if tag in _CUT:
         return True
     if not attrs or tag in _KEEP_ALWAYS:
@@ -70,7 +86,7 @@ def _is_cut(tag: str, attrs: str, parent: _Node) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and not _CUT_WORD.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and _names_cut(value, inside):
             return True
     return False
 
@@ -78,6 +94,21 @@ def _is_cut(tag: str, attrs: str, parent: _Node) -> bool:
 def _parse(page: str) -> _Node:
     root = at = _Node("#root", None, False)
     pos, end = 0, len(page)
+    open_: Counter[str] = Counter()  # open elements by name, so that nothing is sought that is not there
+
+    def leave(node: _Node) -> None:
+        """Close the open elements up to ``node`` and it, too."""
+        nonlocal at
+        while at is not node.parent:
+            open_[at.tag] -= 1
+            at = at.parent
+
+    def above(stop: set[str], over: set[str] | None = None) -> _Node:
+        up = at
+        while up.parent is not None and up.tag not in stop and (over is None or up.tag not in over):
+            up = up.parent
+        return up
+
     while pos < end:
         m = _TOKEN.match(page, pos)
         if m is None:
@@ -94,33 +125,27 @@ def _parse(page: str) -> _Node:
             continue
         tag = tag.lower()
         if closing:
-            up = at
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                at = up.parent
+            if open_[tag] > 0:
+                leave(above({tag}))
             continue
         if tag == "br":
             at.kids.append(" ")
             continue
         if tag in _RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
+            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
             pos = stop.end() if stop else end
             continue
-        if tag in _BLOCK:
-            up = at
-            while up.parent is not None and up.tag not in ("p", *_HEADING) and up.tag not in _BLOCK:
-                up = up.parent
+        if tag in _BLOCK and any(open_[x] > 0 for x in ("p", *_HEADING)):
+            up = above({"p", *_HEADING}, _BLOCK)
             if up.tag == "p" or (up.tag in _HEADING and tag in _HEADING | {"p"}):
-                at = up.parent
-        if tag in _CLOSES:
-            up = at
-            while up.parent is not None and up.tag not in _CLOSES[tag] and up.tag not in ("ul", "ol", "dl", "table", "body"):
-                up = up.parent
+                leave(up)
+        if tag in _CLOSES and any(open_[x] > 0 for x in _CLOSES[tag]):
+            up = above(_CLOSES[tag], {"ul", "ol", "dl", "table", "body"})
             if up.tag in _CLOSES[tag]:
-                at = up.parent
-        cut = at.cut or _is_cut(tag, attrs, at)
-        if tag == "header" and not at.cut and _inside(at, ("article", "main")):
+                leave(up)
+        inside = open_["article"] > 0 or open_["main"] > 0
+        cut = at.cut or _is_cut(tag, attrs, inside)
+        if tag == "header" and not at.cut and inside:
             cut = False
         if tag in ("p", "div", "span", "li") and at.tag == "header" and not at.cut:
             cut = True
@@ -128,15 +153,24 @@ def _parse(page: str) -> _Node:
         at.kids.append(node)
         if tag not in _VOID and not attrs.rstrip().endswith("/"):
             at = node
+            open_[tag] += 1
     return root
 
 
-def _inside(node: _Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+def _title(container: _Node) -> None:
+    """Give the headings of a header in the chosen container back, unless it holds a menu, too."""
+    for k in container.kids:
+        if isinstance(k, _Node) and k.tag == "header" and k.cut:
+            below = [x for x in k.kids if isinstance(x, _Node)]
+            if any(x.tag in ("nav", "ul", "form") for x in below):
+                continue
+            if heads := [x for x in below if x.tag in _HEADING]:
+                k.cut, k.kids = False, heads
+                stack = list(heads)
+                while stack:
+                    x = stack.pop()
+                    x.cut = x.tag in _CUT
+                    stack += [y for y in x.kids if isinstance(y, _Node)]
 
 
 def _order(root: _Node) -> list[_Node]:
@@ -197,6 +231,8 @@ def _kept(root: _Node) -> list[_Node]:
         best = best.parent
     if best.parent is None or best.tag == "body":
         return [best]
+    if best.tag not in ("article", "main"):
+        _title(best)
     least = max(4.0, 0.2 * best.score)
     out = []
     for k in best.parent.kids:
@@ -225,6 +261,7 @@ def main_text(page: str | None) -> str:
             blocks.append(text)
 
     for top in _kept(root):
+        menus = top.tag not in ("article", "main")
         stack: list[_Node | str | None] = [None, top]
         while stack:
             k = stack.pop()
@@ -232,7 +269,7 @@ def main_text(page: str | None) -> str:
                 flush()
             elif isinstance(k, str):
                 line.append(k)
-            elif k.cut or k.tag in ("ul", "ol", "div", "section", "table", "dl") and k is not top and k.chars and _density(k) > 0.5:
+            elif k.cut or menus and k.tag in ("ul", "ol", "div", "section", "table", "dl") and k is not top and k.chars and _density(k) > 0.5:
                 continue
             else:
                 block = k.tag in _BLOCK

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,35 @@ def test_html(spark):
     assert html_text.extract(rows.where("page_id < 0")).count() == 0
 
 
+PARAS = "".join(f"<p>Para {i}, with several words, and commas, in it.</p>" for i in range(5))
+TEXT = "\n".join(f"Para {i}, with several words, and commas, in it." for i in range(5))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{PARAS}<div class='search-results-study'><p>More of it.</p></div></article>", TEXT + "\nMore of it."),
+        (f"<main>{PARAS}<ul><li><a href=x>one link</a><li><a href=y>two link</a></ul></main>", TEXT + "\none link\ntwo link"),
+        (f"<body><header><h1>Site</h1><nav>a</nav></header><div class='post'><header><h1>T</h1><p>by x</p></header>{PARAS}</div></body>", "T\n" + TEXT),
+        (f"<div class='content has-sidebar'>{PARAS}</div>", TEXT),
+        (f"<div id='post no-comments'>{PARAS}</div><div class='comments'><p>Nice, very, very nice.</p></div>", TEXT),
+        (f"<div class=x><ul><li><a href=/>Menu, one</a><li><a href=/>Menu, two</a></ul></div><div class=y>{PARAS}</div><div class='cookie-notice'><p>We use, as ever, cookies.</p></div>", TEXT),
+        (f"<ARTICLE>{PARAS}<script>p</script ><style>q</style><table><tr><td>a<td>b<tr><td>c&lt;d</table></ARTICLE>", TEXT + "\na b\nc<d"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_long_and_deep_pages():
+    began = time.process_time()
+    for page in ("<div>" * 20000 + "</b>" * 20000, "<span>" * 20000 + "<p>x</p>" * 20000, "<b>" * 20000 + "<li>x" * 20000):
+        html_text.main_text(page)
+    assert time.process_time() - began < 20  # in proportion to the length; quadratic work takes minutes
+    long = "".join(f"<p>Para {i}, and more.</p>" for i in range(30000))
+    assert html_text.main_text(f"<article>{long}</article>").count("\n") == 29999
+
+
 def brute_lm(rows, vocabulary, network):
     """The same score from plain dictionaries of windows."""
     from collections import Counter
