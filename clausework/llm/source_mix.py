@@ -2,7 +2,7 @@
 
 A source's repetition rate is its target share times the target number of rows over the source's rows; a document
 is repeated a Poisson number of times with that mean. The number comes from the inverted distribution function at a uniform value
-hashed from document, content and seed, so a rerun after a lost executor repeats it. Copies are dealt out by a hash of document,
+hashed from id and seed (the text is not read), so a rerun after a lost executor repeats it. Copies are dealt out by a hash of document,
 copy and seed and sorted by it: one shuffle, in which a large source is spread like any other.
 
 Without weights every source gets the same share. Null sources are one source of their own; a source without weight has rate 0.

@@ -9,7 +9,7 @@ then join suffixes that share at least ``length`` bytes. The least document of e
 strings. (4) Removed intervals go back to their documents, which are cut and digested.
 
 Documents equal to one with a smaller id are removed whole if they are long enough, without passing through steps 2 and
-3; hashes decide only what is looked at, never what is removed, but for SHA-256 of whole texts. Matches never cross documents. Null texts are empty. Rows of the same id
+3. What is removed is told by bytes, but for SHA-256 of whole texts and a 64-bit hash of id and text that brings removed intervals back to their rows. Matches never cross documents. Null texts are empty. Rows of the same id
 do not remove each other; rows without an id remove nothing and lose nothing. Empty tables give empty results.
 """
 
