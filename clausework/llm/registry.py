@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "passage_dedup", "html_text", "masked_lm", "kd_search", "packing", "source_mix", "quality_mil", "suffix_dedup", "partenum")
+MODULES = ("quality_rules", "passage_dedup", "html_text", "masked_lm", "kd_search", "packing", "source_mix", "quality_mil", "suffix_dedup", "partenum", "token_counts", "alignment", "ball_kmeans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
