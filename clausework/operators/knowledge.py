@@ -6,12 +6,14 @@ subject, predicate, object, confidence, properties, contract_id and ord.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import dims, scores, text
+from clausework.operators import similarity
+from clausework.plans.lineage import cut
 
 
 def dedup_entities(entities: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def dedup_triples_best(triples: DataFrame) -> DataFrame:
     """The most confident of equal triples; later, not better ones add the properties that it lacks."""
     item = F.struct("ord", "confidence", F.map_entries("properties").alias("p"))
     d = triples.groupBy("subject", "predicate", "object").agg(F.sort_array(F.collect_list(F.struct("ord", "confidence"))).alias("s"), F.collect_list(item).alias("items"))
-    ordered = F.array_sort("items", lambda a, b: a["ord"].cast("int") - b["ord"].cast("int"))
+    ordered = F.array_sort("items", lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
 
     def fold(a: Column, x: Column) -> Column:
         old = F.transform(a["p"], lambda e: e["key"])
@@ -71,40 +73,27 @@ def canonical_score(name: Column, kind: Column, properties: Column, article: int
     return s + F.when((kind == "Party") & name.rlike(r"( Inc\.| LLC| Ltd\.| Corp\.| Corporation)$"), suffix).otherwise(0)
 
 
-def leader_groups(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Greedy leaders: each unclaimed row in order claims all later unclaimed rows that are similar enough to it."""
-    norms = np.linalg.norm(vectors, axis=1)
-    unit = vectors / np.where(norms == 0, 1, norms)[:, None]
-    group = np.full(len(vectors), -1)
-    for i in range(len(vectors)):
-        if group[i] < 0:
-            later = np.flatnonzero(group < 0)
-            near = later[(unit[later] @ unit[i] >= threshold) & (later > i)]
-            group[near] = group[i] = i
-    return group
-
-
 def cluster(entities: DataFrame, threshold: float | None = None, embedding: str = "embedding") -> DataFrame:
-    """id, leader_id by greedy leader clustering within each type; ``None`` takes each type's own threshold."""
+    """id, ord, leader_id by greedy leaders within each type: each unclaimed entity in order claims all later unclaimed ones near it.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        t = dims.AGGREGATION_THRESHOLDS.get(pdf["type"].iloc[0], dims.DEFAULT_AGGREGATION_THRESHOLD) if threshold is None else threshold
-        group = leader_groups(np.array(pdf["v"].tolist(), dtype=np.float64), t)
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "type": pdf["type"].to_numpy(), "leader_id": ids[group]})
-
-    return entities.select("id", "type", "ord", F.col(embedding).alias("v")).groupBy("type").applyInPandas(one, "id string, type string, leader_id string")
+    ``None`` takes each type's own threshold. See ``similarity.leader_clusters``.
+    """
+    if threshold is not None:
+        own = F.lit(float(threshold))
+    else:
+        known = F.create_map(*[F.lit(x) for kv in dims.AGGREGATION_THRESHOLDS.items() for x in kv])
+        own = F.coalesce(F.element_at(known, F.col("type")), F.lit(dims.DEFAULT_AGGREGATION_THRESHOLD))
+    return similarity.leader_clusters(entities, F.col("type"), own, embedding)
 
 
 KMEANS_LEAST = 20  # fixed value
 
 
 def find_duplicates(entities: DataFrame, threshold: float | None = None, embedding: str = "embedding") -> DataFrame:
-    """Groups of two or more similar entities, all types mixed; a threshold of 0 or none is the default one."""
-    mixed = cluster(entities.withColumn("type", F.lit("any")), threshold or dims.RESOLUTION_THRESHOLD, embedding)
-    w = Window.partitionBy("leader_id")
-    return mixed.withColumn("n", F.count("*").over(w)).where("n >= 2").select("id", "leader_id", "n")
+    """id, leader_id and size of groups of two or more similar entities, all types mixed; a threshold of 0 or none is the default one."""
+    mixed = similarity.leader_clusters(entities, F.lit("any"), F.lit(float(threshold or dims.RESOLUTION_THRESHOLD)), embedding)
+    sizes = mixed.groupBy("leader_id").agg(F.count("*").alias("n")).where("n >= 2")
+    return mixed.join(sizes, "leader_id").select("id", "leader_id", "n")
 
 
 def item_texts(entities: DataFrame, triples: DataFrame) -> DataFrame:
@@ -157,11 +146,61 @@ def reduction(mapping: DataFrame) -> DataFrame:
     return mapping.agg(F.count("*").alias("original"), F.count_distinct("canonical_id").alias("merged")).withColumn("reduction_rate", 1.0 - F.col("merged") / F.greatest("original", F.lit(1)))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", block: str = "label") -> DataFrame:
-    """Pairs within a block whose cosine reaches the threshold."""
-    a, b = vectors.select(F.col(key).alias("id_a"), block, F.col("embedding").alias("va")), vectors.select(F.col(key).alias("id_b"), block, F.col("embedding").alias("vb"))
-    d = a.join(b, block).where("id_a < id_b").withColumn("cosine", scores.cosine(F.col("va"), F.col("vb")))
-    return d.where(F.col("cosine") >= threshold).select("id_a", "id_b", block, "cosine")
+class Merged(NamedTuple):
+    """What resolution or aggregation gives: entities left, their triples, old_id and canonical_id, names replaced, and totals."""
+
+    entities: DataFrame
+    triples: DataFrame
+    mapping: DataFrame
+    aliases: DataFrame
+    totals: DataFrame
+
+
+def with_name_vectors(entities: DataFrame, column: str = "embedding") -> DataFrame:
+    """Entities with a vector of "type: name"."""
+    return entities.withColumn(column, text.trigram_vector(F.concat("type", F.lit(": "), "name")))
+
+
+def _merge(entities: DataFrame, triples: DataFrame, clusters: DataFrame, for_aggregation: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    mapping = cut(choose_canonical(entities, clusters, for_aggregation))
+    left = entities.join(mapping.where("old_id = canonical_id").select(F.col("old_id").alias("id")).distinct(), "id", "left_semi")
+    return left, remap(triples, mapping.where("old_id <> canonical_id")), mapping
+
+
+def resolve(entities: DataFrame, triples: DataFrame, threshold: float | None = None, embedding: str = "embedding") -> Merged:
+    """Duplicates within each type become the entity of the best name; triples follow, equal ones once, with their confidences averaged in turn.
+
+    Entities have ids of their own. A threshold of 0 or none is the default one. Totals: original, resolved, reduction_rate.
+    """
+    clusters = cluster(entities, threshold or dims.RESOLUTION_THRESHOLD, embedding)
+    left, moved, mapping = _merge(entities, triples, clusters, for_aggregation=False)
+    totals = reduction(mapping).select("original", F.col("merged").alias("resolved"), "reduction_rate")
+    return Merged(left, dedup_triples_average(moved), mapping, aliases(entities, mapping), totals)
+
+
+def aggregate(entities: DataFrame, triples: DataFrame, embedding: str = "embedding") -> Merged:
+    """Extractions of many contracts as one: entities merged by their types' own thresholds, triples remapped, the best of equal ones kept,
+    and confidences raised by how many entity rows name their ends.
+
+    Totals: source_contracts, original_entities, original_triples, merged_entities, merged_triples, reduction_rate, and thresholds (by type).
+    """
+    clusters = cluster(entities, None, embedding)
+    left, moved, mapping = _merge(entities, triples, clusters, for_aggregation=True)
+    contracts = entities.select("contract_id").unionAll(triples.select("contract_id")).agg(F.count_distinct("contract_id").alias("n_contracts"))
+    merged = cut(boosted(dedup_triples_best(moved), entities, contracts))
+    own = dims.dim(entities.sparkSession, "dim_threshold")
+    used = entities.select("type").distinct().join(F.broadcast(own), "type", "left").select("type", F.coalesce("threshold", F.lit(dims.DEFAULT_AGGREGATION_THRESHOLD)).alias("threshold"))
+    thresholds = used.agg(F.sort_array(F.collect_list(F.struct("type", "threshold"))).alias("thresholds"))  # one for each type
+    totals = contracts.select(F.col("n_contracts").alias("source_contracts"))
+    for name, d in (("original_entities", entities), ("original_triples", triples), ("merged_entities", mapping.select("canonical_id").distinct()), ("merged_triples", merged)):
+        totals = totals.crossJoin(d.agg(F.count("*").alias(name)))
+    totals = totals.withColumn("reduction_rate", 1 - F.col("merged_entities") / F.greatest("original_entities", F.lit(1))).crossJoin(thresholds)
+    return Merged(left, merged, mapping, aliases(entities, mapping), totals)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", block: str | None = "label") -> DataFrame:
+    """Pairs within a block whose cosine reaches the threshold; see ``similarity.cosine_pairs``."""
+    return similarity.cosine_pairs(vectors, threshold, key, block)
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:

@@ -413,8 +413,63 @@ def _resolved(s: SparkSession, d: str, threshold: float | None, for_aggregation:
     return kg.choose_canonical(e, kg.cluster(e, threshold), for_aggregation)
 
 
-add("resolve_entities")(lambda s, d: _resolved(s, d, 0.3, False))
-add("aggregate_entities")(lambda s, d: _resolved(s, d, None, True))
+_KINDS = "[" + ", ".join(f"'{t}'" for t in dims.NODE_TYPES) + "]"
+_VECTOR_ENTITIES = f"e AS (SELECT CAST(vec_id AS VARCHAR) AS id, concat('Entity ', vec_id) AS name, {_KINDS}[label % 9 + 1] AS type, embedding::DOUBLE[] AS v, CAST(vec_id AS BIGINT) AS ord, 1 AS n_props FROM embeddings)"
+_GRAMS = "list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: ('0x' || substring(md5(substring(lower(x), i, 3)), 1, 4))::BIGINT % 64)"
+_NAMED_ENTITIES = f"g AS (SELECT *, {_GRAMS} AS b FROM (SELECT *, type || ': ' || name AS x FROM raw)), e AS (SELECT *, list_transform(range(64), lambda j: len(list_filter(b, lambda y: y = j))::DOUBLE) AS v FROM g)"
+
+
+def _leaders(threshold: str, kind: str = "type", score: str = "s") -> str:
+    """Greedy leaders of e one after another, and of each group the best name (old_id, canonical_id, leader_id)."""
+    span = _SPAN if score == "s" else _SPAN.split(" - 5 *")[0].replace("20", "10", 1).replace("THEN 10 ELSE 0 END", "THEN 5 ELSE 0 END") + " + 2 * n_props"
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord, id) AS i, sqrt(list_dot_product(v, v)) AS norm, {threshold} AS t, {span} AS s FROM e),
+near AS MATERIALIZED (SELECT a.i AS a, list(b.i ORDER BY b.i) AS later FROM o a JOIN o b ON a.{kind} = b.{kind} AND a.i < b.i AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= a.t GROUP BY a.i),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS claimed, false AS leads UNION ALL
+  SELECT w.i + 1, CASE WHEN list_contains(w.claimed, w.i + 1) THEN w.claimed ELSE list_concat(w.claimed, coalesce(n.later, [])) END, NOT list_contains(w.claimed, w.i + 1)
+  FROM walk w LEFT JOIN near n ON n.a = w.i + 1 WHERE w.i < (SELECT max(i) FROM o)),
+lead AS (SELECT i FROM walk WHERE leads),
+member AS (SELECT i, min(l) AS l FROM (SELECT i, i AS l FROM lead UNION ALL SELECT unnest(n.later), n.a FROM near n JOIN lead ON lead.i = n.a) WHERE i = l OR i NOT IN (SELECT i FROM lead) GROUP BY i),
+best AS (SELECT l, arg_max(id, {{'s': s, 'o': -ord}}) AS canonical_id FROM member JOIN o USING (i) GROUP BY l),
+m AS (SELECT o.id AS old_id, best.canonical_id, f.id AS leader_id FROM member JOIN o USING (i) JOIN best USING (l) JOIN o f ON f.i = member.l)"""
+
+
+_OWN = "CASE e.type " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in dims.AGGREGATION_THRESHOLDS.items()) + f" ELSE {dims.DEFAULT_AGGREGATION_THRESHOLD} END"
+_BY_NAME = f"raw AS ({inputs.ENTITIES}), t AS ({inputs.TRIPLES}), {_NAMED_ENTITIES}"
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.entities(s, d).withColumn("properties", F.expr("map_from_arrays(transform(sequence(0, CAST(n_props AS INT)), i -> CAST(i AS STRING)), transform(sequence(0, CAST(n_props AS INT)), i -> ''))"))
+    return kg.with_name_vectors(e.withColumn("properties", F.map_filter("properties", lambda k, v: k != "0")))
+
+
+add("resolve_entities", f"WITH RECURSIVE {_VECTOR_ENTITIES}, {_leaders('CAST(0.3 AS DOUBLE)')} SELECT old_id, canonical_id FROM m")(lambda s, d: _resolved(s, d, 0.3, False))
+add("aggregate_entities", f"WITH RECURSIVE {_VECTOR_ENTITIES}, {_leaders(_OWN, score='a')} SELECT old_id, canonical_id FROM m")(lambda s, d: _resolved(s, d, None, True))
+add("find_duplicates", f"""WITH RECURSIVE {_BY_NAME.replace("t AS (" + inputs.TRIPLES + "), ", "")}, k AS (SELECT 1), {_leaders("CAST(0.8 AS DOUBLE)").replace("a.type = b.type AND ", "")}, n AS (SELECT leader_id, count(*) AS n FROM m GROUP BY leader_id)
+SELECT old_id AS id, leader_id, n FROM m JOIN n USING (leader_id) WHERE n >= 2""")(lambda s, d: kg.find_duplicates(_named(s, d)))
+_MOVED = "moved AS (SELECT coalesce(a.canonical_id, subject) AS subject, predicate, coalesce(b.canonical_id, object) AS object, confidence, contract_id, k, ord FROM t LEFT JOIN m a ON a.old_id = subject LEFT JOIN m b ON b.old_id = object)"
+_RESOLVED = f"WITH RECURSIVE {_BY_NAME}, {_leaders('CAST(0.8 AS DOUBLE)')}, {_MOVED}"
+add("resolve_graph", f"""{_RESOLVED}, l AS (SELECT subject, predicate, object, list(confidence ORDER BY ord) AS c FROM moved GROUP BY ALL)
+SELECT subject, predicate, object, round(list_reduce(c, lambda a, x: (a + x) / 2), 9) AS confidence FROM l""")(
+    lambda s, d: kg.resolve(_named(s, d), inputs.triples(s, d)).triples.withColumn("confidence", F.round("confidence", 9)))
+add("resolve_mapping", f"{_RESOLVED} SELECT old_id, canonical_id FROM m")(lambda s, d: kg.resolve(_named(s, d), inputs.triples(s, d)).mapping)
+add("resolve_totals", f"{_RESOLVED} SELECT count(*) AS original, count(DISTINCT canonical_id) AS resolved, 1 - count(DISTINCT canonical_id) / CAST(greatest(count(*), 1) AS DOUBLE) AS reduction_rate FROM m")(
+    lambda s, d: kg.resolve(_named(s, d), inputs.triples(s, d)).totals)
+_AGGREGATED = f"WITH RECURSIVE {_BY_NAME}, {_leaders(_OWN, score='a')}, {_MOVED}"
+_BEST = """b AS (SELECT subject, predicate, object, max(confidence) AS confidence, arg_max(ord, {'c': confidence, 'o': -ord}) AS o FROM moved GROUP BY subject, predicate, object),
+p AS (SELECT t.subject, t.predicate, t.object, b.confidence, t.k, min(t.ord) AS ord FROM moved t JOIN b ON t.subject = b.subject AND t.predicate = b.predicate AND t.object = b.object AND t.ord >= b.o GROUP BY ALL),
+w AS (SELECT subject, predicate, object, confidence, string_agg('k' || k || '=v' || ord, ',' ORDER BY k) AS properties FROM p GROUP BY subject, predicate, object, confidence),
+c AS (SELECT id, count(*) AS n FROM e GROUP BY id), kk AS (SELECT count(DISTINCT contract_id) AS n FROM (SELECT contract_id FROM e UNION ALL SELECT contract_id FROM t)),
+done AS (SELECT w.subject, predicate, w.object, properties, round(CASE WHEN kk.n <= 1 THEN coalesce(nullif(confidence, 0), 0.7) ELSE least(1.0, coalesce(nullif(confidence, 0), 0.7) + (coalesce(a.n, 0) + coalesce(z.n, 0)) / (2.0 * kk.n) * 0.2) END, 9) AS confidence
+  FROM w LEFT JOIN c a ON a.id = w.subject LEFT JOIN c z ON z.id = w.object CROSS JOIN kk)"""
+add("aggregate_graph", f"{_AGGREGATED}, {_BEST} SELECT subject, predicate, object, confidence, properties FROM done")(
+    lambda s, d: kg.aggregate(_named(s, d), _with_props(s, d)).triples.select("subject", "predicate", "object", F.round("confidence", 9).alias("confidence"), F.array_join(F.transform(F.sort_array(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties")))
+add("aggregate_aliases", f"{_AGGREGATED} SELECT canonical_id, string_agg(DISTINCT name, '|' ORDER BY name) AS aliases FROM m JOIN e ON e.id = m.old_id WHERE old_id <> canonical_id GROUP BY canonical_id")(
+    lambda s, d: kg.aggregate(_named(s, d), _with_props(s, d)).aliases.withColumn("aliases", F.array_join("aliases", "|")))
+add("aggregate_totals", f"""{_AGGREGATED}, u AS (SELECT DISTINCT type, {_OWN} AS threshold FROM e)
+SELECT (SELECT count(DISTINCT contract_id) FROM (SELECT contract_id FROM e UNION ALL SELECT contract_id FROM t)) AS source_contracts, (SELECT count(*) FROM e) AS original_entities, (SELECT count(*) FROM t) AS original_triples,
+  (SELECT count(DISTINCT canonical_id) FROM m) AS merged_entities, (SELECT count(*) FROM (SELECT DISTINCT subject, predicate, object FROM moved)) AS merged_triples,
+  1 - (SELECT count(DISTINCT canonical_id) FROM m) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS reduction_rate, (SELECT string_agg(type || '=' || threshold, ',' ORDER BY type) FROM u) AS thresholds""")(
+    lambda s, d: kg.aggregate(_named(s, d), _with_props(s, d)).totals.withColumn("thresholds", F.array_join(F.transform("thresholds", lambda x: F.concat(x["type"], F.lit("="), x["threshold"].cast("string"))), ",")))
 add("resolve_kmeans")(lambda s, d: kg.choose_canonical(_vector_entities(s, d), kg.cluster_kmeans(_vector_entities(s, d))))
 _UPNODE = f"{_TR}, nodes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY ord DESC) AS rn FROM e) WHERE rn = 1)"
 add("graph_upsert_nodes", f"WITH {_UPNODE} SELECT type, id, name, ord FROM nodes")(lambda s, d: kg.upsert_nodes(inputs.entities(s, d)).select("type", "id", "name", "ord"))

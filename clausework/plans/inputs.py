@@ -21,21 +21,21 @@ SELECT contract_id, clause_index, label, category, confidence, text, value FROM
   SELECT c.*, row_number() OVER (PARTITION BY contract_id, label ORDER BY confidence DESC, clause_index) AS rn FROM ({CLASSIFIED}) c) x WHERE rn = 1"""
 CONTRACTS = "SELECT CAST(o_orderkey AS BIGINT) AS contract_id, CAST(o_custkey AS BIGINT) AS party_id, o_orderpriority AS contract_type FROM orders"
 ENTITIES = """
-SELECT id, name, type, contract_id, confidence, n_props, CAST(row_number() OVER (ORDER BY type, id, contract_id) AS INT) AS ord FROM (
+SELECT id, name, type, contract_id, confidence, n_props, ord FROM (
   SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS id, concat(CASE c_custkey % 4 WHEN 0 THEN 'the ' WHEN 1 THEN ' "' ELSE '' END, c_name, CASE c_custkey % 3 WHEN 0 THEN ' inc' WHEN 1 THEN ' llc' ELSE '' END, CASE c_custkey % 4 WHEN 1 THEN '"' ELSE '' END) AS name,
-    'Party' AS type, CAST(c_nationkey AS BIGINT) AS contract_id, CAST(0.9 AS DOUBLE) AS confidence, c_custkey % 3 AS n_props FROM customer
+    'Party' AS type, CAST(c_nationkey AS BIGINT) AS contract_id, CAST(0.9 AS DOUBLE) AS confidence, c_custkey % 3 AS n_props, 4 * CAST(c_custkey AS BIGINT) AS ord FROM customer
   UNION ALL
-  SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))), concat(s_name, CASE s_suppkey % 2 WHEN 0 THEN ' corp.' ELSE ' company' END), 'Party', CAST(s_nationkey AS BIGINT), CAST(0.7 AS DOUBLE), s_suppkey % 2 FROM supplier
+  SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))), concat(s_name, CASE s_suppkey % 2 WHEN 0 THEN ' corp.' ELSE ' company' END), 'Party', CAST(s_nationkey AS BIGINT), CAST(0.7 AS DOUBLE), s_suppkey % 2, 4 * CAST(s_suppkey AS BIGINT) + 1 FROM supplier
   UNION ALL
-  SELECT concat('n', CAST(n_nationkey AS VARCHAR(20))), n_name, 'Jurisdiction', CAST(n_nationkey AS BIGINT), CAST(0.95 AS DOUBLE), 0 FROM nation
+  SELECT concat('n', CAST(n_nationkey AS VARCHAR(20))), n_name, 'Jurisdiction', CAST(n_nationkey AS BIGINT), CAST(0.95 AS DOUBLE), 0, 4 * CAST(n_nationkey AS BIGINT) + 2 FROM nation
   UNION ALL
-  SELECT concat('d', CAST(r_regionkey AS VARCHAR(20))), concat('on ', CAST(r_regionkey + 1 AS VARCHAR(20)), '/7/2021'), 'Temporal', CAST(r_regionkey AS BIGINT), CAST(0.8 AS DOUBLE), 1 FROM region) e"""
+  SELECT concat('d', CAST(r_regionkey AS VARCHAR(20))), concat('on ', CAST(r_regionkey + 1 AS VARCHAR(20)), '/7/2021'), 'Temporal', CAST(r_regionkey AS BIGINT), CAST(0.8 AS DOUBLE), 1, 4 * CAST(r_regionkey AS BIGINT) + 3 FROM region) e"""
 TRIPLES = """
-SELECT subject, predicate, object, confidence, contract_id, k, CAST(row_number() OVER (ORDER BY contract_id, predicate, subject, object, k, confidence) AS INT) AS ord FROM (
+SELECT subject, predicate, object, confidence, contract_id, k, ord FROM (
   SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'must' WHEN 1 THEN 'has obligation' ELSE 'promises' END AS predicate, concat('p', CAST(o_orderkey % 50 AS VARCHAR(20))) AS object,
-    CAST(o_orderkey % 10 AS INT) / CAST(10 AS DOUBLE) AS confidence, CAST(o_orderkey % 7 AS BIGINT) AS contract_id, CAST(o_orderkey % 4 AS INT) AS k FROM orders
+    CAST(o_orderkey % 10 AS INT) / CAST(10 AS DOUBLE) AS confidence, CAST(o_orderkey % 7 AS BIGINT) AS contract_id, CAST(o_orderkey % 4 AS INT) AS k, 2 * CAST(o_orderkey AS BIGINT) AS ord FROM orders
   UNION ALL
-  SELECT concat('c', CAST(c_custkey AS VARCHAR(20))), 'governed-by', concat('n', CAST(c_nationkey AS VARCHAR(20))), CAST(0.8 AS DOUBLE), CAST(c_nationkey AS BIGINT), 0 FROM customer) t"""
+  SELECT concat('c', CAST(c_custkey AS VARCHAR(20))), 'governed-by', concat('n', CAST(c_nationkey AS VARCHAR(20))), CAST(0.8 AS DOUBLE), CAST(c_nationkey AS BIGINT), 0, 2 * CAST(c_custkey AS BIGINT) + 1 FROM customer) t"""
 NAMES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 
 

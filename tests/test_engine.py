@@ -155,8 +155,11 @@ def test_running_average_and_best(spark):
 def test_leaders_are_not_transitive():
     import numpy as np
 
+    from clausework.operators import similarity
+
     angle = np.radians([0, 30, 60])
-    assert kg.leader_groups(np.stack([np.cos(angle), np.sin(angle)], axis=1), 0.8).tolist() == [0, 0, 2]
+    side = similarity._Side(np.stack([np.cos(angle), np.sin(angle)], axis=1))
+    assert similarity._settle(side, np.ones(3, bool), 0.8)[1].tolist() == [0, 0, 2]
 
 
 def test_canonical(spark):
