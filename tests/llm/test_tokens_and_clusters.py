@@ -98,8 +98,8 @@ def aligned(texts):
     return out
 
 
-@pytest.mark.parametrize(("hot", "kept"), [(alignment.HOT, alignment.KEPT_SEGMENTS), (20, 50), (0, 50)])
-def test_alignment(docs, texts, hot, kept, monkeypatch):
+@pytest.mark.parametrize("hot", [alignment.HOT, 20, 0])
+def test_alignment(docs, texts, hot):
     want = aligned(texts)
     counts = Counter(x for w in want for x in w[3])
     most = defaultdict(int)
@@ -122,22 +122,32 @@ def test_alignment(docs, texts, hot, kept, monkeypatch):
 
 
 def test_few_kept_segments(texts):
-    """Passes whose memory of segments is cleared again and again give the same."""
+    """A memory that is cleared again and again, or not at all, gives the same groups."""
     known = alignment.Segments(A, B)
-    whole = [known.numbers([t])[0] for t in texts]
-    sums = [sum(np.array(known.columns["n_links"], np.int64)[n]) for n in whole]
-    for t, s in zip(texts, sums, strict=True):
-        known.clear()
-        numbers, ends = known.numbers([t])
-        assert np.array(known.columns["n_links"], np.int64)[numbers].sum() == s and ends[-1] == len(numbers)
+    shown = lambda g: None if g is None else b";".join(known.transducer.texts[x] for x in g)
+    whole = [shown(g) for g in known.groups(texts)]
+    for t, w in zip(texts, whole, strict=True):
+        known.kept.clear()
+        known.transducer.clear()
+        assert shown(known.groups([t])[0]) == w
 
 
 def test_transducer():
-    words = [b"", b"ab", b"c", b"abc", b"abcd", b"d", b"x"]
+    words = [b"", b"ab", b"c", b"abc", b"abcd", b"d", b"x", b"e"]
     t = alignment.Transducer(words, words)
-    assert t.walk([1, 2, 5], [4]) == ([([1, 2, 5], [4])], [(1, 4), (2, 4), (5, 4)])
-    assert t.walk([3, 5], [1, 2, 5]) == ([([3], [1, 2]), ([5], [5])], [(3, 1), (3, 2), (5, 5)])
-    assert t.walk([1], [6]) is None and t.walk([1], [1, 2]) is None and t.walk([4], [3]) is None and t.walk([], []) == ([], [])
+
+    def walked(a, b):
+        found = t.walk(a, b)
+        return None if found is None else ([t.texts[g].decode() for g in found], [(x & 0xFFFF, x >> 32) for g in found for x in t.links[g]])
+
+    for _ in range(2):
+        assert walked([1, 2, 5], [4]) == (["1,2,5|4"], [(1, 4), (2, 4), (5, 4)])
+        assert walked([3, 5], [1, 2, 5]) == (["3|1,2", "5|5"], [(3, 1), (3, 2), (5, 5)])
+        assert walked([1], [6]) is None and walked([1], [1, 2]) is None and walked([1, 2], [1]) is None and walked([4], [3]) is None and walked([], []) == ([], [])
+    n = 3 * alignment.DEEP  # abc|ab, then c of one side beside the other's next word, without end
+    long = alignment.Transducer([b"aa", b"a"], [b"aa", b"a"])
+    assert [long.texts[g] for g in long.walk([1] + [0] * n + [1], [0] * (n + 1))] == [b"1," + b"0," * n + b"1|" + b",".join([b"0"] * (n + 1))]
+    assert long.walk([1] + [0] * n, [0] * (n + 1)) is None
 
 
 def lloyd(vectors, k, rounds):
