@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import scores, text
+from clausework.operators.similarity import usable
 
 K1, B = 1.5, 0.75
 MOST_TERMS = 200_000  # query terms that are broadcast, so that other terms are left out before the postings are counted
-QUERY_BLOCK, ROW_BLOCK = 2048, 1024
+QUERY_BLOCK, ROW_BLOCK = 2048, 16384
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 16) -> DataFrame:
@@ -41,52 +40,52 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 16) -> DataFrame
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 32, skip_empty: bool = True) -> DataFrame:
-    """The k most similar vectors for each query; vectors without length are skipped (or score 0), a query without length finds none.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 32, skip_empty: bool = True, own: bool = False, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """query_id, id, score, rank of the k most similar vectors for each query; its own id only if ``own``.
 
-    Queries are dealt in blocks of about ``QUERY_BLOCK``, each of which is broadcast and meets all vectors where they lie; a task passes on its own
-    k best for each query.
+    Vectors without length are skipped (or score 0), a query without length finds none; null vectors and those with null or non-finite components take no
+    part. Only vectors of equal length are compared. Queries and vectors are dealt into blocks by hash; each block of queries
+    meets each block of vectors in a task, which passes on its k best for each query.
     """
-    spark = vectors.sparkSession
-    some = scores.norm(F.col("embedding")) > 0
-    v = vectors.where(some if skip_empty else F.col("embedding").isNotNull()).select(F.col("id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
-    q = queries.where(some).select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
-
-    def found(block: int) -> DataFrame:
-        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id").collect()
-        names = np.array([r.id for r in rows], np.int64)
-        asked = spark.sparkContext.broadcast((names, _normal(np.array([r.e for r in rows], np.float64))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ask, q_unit = asked.value
-            ids, score = np.zeros((len(ask), 0), np.int64), np.zeros((len(ask), 0))
-            for b in batches:
-                for low in range(0, b.num_rows if len(ask) else 0, ROW_BLOCK):
-                    part = b.slice(low, ROW_BLOCK)
-                    own = part.column(0).to_numpy(zero_copy_only=False)
-                    rows_unit = _normal(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
-                    new = np.round(q_unit @ rows_unit.T, 9)
-                    new[ask[:, None] == own] = -np.inf
-                    ids = np.concatenate([ids, np.broadcast_to(own, new.shape)], axis=1)
-                    score = np.concatenate([score, new], axis=1)
-                    best = np.lexsort((ids, -score), axis=1)[:, :k]
-                    ids, score = np.take_along_axis(ids, best, axis=1), np.take_along_axis(score, best, axis=1)
-            some = score > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ask, some.sum(axis=1))), pa.array(ids[some]), pa.array(score[some] + 0.0)], names=["query_id", "id", "score"])
-
-        return v.mapInArrow(run, "query_id long, id long, score double")
-
-    d = found(0)
-    for block in range(1, n_blocks):
-        d = d.unionAll(found(block))
+    e = F.col("embedding").cast("array<double>")
+    finite = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    n_q, n_v = (max(1, -(-d.count() // size)) for d, size in ((queries, query_block), (vectors, row_block)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.where(usable(e) if skip_empty else finite).select("id", e.alias("e"), F.size("embedding").alias("dim"), place("id", n_v).alias("j"), spread(n_q).alias("i"))
+    q = queries.where(usable(e)).select("query_id", e.alias("e"), F.size("embedding").alias("dim"), place("query_id", n_q).alias("i"), spread(n_v).alias("j"))
+    q = q.select(*[F.col(c).alias(c) for c in q.columns])
+
+    def one(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names, found, best = [], [], []
+        if asked.num_rows and rows.num_rows:
+            rows = rows.sort_by("id")
+            ids = rows.column("id").combine_chunks()
+            asks = asked.column("query_id").combine_chunks()
+            same = pa.chunked_array([asks.cast(ids.type), ids]).combine_chunks().dictionary_encode().indices.to_numpy() if asks.type.equals(ids.type) and not own else None
+            unit, wanted = (_normal(t.column("e").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (rows, asked))
+            for lo in range(0, len(wanted), 256):
+                score = np.round(wanted[lo : lo + 256] @ unit.T, 9) + 0.0
+                if same is not None:
+                    score[same[lo : lo + len(score), None] == same[None, len(wanted) :]] = -np.inf
+                kth = np.partition(score, max(0, len(unit) - k), axis=1)[:, max(0, len(unit) - k)]
+                for i, (s, least) in enumerate(zip(score, kth, strict=True)):
+                    near = np.flatnonzero((s >= least) & (s > -np.inf))
+                    near = near[np.argsort(-s[near], kind="stable")][:k]
+                    names.append(np.full(len(near), lo + i))
+                    found.append(near)
+                    best.append(s[near])
+        at = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64())
+        return pa.table({"query_id": asked.column("query_id").take(at(names)), "id": rows.column("id").take(at(found)), "score": pa.array(np.concatenate(best) if best else np.zeros(0), pa.float64())})
+
+    keys = ["dim", "i", "j"]
+    shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    d = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(one, shape)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
-    if not x.size:
-        return x
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm == 0, 1.0, norm)
 
@@ -124,3 +123,15 @@ def context(fused: DataFrame, texts: DataFrame) -> DataFrame:
     d = fused.join(texts.select("id", "text"), "id")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("- "), x["text"]))
     return d.groupBy("query_id").agg(F.array_join(lines, "\n").alias("context"))
+
+
+def grounded_context(entities: DataFrame, triples: DataFrame, texts: DataFrame) -> DataFrame:
+    """query_id and the found entities and relationships as one text, each part in order of rank and empty where nothing was found."""
+    parts = []
+    for name, found in (("e", entities), ("t", triples)):
+        said = found.join(texts.select("id", "text"), "id")
+        lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("\n  - "), x["text"]))
+        parts.append(said.groupBy("query_id").agg(F.array_join(lines, "").alias(name)))
+    d = parts[0].join(parts[1], "query_id", "full_outer")
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return d.select("query_id", F.concat(F.lit("Relevant Entities:"), said("e"), F.lit("\n\nRelevant Relationships:"), said("t")).alias("context"))

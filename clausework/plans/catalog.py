@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from clausework.operators import portfolio as pf
 from clausework.operators import providers as pv
 from clausework.operators import risk
 from clausework.operators import search as se
+from clausework.operators.text_index import TextIndex
 from clausework.plans import inputs
+from clausework.plans.lineage import cut, drop, ensure_folder
+from clausework.sources.keyed import GraphStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -304,23 +308,6 @@ add("retrieve_context", f"WITH {_CORPUS} SELECT query_id, string_agg('- ' || tex
 
 add("find_similar", f"WITH {_VQ} SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vs) WHERE rank <= 10 AND score >= 0.2")(
     lambda s, d: se.find_similar(*_vector_sides(s, d), k=10, threshold=0.2))
-_KIND = "CASE WHEN id % 3 = 0 THEN 'entity' ELSE 'triple' END"
-
-
-def _of_kind(kind: str) -> Query:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        ids = _t(s, d, "documents").select(F.col("doc_id").alias("id")).union(_t(s, d, "embeddings").select("vec_id")).distinct()
-        words = se.bm25(_t(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), None)
-        return se.search_kind(_vectors(s, d), words, ids.withColumn("kind", F.expr(_KIND)), kind)
-
-    return run
-
-
-for _kind, _name in (("entity", "search_entities"), ("triple", "search_triples")):
-    add(_name, f"""WITH {_CORPUS}, {_VQ}, sk AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vr WHERE {_KIND} = '{_kind}') WHERE rank <= 16),
-bk AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm WHERE score > 0 AND {_KIND} = '{_kind}') WHERE rank <= 16),
-{_FUSE.replace("FROM vr a FULL JOIN bmr b", "FROM sk a FULL JOIN bk b")} SELECT * FROM fused""")(_of_kind(_kind))
-
 # --- text
 
 add("clause_split", r"""WITH d AS (SELECT doc_id AS contract_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), p AS (SELECT contract_id, regexp_split_to_array(t, '\n\s*\n') AS parts FROM d),
@@ -484,6 +471,141 @@ add("duplicate_node_keys", f"WITH {_TR} SELECT type, id, count(*) AS n FROM e GR
 add("item_texts", f"""WITH {_TR} SELECT 'entity' AS kind, id AS key, name || ' (' || type || ')' AS text FROM e
 UNION ALL SELECT 'triple', CAST(ord AS VARCHAR), subject || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || object FROM t""")(lambda s, d: kg.item_texts(inputs.entities(s, d), inputs.triples(s, d)))
 
+# --- search over indexed items
+
+_ITEMS = f"""{_BY_NAME}, it AS MATERIALIZED (SELECT 'e:' || id AS id, 'entity' AS kind, name || ' (' || type || ')' AS text, v FROM e
+  UNION ALL SELECT 't:' || ord, 'triple', x, list_transform(range(64), lambda j: len(list_filter(b, lambda y: y = j))::DOUBLE) FROM (SELECT ord, x, {_GRAMS} AS b FROM (SELECT ord, subject || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || object AS x FROM t))),
+asked AS (SELECT ord AS query_id, name AS text, v FROM e WHERE ord % 50 = 0)"""
+
+
+def _bm_sql(items: str, kind: str | None = None) -> str:
+    """Scores of items for the asked texts, as bm and bmr."""
+    tokens = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"
+    own = f" AND kind = '{kind}'" if kind else ""
+    return f"""corpus AS (SELECT id, kind, {tokens} AS t FROM {items}), q AS (SELECT query_id, unnest(list_distinct({tokens})) AS term FROM asked),
+post AS (SELECT id, kind, dl, term, count(*) AS tf FROM (SELECT id, kind, len(t) AS dl, unnest(t) AS term FROM corpus) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM corpus), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT query_id, id, kind, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post JOIN df USING (term) JOIN q USING (term) CROSS JOIN size GROUP BY query_id, id, kind),
+bmr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm WHERE score > 0{own}) WHERE rank <= 16)"""
+
+
+def _fused_sql(kind: str, limit: int) -> str:
+    return f"""{_bm_sql("it", kind)}, vs AS (SELECT query_id, it.id, kind, round(list_dot_product(it.v, a.v) / (sqrt(list_dot_product(it.v, it.v)) * sqrt(list_dot_product(a.v, a.v))), 9) AS score FROM asked a CROSS JOIN it WHERE list_dot_product(it.v, it.v) > 0),
+v32 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 32),
+vr AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v32 WHERE kind = '{kind}') WHERE rank <= 16),
+{_FUSE.replace("rank <= 10", f"rank <= {limit}")}"""
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    """id, kind, text and embedding of entities and triples."""
+    said = kg.item_texts(inputs.entities(s, d), inputs.triples(s, d)).withColumn("id", F.concat(F.substring("kind", 1, 1), F.lit(":"), "key"))
+    of = F.when(F.col("kind") == "entity", F.regexp_replace("text", r"^(.*) \((\w+)\)$", "$2: $1")).otherwise(F.col("text"))
+    return said.select("id", "kind", "text", text.trigram_vector(of).alias("embedding"))
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return kg.with_name_vectors(inputs.entities(s, d).where("ord % 50 = 0")).select(F.col("ord").alias("query_id"), F.col("name").alias("text"), "embedding")
+
+
+def _with_index(s: SparkSession, use: Callable[[TextIndex], DataFrame]) -> DataFrame:
+    """What ``use`` finds in an index of its own, which goes when that is written."""
+    path = f"{ensure_folder(s)}/index-{uuid.uuid4().hex}"
+    try:
+        return cut(use(TextIndex(s, path, blocks=int(s.conf.get("spark.sql.shuffle.partitions")))))
+    finally:
+        drop(s, path)
+
+
+def _index_topk(s: SparkSession, d: str) -> DataFrame:
+    def use(index: TextIndex) -> DataFrame:
+        index.upsert(_items(s, d))
+        return index.search(_asked(s, d)).select("query_id", "id", "rank", "score")
+
+    return _with_index(s, use)
+
+
+add("index_topk", f"WITH {_ITEMS}, {_bm_sql('it')} SELECT query_id, id, rank, score FROM bmr")(_index_topk)
+_CHANGED = "(SELECT id, kind, CASE WHEN kind = 'entity' AND ascii(substring(id, 3, 1)) = 115 THEN text || ' holding inc' ELSE text END AS text FROM it WHERE id NOT LIKE 't:%7')"
+
+
+def _index_update(s: SparkSession, d: str) -> DataFrame:
+    def use(index: TextIndex) -> DataFrame:
+        items = _items(s, d)
+        index.upsert(items)
+        index.upsert(items.where("id LIKE 'e:s%'").withColumn("text", F.concat("text", F.lit(" holding inc"))))
+        index.delete(items.where("id LIKE 't:%7'"))
+        return index.search(_asked(s, d)).select("query_id", "id", "rank", "score")
+
+    return _with_index(s, use)
+
+
+add("index_update", f"WITH {_ITEMS}, {_bm_sql(_CHANGED)} SELECT query_id, id, rank, score FROM bmr")(_index_update)
+
+
+def _found(s: SparkSession, d: str, index: TextIndex, kind: str, limit: int) -> DataFrame:
+    items, asked = _items(s, d), _asked(s, d)
+    return se.search_kind(se.vector_topk(items, asked, own=True), index.search(asked, kind=kind), items.select("id", "kind"), kind, limit)
+
+
+def _search(kind: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        def use(index: TextIndex) -> DataFrame:
+            index.upsert(_items(s, d))
+            return _found(s, d, index, kind, 10)
+
+        return _with_index(s, use)
+
+    return run
+
+
+for _kind, _name in (("entity", "search_entities"), ("triple", "search_triples")):
+    add(_name, f"WITH {_ITEMS}, {_fused_sql(_kind, 10)} SELECT * FROM fused")(_search(_kind))
+
+
+def _context(s: SparkSession, d: str) -> DataFrame:
+    def use(index: TextIndex) -> DataFrame:
+        items = _items(s, d)
+        index.upsert(items)
+        return se.grounded_context(_found(s, d, index, "entity", 10), _found(s, d, index, "triple", 20), items)
+
+    return _with_index(s, use)
+
+
+_LINES = "SELECT query_id, string_agg(chr(10) || '  - ' || text, '' ORDER BY rank) AS said FROM fused JOIN it USING (id) GROUP BY query_id"
+add("search_context", f"""WITH {_ITEMS}, en AS (WITH {_fused_sql("entity", 10)} {_LINES}), tr AS (WITH {_fused_sql("triple", 20)} {_LINES})
+SELECT query_id, 'Relevant Entities:' || coalesce(en.said, '') || chr(10) || chr(10) || 'Relevant Relationships:' || coalesce(tr.said, '') AS context FROM en FULL JOIN tr USING (query_id)""")(_context)
+
+# --- the graph store
+
+
+def _stored(s: SparkSession, d: str, use: Callable[[GraphStore], DataFrame]) -> DataFrame:
+    """What ``use`` reads of a store that was written twice: all of it, then a later version of a part, and again after that."""
+    path = f"{ensure_folder(s)}/graph-{uuid.uuid4().hex}"
+    try:
+        store = GraphStore(s, path, int(s.conf.get("spark.sql.shuffle.partitions")))
+        entities, triples = inputs.entities(s, d), inputs.triples(s, d)
+        store.store(entities, triples)
+        for _ in range(2):
+            later = entities.where("ord % 3 = 0").withColumns({"name": F.upper("name"), "confidence": F.lit(0.5)})
+            store.store(later, triples.where("ord % 5 = 0").withColumn("confidence", F.lit(0.25)))
+        store.delete_contract(4)
+        return cut(use(store))
+    finally:
+        drop(s, path)
+
+
+_KEPT_NODES = f"{_UPNODE}, kept AS (SELECT type, id, CASE WHEN ord % 3 = 0 THEN upper(name) ELSE name END AS name, contract_id, CASE WHEN ord % 3 = 0 THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM nodes WHERE contract_id <> 4)"
+add("store_nodes", f"""WITH {_KEPT_NODES}, ends AS (SELECT subject AS name FROM t UNION SELECT object FROM t)
+SELECT type, id, name, contract_id, confidence FROM kept UNION ALL SELECT 'Entity', NULL, name, NULL, NULL FROM ends""")(
+    lambda s, d: _stored(s, d, lambda g: g.all_nodes().select("type", "id", "name", "contract_id", "confidence")))
+_KEPT_EDGES = f"""{_TR}, et AS (SELECT t.*, coalesce(m.edge_type, upper(replace(replace(lower(t.predicate), ' ', '_'), '-', '_'))) AS edge_type FROM t LEFT JOIN {D["dim_predicate"]} m ON m.predicate = replace(replace(lower(t.predicate), ' ', '_'), '-', '_')),
+writes AS (SELECT subject, edge_type, object, contract_id, confidence, 0 AS turn, ord FROM et UNION ALL SELECT subject, edge_type, object, contract_id, 0.25, 1, ord FROM et WHERE ord % 5 = 0),
+kept AS (SELECT subject, edge_type, object, contract_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY subject, edge_type, object ORDER BY turn DESC, ord DESC) AS rn FROM writes) WHERE rn = 1 AND contract_id <> 4)"""
+add("store_edges", f"WITH {_KEPT_EDGES} SELECT * FROM kept")(lambda s, d: _stored(s, d, lambda g: g.edges.read().select("subject", "edge_type", "object", "contract_id", "confidence")))
+add("store_contract", f"WITH {_KEPT_EDGES} SELECT subject AS source, object AS target, edge_type AS type, confidence FROM kept WHERE contract_id = 3")(
+    lambda s, d: _stored(s, d, lambda g: g.contract_graph(3)[1].select("source", "target", "type", "confidence")))
+add("store_contract_nodes", f"WITH {_KEPT_NODES} SELECT type, id, name FROM kept WHERE contract_id = 3")(lambda s, d: _stored(s, d, lambda g: g.contract_graph(3)[0].select("type", "id", "name")))
+
 # --- composed reports
 
 _VALUES = f"SELECT contract_id, label, clause_index AS ord, CASE WHEN clause_index % 3 = 0 THEN NULL ELSE concat('f', CAST(clause_index % 2 AS VARCHAR(20))) END AS field, value FROM ({inputs.CLASSIFIED}) c"
