@@ -44,3 +44,19 @@ def boost(conf: Column, n_subject: Column, n_object: Column, n_contracts: Column
     base = F.coalesce(F.nullif(conf, F.lit(0.0)), F.lit(dims.DEFAULT_CONFIDENCE))
     raised = F.least(F.lit(1.0), base + F.try_divide(n_subject + n_object, F.lit(2.0) * n_contracts) * 0.2)
     return F.when(n_contracts <= 1, base).otherwise(raised)
+
+
+def round_half_even(x: Column, digits: int = 1) -> Column:
+    """A double rounded by its exact binary value, halves to the even digit, as Python's round does; 12.25 gives 12.2, and 12.35, which is a little less, 12.3.
+
+    The value is split into two parts of half its bits, whose multiples are exact, so its distance from the half between two results has a true sign.
+    Where doubles lie farther apart than results, a value is its own result.
+    """
+    scale = 10.0**digits
+    a = F.abs(x)
+    head = a * 134217729.0 - (a * 134217729.0 - a)
+    low = F.floor(a * scale).cast("double")
+    beyond = (head * (2 * scale) - (low * 2 + 1)) + (a - head) * (2 * scale)
+    up = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(F.pmod(low, F.lit(2.0)))
+    out = (low + up) / scale
+    return F.when(F.isnan(x) | (a * scale >= 2.0**52), x).when(x < 0, -out).otherwise(out)

@@ -6,12 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.functions import dims
+from clausework.functions.scores import round_half_even
 
 
 def overview(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("contracts"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))
 
 
+def rounded_overview(scores_df: DataFrame) -> DataFrame:
+    """Contracts and their mean score, to one digit."""
+    return overview(scores_df).withColumn("avg_score", round_half_even(F.col("avg_score")))
+
+
+def affected_contracts(lacking: DataFrame, recommended: DataFrame) -> DataFrame:
+    """label and contract_id of every contract that a recommendation touches; recommendations are a few rows."""
+    return lacking.join(F.broadcast(recommended.select("label")), "label", "left_semi").select("label", "contract_id")
+
+
+class UnknownContractError(LookupError):
+    """A contract that was asked for is not in the portfolio."""
+
+
+def require(contracts: DataFrame, *ids: object) -> None:
+    """Raise unless all of these contracts are there."""
+    known = {r.contract_id for r in contracts.where(F.col("contract_id").isin(list(ids))).select("contract_id").distinct().collect()}  # no more than asked for
+    lacking = [i for i in ids if i not in known]
+    if lacking:
+        raise UnknownContractError(f"no contract {', '.join(map(str, lacking))}")
+
+
 def levels(scores: DataFrame) -> DataFrame:
     return scores.groupBy("level").agg(F.count("*").alias("n"))
 

@@ -12,8 +12,10 @@ from clausework.functions import dims, scores, text
 from clausework.operators import classify as cl
 from clausework.operators import dependency as dep
 from clausework.operators import knowledge as kg
+from clausework.operators import label_sets as ls
 from clausework.operators import portfolio as pf
 from clausework.operators import providers as pv
+from clausework.operators import reports as rp
 from clausework.operators import risk
 from clausework.operators import search as se
 from clausework.operators.text_index import TextIndex
@@ -105,6 +107,11 @@ add("label_patterns", f"SELECT label, count(*) AS n, string_agg(pattern, '|' ORD
 # --- portfolio
 
 add("portfolio_overview", f"WITH {_SCORE} SELECT count(*) AS contracts, avg(score) AS avg_score FROM scores")(lambda s, d: pf.overview(_scores(s, d)))
+add("portfolio_rounded", f"WITH {_SCORE} SELECT count(*) AS contracts, CAST(format('{{:.1f}}', avg(score)) AS DOUBLE) AS avg_score FROM scores")(lambda s, d: pf.rounded_overview(_scores(s, d)))
+_HALVES = "SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 4001 / 40.0::DOUBLE - 25 AS x FROM lineitem"
+add("rounded_values", f"SELECT l_orderkey, l_linenumber, CAST(format('{{:.1f}}', x) AS DOUBLE) + 0 AS x, CAST(format('{{:.2f}}', x) AS DOUBLE) + 0 AS y FROM ({_HALVES})")(
+    lambda s, d: _t(s, d, "lineitem").withColumn("v", (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 4001 / F.lit(40.0) - 25)
+    .select("l_orderkey", "l_linenumber", *[(scores.round_half_even(F.col("v"), n) + 0.0).alias(c) for c, n in (("x", 1), ("y", 2))]))
 add("portfolio_risk_levels", f"WITH {_SCORE} SELECT level, count(*) AS n FROM scores GROUP BY level")(lambda s, d: pf.levels(_scores(s, d)))
 add("portfolio_top_labels", f"WITH {_W} SELECT label, count(*) AS n FROM clauses GROUP BY label ORDER BY n DESC, label LIMIT 10")(lambda s, d: pf.top_labels(inputs.clauses(s, d)))
 add("portfolio_top_gaps", f"WITH {_FOUND} SELECT label, count(*) AS n FROM found WHERE kind = 'missing' GROUP BY label ORDER BY n DESC, label LIMIT 10")(
@@ -130,6 +137,8 @@ add("gap_recommendations", f"""WITH {_GAPS} SELECT f.label, missing, missing_pct
   CASE WHEN m.label IS NOT NULL THEN 'Add a clause on ' || f.label ELSE 'Add ' || f.label || ' clause' END AS advice
 FROM (SELECT * FROM freq ORDER BY missing DESC, label LIMIT 5) f LEFT JOIN {D["dim_missing_rule"]} m ON f.label = m.label WHERE missing_pct >= 50""")(
     lambda s, d: pf.gap_recommendations(pf.gap_frequency(_gaps(s, d), inputs.contracts(s, d))))
+add("gap_affected", f"""WITH {_GAPS} SELECT label, contract_id FROM lacking WHERE label IN (SELECT label FROM (SELECT * FROM freq ORDER BY missing DESC, label LIMIT 5) WHERE missing_pct >= 50)""")(
+    lambda s, d: pf.affected_contracts(_gaps(s, d), pf.gap_recommendations(pf.gap_frequency(_gaps(s, d), inputs.contracts(s, d)))))
 _COLS = ", ".join(f"count(*) FILTER (l.label = '{p}') = 0 AS {p.lower().replace(' ', '_').replace('-', '_')}" for p in dims.STANDARD_PROTECTIONS)
 add("gap_matrix", f"WITH {_GAPS} SELECT k.contract_id, {_COLS} FROM contracts k LEFT JOIN lacking l ON k.contract_id = l.contract_id GROUP BY k.contract_id")(
     lambda s, d: pf.gap_matrix(_gaps(s, d), inputs.contracts(s, d)))
@@ -188,10 +197,31 @@ r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY n DESC, cla
     lambda s, d: dep.max_impact(_graph(s, d), inputs.clauses(s, d)))
 add("dep_components", f"""WITH RECURSIVE {_EDGES}, ring AS (SELECT contract_id, u, v FROM graph UNION SELECT contract_id, v, u FROM graph),
 w AS (SELECT contract_id, label, label AS other FROM clauses UNION SELECT w.contract_id, w.label, b.v FROM w JOIN ring b ON b.contract_id = w.contract_id AND b.u = w.other)
-SELECT contract_id, label, min(other) AS component FROM w GROUP BY contract_id, label""")(lambda s, d: dep.components(_graph(s, d), inputs.clauses(s, d)))
+SELECT contract_id, label, min(other) AS component FROM w GROUP BY contract_id, label""")(lambda s, d: ls.components(inputs.clauses(s, d)))
 add("dep_cycles", f"WITH RECURSIVE {_CYCLES} SELECT * FROM cycles")(lambda s, d: dep.cycles(_graph(s, d)))
-add("dep_toposort")(lambda s, d: dep.topological_order(_graph(s, d), inputs.clauses(s, d)))
-add("dep_betweenness")(lambda s, d: dep.betweenness(_graph(s, d), inputs.clauses(s, d)))
+_ORDER = f"""{_EDGES}, lists AS (SELECT contract_id, list(label ORDER BY clause_index) AS left_over FROM clauses GROUP BY contract_id),
+ways_on AS (SELECT contract_id, list({{'s': strength, 'u': u, 'v': v}} ORDER BY ord) AS live FROM graph WHERE dependency_type <> 'CONFLICTS_WITH' GROUP BY contract_id),
+walk AS (SELECT contract_id, left_over, coalesce(live, []) AS live, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS path FROM lists LEFT JOIN ways_on USING (contract_id)
+  UNION ALL SELECT contract_id,
+    CASE WHEN free IS NULL THEN left_over ELSE list_filter(left_over, lambda x: x <> free) END,
+    CASE WHEN free IS NULL AND list_contains(path, before) THEN list_filter(live, lambda e: e <> list_sort(list_filter(live, lambda y: list_contains(ring, y.u || '>' || y.v)))[1]) ELSE live END,
+    CASE WHEN free IS NULL THEN done ELSE list_append(done, free) END,
+    CASE WHEN free IS NOT NULL OR list_contains(path, before) THEN [] ELSE list_append(path, before) END
+  FROM (SELECT *, list_transform(range(1, len(loop_)), lambda i: loop_[i + 1] || '>' || loop_[i]) AS ring FROM (
+    SELECT *, list_append(path[list_position(path, before):], before) AS loop_ FROM (
+      SELECT contract_id, left_over, live, done, CASE WHEN len(path) = 0 THEN [left_over[1]] ELSE path END AS path,
+        list_filter(left_over, lambda x: len(list_filter(live, lambda e: e.v = x AND list_contains(left_over, e.u))) = 0)[1] AS free,
+        list_filter(live, lambda e: e.v = (CASE WHEN len(path) = 0 THEN left_over[1] ELSE path[-1] END) AND list_contains(left_over, e.u))[1].u AS before
+      FROM walk WHERE len(left_over) > 0))))"""
+add("dep_toposort", f"WITH RECURSIVE {_ORDER} SELECT contract_id, unnest(done) AS label, unnest(range(len(done))) AS position FROM walk WHERE len(left_over) = 0")(lambda s, d: ls.topological_order(inputs.clauses(s, d)))
+_BETWEEN = f"""{_EDGES}, far AS (SELECT contract_id, label AS s, label AS v, 0 AS d FROM clauses UNION SELECT f.contract_id, f.s, g.v, f.d + 1 FROM far f JOIN graph g ON g.contract_id = f.contract_id AND g.u = f.v WHERE f.d < 39),
+near AS (SELECT contract_id, s, v, min(d) AS d FROM far GROUP BY ALL),
+route AS (SELECT contract_id, label AS s, label AS v, 0 AS d FROM clauses UNION ALL SELECT r.contract_id, r.s, g.v, r.d + 1 FROM route r JOIN graph g ON g.contract_id = r.contract_id AND g.u = r.v JOIN near n ON n.contract_id = r.contract_id AND n.s = r.s AND n.v = g.v AND n.d = r.d + 1),
+ways_to AS (SELECT contract_id, s, v, d, count(*) AS n FROM route GROUP BY ALL), size AS (SELECT contract_id, count(*) AS n FROM clauses GROUP BY contract_id),
+through AS (SELECT a.contract_id, a.v AS label, sum(CAST(a.n * b.n AS DOUBLE) / c.n) AS x FROM ways_to a JOIN ways_to b ON b.contract_id = a.contract_id AND b.s = a.v AND a.s <> a.v AND b.v <> a.v AND b.v <> a.s
+  JOIN ways_to c ON c.contract_id = a.contract_id AND c.s = a.s AND c.v = b.v AND c.d = a.d + b.d GROUP BY a.contract_id, a.v)"""
+add("dep_betweenness", f"WITH RECURSIVE {_BETWEEN} SELECT k.contract_id, k.label, round(CASE WHEN z.n > 2 THEN coalesce(x, 0) / ((z.n - 1) * (z.n - 2)) ELSE 0 END, 9) AS betweenness FROM clauses k JOIN size z USING (contract_id) LEFT JOIN through t ON t.contract_id = k.contract_id AND t.label = k.label")(
+    lambda s, d: ls.betweenness(inputs.clauses(s, d)).withColumn("betweenness", F.round("betweenness", 9)))
 
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -260,7 +290,12 @@ add("per_category_accuracy", f"WITH {_VEC} SELECT label, count(*) AS n, round(av
 add("classifier_ece", f"""WITH {_VEC}, b AS (SELECT CASE WHEN confidence >= 0 AND confidence < 1 THEN floor(confidence * 10) END AS bin, confidence, CASE WHEN candidate = label THEN 1 ELSE 0 END AS hit FROM pred),
 e AS (SELECT bin, count(*) AS n, avg(confidence) AS c, avg(hit) AS a FROM b GROUP BY bin) SELECT round(coalesce(sum(n * abs(a - c)) FILTER (bin IS NOT NULL), 0) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM e""")(
     lambda s, d: cl.calibration_error(_top1(s, d), F.col("label") == F.col("candidate"), F.col("confidence")).select(F.round("ece", 6).alias("ece"), "n"))
-add("platt_fit")(lambda s, d: cl.fit_platt(_top1(s, d).withColumn("correct", F.col("label") == F.col("candidate")), "cosine", "correct"))
+_NEWTON = f"""{_VEC}, xy AS (SELECT cosine AS s, CASE WHEN candidate = label THEN 1.0 ELSE 0.0 END AS y FROM pred), n0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b),
+""" + ",\n".join(f"""n{i + 1} AS MATERIALIZED (SELECT a + (h0 * g1 - h1 * g0) / (h2 * h0 - h1 * h1) AS a, b + (h2 * g0 - h1 * g1) / (h2 * h0 - h1 * h1) AS b FROM (
+  SELECT any_value(a) AS a, any_value(b) AS b, sum((p - y) * s) AS g1, sum(p - y) AS g0, sum(p * (1 - p) * s * s) AS h2, sum(p * (1 - p) * s) AS h1, sum(p * (1 - p)) AS h0 FROM (
+    SELECT s, y, a, b, 1 / (1 + exp(a * s + b)) AS p FROM xy CROSS JOIN n{i})))""" for i in range(12))
+add("platt_fit", f"WITH {_NEWTON} SELECT round(a, 6) AS a, round(b, 6) AS b FROM n12")(
+    lambda s, d: cl.fit_platt(_top1(s, d).withColumn("correct", F.col("label") == F.col("candidate")), "cosine", "correct").select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b")))
 _U = "('0x' || substring(md5(contract_id || ':42'), 1, 8))::BIGINT::DOUBLE / 4294967296"
 add("split_assignment", f"WITH k AS (SELECT DISTINCT contract_id FROM ({inputs.CONTRACTS})) SELECT contract_id, CASE WHEN {_U} < 0.7 THEN 'train' WHEN {_U} < 0.85 THEN 'validation' ELSE 'test' END AS split FROM k")(
     lambda s, d: cl.splits(inputs.contracts(s, d)))
@@ -471,6 +506,44 @@ add("duplicate_node_keys", f"WITH {_TR} SELECT type, id, count(*) AS n FROM e GR
 add("item_texts", f"""WITH {_TR} SELECT 'entity' AS kind, id AS key, name || ' (' || type || ')' AS text FROM e
 UNION ALL SELECT 'triple', CAST(ord AS VARCHAR), subject || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || object FROM t""")(lambda s, d: kg.item_texts(inputs.entities(s, d), inputs.triples(s, d)))
 
+# --- nested reports
+
+_LISTS = f"""{_CYCLES}, {_DEGREE.split(_EDGES + ",", 1)[1]}, {_SQL["dep_recommendations"].split("_never_", 1)[0].split("med AS", 1)[1].join(["med AS", ""]).split("SELECT contract_id, 1 AS part", 1)[0].rstrip().rstrip(",")},
+advice AS (SELECT contract_id, 1 AS part{_SQL["dep_recommendations"].split("SELECT contract_id, 1 AS part", 1)[1]}),
+{_REACH.split(_EDGES + ",", 1)[1].replace("walk AS", "step AS").replace("FROM walk", "FROM step")},
+ranking AS (SELECT contract_id, start AS label, max(depth) AS max_depth, count(*) AS total_affected FROM reach GROUP BY ALL),
+amplifier AS ({_SQL["dep_amplifiers"].split(_CYCLES, 1)[1]}),
+{_ADJUST.split(_CYCLES + ",", 1)[1]}, {_SCORE.split(_W + ",", 1)[1]},
+told AS (SELECT f.*, (CASE kind WHEN 'missing' THEN 'MISSING: no clause on ' ELSE 'Clause on ' END) || label || ', rated ' || severity AS reason, (CASE kind WHEN 'missing' THEN 'Add a clause on ' ELSE 'Review the clause on ' END) || label AS recommendation, weight FROM found f LEFT JOIN {D["dim_severity"]} w USING (severity)),
+l_edges AS (SELECT contract_id, list({{'bidirectional': bidirectional, 'dependency_type': dependency_type, 'source_label': source, 'strength': strength, 'target_label': target}} ORDER BY rule_ord) AS edges FROM edges GROUP BY contract_id),
+l_conflicts AS (SELECT contract_id, list({{'clause_a': clause_a, 'clause_b': clause_b, 'strength': strength}} ORDER BY clause_a, clause_b) AS contradictions FROM conflicts GROUP BY contract_id),
+l_missing AS (SELECT contract_id, list({{'missing_label': missing_label, 'required_by': required_by, 'severity': severity}} ORDER BY required_by, missing_label) AS missing_requirements FROM missing GROUP BY contract_id),
+l_cycles AS (SELECT contract_id, list({{'cycle': cycle, 'length': length}} ORDER BY cycle) AS cycles FROM cycles GROUP BY contract_id),
+l_ranks AS (SELECT contract_id, list({{'label': label, 'max_depth': max_depth, 'total_affected': total_affected}} ORDER BY total_affected DESC, label) AS impact_rankings FROM ranking GROUP BY contract_id),
+l_amp AS (SELECT contract_id, list({{'amplifier': amplifier, 'n': n}} ORDER BY amplifier) AS risk_amplifiers FROM amplifier GROUP BY contract_id),
+l_advice AS (SELECT contract_id, list({{'advice': advice, 'part': part}} ORDER BY part, advice) AS recommendations FROM advice GROUP BY contract_id),
+l_central AS (SELECT contract_id, list({{'centrality': x, 'label': label}} ORDER BY label) AS centrality_scores FROM cen GROUP BY contract_id),
+l_clauses AS (SELECT contract_id, list({{'category': category, 'confidence': confidence, 'label': label, 'text_preview': substring(text, 1, 200)}} ORDER BY confidence DESC, label) AS clauses, count(*) AS n FROM clauses GROUP BY contract_id),
+l_cat AS (SELECT contract_id, list({{'category': category, 'labels': labels, 'n': n}} ORDER BY category) AS by_category FROM (
+  SELECT contract_id, category, list({{'confidence': confidence, 'label': label}} ORDER BY confidence DESC, label) AS labels, count(*) AS n FROM clauses GROUP BY contract_id, category) GROUP BY contract_id),
+l_found AS (SELECT contract_id, list({{'confidence': CAST(confidence AS DOUBLE), 'kind': kind, 'label': label, 'reason': reason, 'recommendation': recommendation, 'severity': severity}} ORDER BY weight DESC, kind, label) AS findings FROM told GROUP BY contract_id),
+raised AS (SELECT contract_id, CAST(least(100, score + coalesce(adjustment, 0)) AS INTEGER) AS score, coalesce(adjustment, 0) AS adjustment FROM scores LEFT JOIN adjustment USING (contract_id))"""
+_INTER = "{'centrality_scores': coalesce(centrality_scores, []), 'contradictions': coalesce(contradictions, []), 'cycles': coalesce(cycles, []), 'edges': coalesce(edges, []), 'impact_rankings': coalesce(impact_rankings, []), 'missing_requirements': coalesce(missing_requirements, []), 'recommendations': coalesce(recommendations, []), 'risk_amplifiers': coalesce(risk_amplifiers, []), 'risk_score_adjustment': adjustment}"
+_DOCUMENT = f"""{{'clauses': coalesce(clauses, []), 'contract_id': k.contract_id, 'interdependency': CASE WHEN clauses IS NULL THEN NULL ELSE {_INTER} END,
+  'risk': {{'findings': coalesce(findings, []), 'level': CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END, 'score': score}},
+  'summary': {{'by_category': coalesce(by_category, []), 'key_findings': list_transform(findings[:20], lambda x: {{'label': x.label, 'severity': x.severity}}), 'labels_found': coalesce(l_clauses.n, 0)}}}}"""
+_OF_ALL = " ".join(f"LEFT JOIN {t} USING (contract_id)" for t in ("l_clauses", "l_cat", "l_found", "raised", "l_edges", "l_conflicts", "l_missing", "l_cycles", "l_ranks", "l_amp", "l_advice", "l_central"))
+
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return rp.documents(inputs.clauses(s, d), inputs.contracts(s, d))
+
+
+add("analysis_documents", f"WITH RECURSIVE {_LISTS} SELECT k.contract_id, CAST(to_json({_DOCUMENT}) AS VARCHAR) AS json FROM contracts k {_OF_ALL}")(lambda s, d: rp.as_json(_documents(s, d)))
+add("analysis_paths", f"""WITH RECURSIVE {_LISTS} SELECT k.contract_id, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(adjustment AS VARCHAR) AS adjustment,
+  edges[1].target_label AS first_target, findings[1].label AS worst, by_category[1].labels[1].label AS first_label FROM contracts k {_OF_ALL}""")(
+    lambda s, d: rp.paths(_documents(s, d), level="$.risk.level", adjustment="$.interdependency.risk_score_adjustment", first_target="$.interdependency.edges[0].target_label", worst="$.risk.findings[0].label", first_label="$.summary.by_category[0].labels[0].label"))
+
 # --- search over indexed items
 
 _ITEMS = f"""{_BY_NAME}, it AS MATERIALIZED (SELECT 'e:' || id AS id, 'entity' AS kind, name || ' (' || type || ')' AS text, v FROM e
@@ -542,7 +615,7 @@ def _index_update(s: SparkSession, d: str) -> DataFrame:
 add("index_update", f"WITH {_ITEMS}, {_bm_sql(_CHANGED)} SELECT query_id, id, rank, score FROM bmr")(_index_update)
 
 
-def _found(s: SparkSession, d: str, index: TextIndex, kind: str, limit: int) -> DataFrame:
+def _found_items(s: SparkSession, d: str, index: TextIndex, kind: str, limit: int) -> DataFrame:
     items, asked = _items(s, d), _asked(s, d)
     return se.search_kind(se.vector_topk(items, asked, own=True), index.search(asked, kind=kind), items.select("id", "kind"), kind, limit)
 
@@ -551,7 +624,7 @@ def _search(kind: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         def use(index: TextIndex) -> DataFrame:
             index.upsert(_items(s, d))
-            return _found(s, d, index, kind, 10)
+            return _found_items(s, d, index, kind, 10)
 
         return _with_index(s, use)
 
@@ -566,7 +639,7 @@ def _context(s: SparkSession, d: str) -> DataFrame:
     def use(index: TextIndex) -> DataFrame:
         items = _items(s, d)
         index.upsert(items)
-        return se.grounded_context(_found(s, d, index, "entity", 10), _found(s, d, index, "triple", 20), items)
+        return se.grounded_context(_found_items(s, d, index, "entity", 10), _found_items(s, d, index, "triple", 20), items)
 
     return _with_index(s, use)
 
