@@ -173,18 +173,27 @@ DEPENDENCY_RULES: list[tuple[str, str, str, float, bool, bool]] = [
 SEVERITY_WEIGHTS = {"CRITICAL": 25, "HIGH": 15, "MEDIUM": 8, "LOW": 3, "INFO": 0}
 MISSING_FACTOR = 0.75
 SCORE_CAP = 150
+# fixed values: least scores of the levels
 RISK_BANDS = [(75, "CRITICAL"), (50, "HIGH"), (25, "MEDIUM"), (0, "LOW")]
+# fixed values: labels whose severity hangs on wording
 LIABILITY_LABELS = ["Uncapped Liability", "Cap On Liability", "Liquidated Damages"]
+# fixed values: words that bind both sides
 MUTUAL_WORDING = [r"\beither\s+party\b", r"\bneither\s+party\b", r"\bboth\s+parties\b", r"\beach\s+party\b", r"\bno\s+party\b", r"\bthe\s+parties\b", r"\bmutual(?:ly)?\b"]
+# fixed values: types of entities
 NODE_TYPES = ["Party", "IPAsset", "Obligation", "Restriction", "LiabilityProvision", "Temporal", "Jurisdiction", "ContractClause", "Contract"]
+# fixed values: types of relationships
 EDGE_TYPES = ["LICENSES_TO", "OWNS", "ASSIGNS", "HAS_OBLIGATION", "SUBJECT_TO_RESTRICTION", "HAS_LIABILITY", "GOVERNED_BY", "CONTAINS_CLAUSE", "EFFECTIVE_ON", "TERMINATES_ON"]
+# fixed values: similarity by type
 AGGREGATION_THRESHOLDS = {"Party": 0.85, "Obligation": 0.78, "Restriction": 0.78, "IPAsset": 0.82, "Temporal": 0.90, "Jurisdiction": 0.90, "LiabilityProvision": 0.80, "ContractClause": 0.75}
 DEFAULT_AGGREGATION_THRESHOLD = 0.80
 RESOLUTION_THRESHOLD = 0.80
+# fixed values: the calibration's parameters
 PLATT_A, PLATT_B = -6.0540, 2.2416
+# fixed values: confidences in words
 CONFIDENCE_WORDS = {"LOW": 0.4, "MEDIUM": 0.7, "HIGH": 0.9}
 DEFAULT_CONFIDENCE = 0.7
 RRF_K = 60
+# fixed values: predicates by their relationship
 PREDICATE_EDGE_TYPES = {
     "licenses_to": "LICENSES_TO", "license": "LICENSES_TO", "licenses": "LICENSES_TO", "owns": "OWNS", "own": "OWNS", "assigns": "ASSIGNS", "assign": "ASSIGNS",
     "has_obligation": "HAS_OBLIGATION", "obligation": "HAS_OBLIGATION", "must": "HAS_OBLIGATION", "shall": "HAS_OBLIGATION",
@@ -193,12 +202,15 @@ PREDICATE_EDGE_TYPES = {
     "contains_clause": "CONTAINS_CLAUSE", "contains": "CONTAINS_CLAUSE", "effective_on": "EFFECTIVE_ON", "effective": "EFFECTIVE_ON",
     "terminates_on": "TERMINATES_ON", "expires": "TERMINATES_ON", "expiration": "TERMINATES_ON",
 }
+# fixed values: other names of types
 ENTITY_TYPE_ALIASES = {
     "party": "Party", "ipasset": "IPAsset", "ip_asset": "IPAsset", "obligation": "Obligation", "restriction": "Restriction", "liabilityprovision": "LiabilityProvision",
     "liability_provision": "LiabilityProvision", "liability": "LiabilityProvision", "temporal": "Temporal", "date": "Temporal", "jurisdiction": "Jurisdiction",
     "contractclause": "ContractClause", "contract_clause": "ContractClause", "clause": "ContractClause", "contract": "Contract",
 }
+# fixed values: company forms, the first that fits
 PARTY_SUFFIXES = [(" inc.", " Inc."), (" inc", " Inc."), (" llc", " LLC"), (" ltd", " Ltd."), (" ltd.", " Ltd."), (" corp.", " Corp."), (" corp", " Corp."), (" corporation", " Corporation"), (" company", " Company")]
+# fixed values: phrases of questions, the first that fits
 QUESTION_CATEGORIES = [
     ("document name", "Document Name"), ("parties", "Parties"), ("agreement date", "Agreement Date"), ("effective date", "Effective Date"), ("expiration date", "Expiration Date"),
     ("renewal term", "Renewal Term"), ("notice period to terminate renewal", "Notice Period To Terminate Renewal"), ("governing law", "Governing Law"), ("most favored nation", "Most Favored Nation"),
@@ -212,7 +224,42 @@ QUESTION_CATEGORIES = [
     ("liquidated damages", "Liquidated Damages"), ("warranty duration", "Warranty Duration"), ("insurance", "Insurance"), ("covenant not to sue", "Covenant Not To Sue"),
     ("third party beneficiary", "Third Party Beneficiary"), ("competitive restriction exception", "Competitive Restriction Exception"),
 ]
-COMPARE_ASPECTS = ["licensing", "obligations", "restrictions", "liability", "all"]
+# fixed values: what is asked of a clause of each label
+EXTRACTION_TASKS = {
+    "Parties": "Extract: party names, roles (licensor/licensee/vendor/customer), entity types (corporation/LLC/individual)",
+    "Agreement Date": "Extract: the specific date the agreement was signed or executed",
+    "Effective Date": "Extract: the specific date the contract becomes effective",
+    "Expiration Date": "Extract: the specific expiration/end date or term length",
+    "Renewal Term": "Extract: renewal period length, automatic vs manual renewal, number of renewals allowed",
+    "Notice Period To Terminate Renewal": "Extract: number of days notice required, who must give notice",
+    "Governing Law": "Extract: state/country governing the contract, jurisdiction for disputes",
+    "License Grant": "Extract: type (exclusive/non-exclusive), scope, permitted uses, restrictions",
+    "Irrevocable Or Perpetual License": "Extract: whether license is perpetual/irrevocable, any conditions",
+    "Anti-Assignment": "Extract: assignment restrictions, consent requirements, exceptions",
+    "Non-Compete": "Extract: duration, geographic scope, restricted activities",
+    "Non-Disparagement": "Extract: scope of restriction, duration, consequences",
+    "No-Solicit Of Employees": "Extract: duration, which employees covered, exceptions",
+    "No-Solicit Of Customers": "Extract: duration, which customers covered, exceptions",
+    "Exclusivity": "Extract: exclusive rights granted, scope, duration, territory",
+    "Change Of Control": "Extract: what triggers change of control, consequences, notification requirements",
+    "Cap On Liability": "Extract: liability cap amount/formula, what's covered, exceptions to cap",
+    "Uncapped Liability": "Extract: what liabilities are uncapped, conditions",
+    "Liquidated Damages": "Extract: damage amounts, triggering events, calculation method",
+    "Revenue/Profit Sharing": "Extract: percentage splits, calculation method, payment timing",
+    "Minimum Commitment": "Extract: minimum amounts, time periods, consequences of not meeting",
+    "Audit Rights": "Extract: who can audit, frequency, notice required, scope",
+    "Insurance": "Extract: coverage types required, minimum amounts, certificate requirements",
+    "Warranty Duration": "Extract: warranty period length, what's covered, remedies",
+    "Post-Termination Services": "Extract: services required, duration, pricing",
+    "Termination For Convenience": "Extract: notice period, any penalties, conditions",
+    "IP Ownership Assignment": "Extract: what IP is assigned, to whom, when assignment occurs",
+    "Joint IP Ownership": "Extract: how joint ownership works, usage rights, commercialization",
+    "Source Code Escrow": "Extract: escrow agent, release conditions, update requirements",
+    "Third Party Beneficiary": "Extract: who the beneficiaries are, what rights they have",
+    "Most Favored Nation": "Extract: what terms are covered, comparison mechanism",
+    "Rofr/Rofo/Rofn": "Extract: type of right, what it applies to, exercise period",
+}
+# fixed values: what a portfolio is expected to have
 STANDARD_PROTECTIONS = [
     "Cap On Liability", "Governing Law", "Termination For Convenience", "Notice Period To Terminate Renewal", "Warranty Duration",
     "Post-Termination Services", "Source Code Escrow", "Insurance", "Anti-Assignment", "Change Of Control",
@@ -247,6 +294,7 @@ DIMENSIONS: dict[str, str] = {
     "dim_entity_type": values(list(ENTITY_TYPE_ALIASES.items()), "alias", "type"),
     "dim_node_type": values([(i, t) for i, t in enumerate(NODE_TYPES)], "type_ord", "type"),
     "dim_question": values([(i, *q) for i, q in enumerate(QUESTION_CATEGORIES)], "question_ord", "phrase", "label"),
+    "dim_task": values(list(EXTRACTION_TASKS.items()), "label", "task"),
     "dim_pattern": values([(k, i, p) for k, v in LABEL_PATTERNS.items() for i, p in enumerate(v)], "label", "pattern_ord", "pattern"),
 }
 

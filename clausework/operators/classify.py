@@ -19,9 +19,12 @@ def similarities(vectors: DataFrame, protos: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(protos.select(F.col("label").alias("candidate"), "prototype"))).withColumn("cosine", scores.cosine(F.col("embedding"), F.col("prototype"))).drop("prototype")
 
 
-def classify(vectors: DataFrame, protos: DataFrame, top_k: int = 3, threshold: float = 0.3, key: str = "vec_id") -> DataFrame:
-    """The best labels of each vector above a raw cosine, with calibrated confidence; ties go to the lesser label."""
-    d = similarities(vectors, protos)
+def classify(vectors: DataFrame, protos: DataFrame, top_k: int = 3, threshold: float = 0.3, key: str = "vec_id", digits: int = 6) -> DataFrame:
+    """The best labels of each vector above a cosine, with calibrated confidence; ties go to the lesser label.
+
+    Cosines are rounded to ``digits`` first, so that ranks do not hang on the order in which a prototype's vectors were added up.
+    """
+    d = similarities(vectors, protos).withColumn("cosine", F.round("cosine", digits))
     w = Window.partitionBy(key).orderBy(F.desc("cosine"), "candidate")
     d = d.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= top_k) & (F.col("cosine") >= threshold))
     return d.withColumn("confidence", scores.platt(F.col("cosine")))
@@ -76,6 +79,16 @@ def splits(keys: DataFrame, seed: str = "42", train: float = 0.7, validation: fl
     return keys.select("contract_id").distinct().select("contract_id", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test").alias("split"))
 
 
+def split_overlap(assigned: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """split_a < split_b and how many values of ``column`` have rows in both splits; ``rows`` has contract_id and the column."""
+    of = rows.select("contract_id", F.col(column).alias("value")).where("value IS NOT NULL").join(assigned, "contract_id").select("value", "split").distinct()
+    both = of.groupBy("value").agg(F.sort_array(F.collect_set("split")).alias("s"))  # three splits at most
+    names = ("test", "train", "validation")
+    pairs = [F.count_if(F.array_contains("s", a) & F.array_contains("s", b)).alias(f"{a}-{b}") for i, a in enumerate(names) for b in names[i + 1 :]]
+    counts = both.agg(*pairs)
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c.split("-")[0]).alias("split_a"), F.lit(c.split("-")[1]).alias("split_b"), F.col(f"`{c}`").alias("shared")) for c in counts.columns])).alias("x")).select("x.*")
+
+
 def training_pairs(clauses: DataFrame, labels: DataFrame, negatives: int = 4, seed: str = "42") -> DataFrame:
     """Each clause with its own label and with hash-picked other labels; the labels are a small side."""
     own = clauses.select("contract_id", "clause_index", "label", F.col("label").alias("other"), F.lit(1.0).alias("target"))

@@ -135,11 +135,14 @@ def compare_values(values: DataFrame, a: int, b: int) -> DataFrame:
     return side(a, "values_a").join(side(b, "values_b"), "label").where((F.size("values_a") > 0) | (F.size("values_b") > 0))
 
 
-def upsert_entries(entries: DataFrame, supplied: DataFrame, computed: DataFrame) -> DataFrame:
-    """One row for each contract: of repeated ones the last, with its supplied score and level or else the computed ones."""
-    last = entries.groupBy("contract_id").agg(F.max("ord").alias("ord"))
-    d = last.join(supplied.select("contract_id", F.col("score").alias("s"), F.col("level").alias("l")), "contract_id", "left").join(computed.select("contract_id", "score", "level"), "contract_id", "left")
-    return d.select("contract_id", F.coalesce("s", "score").alias("score"), F.when(F.col("s").isNotNull(), F.col("l")).otherwise(F.col("level")).alias("level"))
+def upsert_entries(entries: DataFrame, computed: DataFrame) -> DataFrame:
+    """One row for each contract: of repeated entries the last by ``ord``, with the score and level that it came with or else the computed ones.
+
+    ``entries`` has contract_id, ord, score and level, of which the last two may be null.
+    """
+    last = entries.groupBy("contract_id").agg(F.max_by(F.struct("score", "level"), "ord").alias("e"))
+    d = last.join(computed.select("contract_id", "score", "level"), "contract_id", "left")
+    return d.select("contract_id", F.coalesce("e.score", "score").alias("score"), F.when(F.col("e.score").isNotNull(), F.col("e.level")).otherwise(F.col("level")).alias("level"))
 
 
 def riskiest(contracts: DataFrame, scores: DataFrame, first: int = 10) -> DataFrame:

@@ -9,19 +9,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.functions import text
+from clausework.functions import dims, text
 
 ENTITY = "array<struct<name:string,type:string,confidence:string>>"
 RELATION = "array<struct<subject:string,predicate:string,object:string,confidence:string>>"
 REPLY = f"struct<entities:{ENTITY},relationships:{RELATION},extracted_values:array<struct<field:string,value:string,confidence:double>>>"
-SUGGESTED_QUERIES = [
-    "Which parties sign this contract?", "Which intellectual property is licensed?", "What must each party do?", "What are the parties kept from doing?", "How is liability limited?",
-    "Which law governs?", "Which dates and deadlines matter?", "How can the contract end?", "Is there a duty not to compete?", "Which warranties are given?",
+# fixed values: questions that are suggested
+SUGGESTED_QUESTIONS = [
+    "Who are the parties to this contract?",
+    "What IP rights are licensed?",
+    "What are the key obligations of each party?",
+    "What restrictions apply to the parties?",
+    "What are the liability caps and limitations?",
+    "What is the governing law?",
+    "What are the key dates and deadlines?",
+    "What are the termination conditions?",
+    "Are there any non-compete provisions?",
+    "What warranties are provided?",
 ]
-
 # fixed values: questions that are asked by name, and aspects of a comparison
 CANNED_QUESTIONS = {
     "licensing": "What are the licensing terms and IP rights granted?",
@@ -66,6 +74,42 @@ def extracted(contracts: DataFrame, replies: DataFrame, model: str = "none") ->
     return entities, parsed_triples(parsed)
 
 
+def suggested(spark: SparkSession) -> DataFrame:
+    """query_id (from 1) and text of the suggested questions, ready to be searched for."""
+    return spark.createDataFrame(list(enumerate(SUGGESTED_QUESTIONS, 1)), "query_id long, text string")
+
+
+CLAUSE_REPLY = "struct<values:array<struct<field:string,value:string,confidence:double>>,entities:array<string>,relationships:array<struct<subject:string,predicate:string,object:string>>>"
+VALUE_CONFIDENCE, EXTRACT_LEAST = 0.5, 0.45  # fixed values
+
+
+def extraction_prompts(clauses: DataFrame, least: float = EXTRACT_LEAST) -> DataFrame:
+    """Clauses that are confident enough to be extracted, with the prompt that asks for what a clause of their label holds."""
+    tasks = F.broadcast(dims.dim(clauses.sparkSession, "dim_task"))
+    task = F.coalesce("task", F.concat(F.lit("Extract: key terms, values, entities, and obligations related to "), "label"))
+    prompt = F.concat(F.lit('Clause labeled "'), "label", F.lit('":\n'), F.coalesce("text", F.lit("")), F.lit("\n\n"), task)
+    return clauses.where(F.col("confidence") >= least).join(tasks, "label", "left").withColumn("prompt", prompt).drop("task")
+
+
+def clause_extractions(clauses: DataFrame, replies: DataFrame, model: str = "none", least: float = EXTRACT_LEAST) -> DataFrame:
+    """Confident clauses with values, entities and relationships from the replies to their prompts; without a reply, or with one that is no JSON, all are empty."""
+    d = with_reply(extraction_prompts(clauses, least), replies, prompt_key(model, F.col("prompt"))).drop("prompt", "prompt_key")
+    d = d.withColumn("parsed", F.from_json(text.fenced_json(F.col("reply")), CLAUSE_REPLY)).drop("reply")
+    empty = lambda c: F.coalesce(f"parsed.{c}", F.from_json(F.lit("[]"), _part(c)))
+    values = F.transform(empty("values"), lambda v: F.struct(F.coalesce(v["field"], F.lit("")).alias("field"), F.coalesce(v["value"], F.lit("")).alias("value"), F.coalesce(v["confidence"], F.lit(VALUE_CONFIDENCE)).alias("confidence")))
+    return d.select("*", values.alias("values"), empty("entities").alias("entities"), empty("relationships").alias("relationships")).drop("parsed")
+
+
+def _part(name: str) -> str:
+    return {"values": "array<struct<field:string,value:string,confidence:double>>", "entities": "array<string>", "relationships": "array<struct<subject:string,predicate:string,object:string>>"}[name]
+
+
+def extracted_values(extractions: DataFrame) -> DataFrame:
+    """contract_id, clause_index, label, at, field, value, confidence: a row for each value, ready for ``key_findings``."""
+    d = extractions.select("contract_id", "clause_index", "label", F.posexplode("values").alias("at", "v"))
+    return d.select("contract_id", "clause_index", "label", "at", "v.field", "v.value", "v.confidence")
+
+
 def prompt_key(model: str, prompt: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{model}:"), prompt))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.functions import dims, scores, text
+from clausework.operators import caches as ca
 from clausework.operators import classify as cl
 from clausework.operators import dependency as dep
 from clausework.operators import knowledge as kg
@@ -185,7 +186,10 @@ add("dep_graph", f"WITH {_EDGES} SELECT * FROM graph")(_graph)
 add("dep_contradictions", f"WITH {_EDGES} SELECT * FROM conflicts")(lambda s, d: dep.contradictions(_graph(s, d)))
 add("dep_needs_validation", f"WITH {_EDGES} SELECT contract_id, source, target, dependency_type FROM edges e WHERE EXISTS (SELECT 1 FROM {D['dim_dependency_rule']} r WHERE r.needs_validation AND r.source = e.source AND r.target = e.target)")(
     lambda s, d: dep.needs_validation(dep.edges(inputs.clauses(s, d))).select("contract_id", "source", "target", "dependency_type"))
-add("dep_impact", f"WITH RECURSIVE {_REACH} SELECT * FROM reach")(lambda s, d: _impact(s, d).select("contract_id", "start", "label", "depth"))
+_PATHS = f"""{_EDGES}, walk AS (SELECT contract_id, u AS start, v AS label, 1 AS depth, [ord] AS path, u AS via, dependency_type, strength FROM graph
+  UNION ALL SELECT w.contract_id, w.start, g.v, w.depth + 1, list_append(w.path, g.ord), w.label, g.dependency_type, g.strength FROM walk w JOIN graph g ON g.contract_id = w.contract_id AND g.u = w.label WHERE w.depth < 3)"""
+add("dep_impact", f"WITH RECURSIVE {_PATHS} SELECT contract_id, start, label, CAST(depth AS INTEGER) AS depth, via, dependency_type, strength FROM (SELECT *, row_number() OVER (PARTITION BY contract_id, start, label ORDER BY depth, path) AS rn FROM walk WHERE label <> start) WHERE rn = 1")(
+    lambda s, d: _impact(s, d).select("contract_id", "start", "label", "depth", "via", "dependency_type", "strength"))
 add("dep_impact_ranking", f"""WITH RECURSIVE {_REACH} SELECT c.contract_id, c.label, count(r.label) AS total_affected, CAST(coalesce(max(r.depth), 0) AS INTEGER) AS max_depth
 FROM clauses c LEFT JOIN reach r ON r.contract_id = c.contract_id AND r.start = c.label GROUP BY c.contract_id, c.label""")(
     lambda s, d: dep.impact_ranking(_impact(s, d), inputs.clauses(s, d)))
@@ -258,17 +262,9 @@ ranked AS (SELECT *, round(c, 6) AS cosine, row_number() OVER (PARTITION BY vec_
 pred AS (SELECT vec_id, label, candidate, cosine, 1 / (1 + exp(-6.0540 * cosine + 2.2416)) AS confidence FROM ranked WHERE rank = 1)"""
 
 
-def _sims(s: SparkSession, d: str) -> DataFrame:
-    v = _t(s, d, "embeddings")
-    return cl.similarities(v, cl.prototypes(v)).select("vec_id", "label", "candidate", F.round("cosine", 6).alias("cosine"))
-
-
 def _ranked(s: SparkSession, d: str, k: int, least: float) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "candidate")
-    r = _sims(s, d).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("cosine") >= least))
-    return r.withColumn("confidence", scores.platt(F.col("cosine")))
+    v = _t(s, d, "embeddings")
+    return cl.classify(v, cl.prototypes(v), k, least)
 
 
 def _top1(s: SparkSession, d: str) -> DataFrame:
@@ -299,8 +295,13 @@ add("platt_fit", f"WITH {_NEWTON} SELECT round(a, 6) AS a, round(b, 6) AS b FROM
 _U = "('0x' || substring(md5(contract_id || ':42'), 1, 8))::BIGINT::DOUBLE / 4294967296"
 add("split_assignment", f"WITH k AS (SELECT DISTINCT contract_id FROM ({inputs.CONTRACTS})) SELECT contract_id, CASE WHEN {_U} < 0.7 THEN 'train' WHEN {_U} < 0.85 THEN 'validation' ELSE 'test' END AS split FROM k")(
     lambda s, d: cl.splits(inputs.contracts(s, d)))
-add("split_overlap", f"WITH k AS (SELECT DISTINCT contract_id FROM ({inputs.CONTRACTS})) SELECT CAST(0 AS BIGINT) AS shared")(
-    lambda s, d: cl.splits(inputs.contracts(s, d)).groupBy("contract_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared")))
+_ASSIGNED = _SQL["split_assignment"].replace("WITH k AS", "k AS").replace(" SELECT contract_id, CASE", ", a AS (SELECT contract_id, CASE") + ")"
+_PAIRS = "(VALUES ('test', 'train'), ('test', 'validation'), ('train', 'validation')) p(split_a, split_b)"
+add("split_overlap", f"""WITH {_ASSIGNED}, r AS (SELECT contract_id, party_id FROM ({inputs.CONTRACTS})), c AS (SELECT DISTINCT contract_id AS v, split FROM r JOIN a USING (contract_id)), u AS (SELECT DISTINCT party_id AS v, split FROM r JOIN a USING (contract_id))
+SELECT 'contract_id' AS of, split_a, split_b, (SELECT count(*) FROM c x JOIN c y ON x.v = y.v AND x.split = split_a AND y.split = split_b) AS shared FROM {_PAIRS}
+UNION ALL SELECT 'party_id', split_a, split_b, (SELECT count(*) FROM u x JOIN u y ON x.v = y.v AND x.split = split_a AND y.split = split_b) FROM {_PAIRS}""")(
+    lambda s, d: cl.split_overlap(cl.splits(inputs.contracts(s, d)), inputs.contracts(s, d).withColumn("own", F.col("contract_id")), "own").select(F.lit("contract_id").alias("of"), "*")
+    .unionByName(cl.split_overlap(cl.splits(inputs.contracts(s, d)), inputs.contracts(s, d), "party_id").select(F.lit("party_id").alias("of"), "*")))
 add("training_pairs", f"""WITH {_W}, w AS (SELECT c.contract_id, c.clause_index, c.label, l.label AS other, row_number() OVER (PARTITION BY c.contract_id, c.clause_index ORDER BY md5(c.contract_id || ':' || c.clause_index || ':' || l.label || ':42')) AS rn
   FROM clauses c JOIN {D["dim_label"]} l ON l.label <> c.label)
 SELECT contract_id, clause_index, label, label AS other, CAST(1 AS DOUBLE) AS target FROM clauses UNION ALL SELECT contract_id, clause_index, label, other, 0 FROM w WHERE rn <= 4""")(
@@ -350,6 +351,12 @@ k AS (SELECT contract_id, list_filter(list_transform(parts, lambda x: regexp_rep
 x AS (SELECT contract_id, unnest(range(len(parts))) AS clause_index, unnest(parts) AS text FROM k)
 SELECT contract_id, CAST(clause_index AS INTEGER) AS clause_index, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS text FROM x WHERE length(text) >= 50""")(
     lambda s, d: cl.split_contracts(_t(s, d, "documents").select(F.col("doc_id").alias("contract_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))))
+add("clause_split_sections", r"""WITH d AS (SELECT doc_id AS contract_id, replace(text, chr(10), chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Section 2 ' WHEN 1 THEN '4.1 ' ELSE '(b) ' END) AS t FROM documents),
+p AS (SELECT contract_id, CASE WHEN regexp_matches(t, '(?i)(?:\n\s*(?:\d+\.[\d.]*|\(\w\)|Section\s+\d+|ARTICLE\s+[IVX\d]+)[.\s])') THEN regexp_split_to_array(t, '(?i)(?:\n\s*(?:\d+\.[\d.]*|\(\w\)|Section\s+\d+|ARTICLE\s+[IVX\d]+)[.\s])') ELSE [t] END AS parts FROM d),
+k AS (SELECT contract_id, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 30) AS parts FROM p),
+x AS (SELECT contract_id, unnest(range(len(parts))) AS clause_index, unnest(parts) AS text FROM k)
+SELECT contract_id, CAST(clause_index AS INTEGER) AS clause_index, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS text FROM x WHERE length(text) >= 50""")(
+    lambda s, d: cl.split_contracts(_t(s, d, "documents").select(F.col("doc_id").alias("contract_id"), F.expr("replace(text, '\n', concat('\n', CASE doc_id % 3 WHEN 0 THEN 'Section 2 ' WHEN 1 THEN '4.1 ' ELSE '(b) ' END))").alias("text"))))
 _MARKS = ["'. '", "'.' || chr(10)", "chr(10) || chr(10)", "chr(10)", "' '"]
 _STOP = "CASE WHEN start + 2000 >= length(text) THEN start + 2000 " + " ".join(f"WHEN strpos(reverse(substr(text, start + 1001, 1000)), reverse({m})) > 0 THEN start + 2001 - strpos(reverse(substr(text, start + 1001, 1000)), reverse({m}))" for m in _MARKS) + " ELSE start + 2000 END"
 add("chunk_text", f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS chunk, 0::BIGINT AS start, {_STOP.replace("start", "0")} AS stop FROM documents WHERE text IS NOT NULL
@@ -540,10 +547,29 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 
 
 add("analysis_documents", f"WITH RECURSIVE {_LISTS} SELECT k.contract_id, CAST(to_json({_DOCUMENT}) AS VARCHAR) AS json FROM contracts k {_OF_ALL}")(lambda s, d: rp.as_json(_documents(s, d)))
-add("analysis_paths", f"""WITH RECURSIVE {_LISTS} SELECT k.contract_id, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(adjustment AS VARCHAR) AS adjustment,
+add("analysis_paths", f"""WITH RECURSIVE {_LISTS} SELECT k.contract_id, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN clauses IS NOT NULL THEN CAST(adjustment AS VARCHAR) END AS adjustment,
   edges[1].target_label AS first_target, findings[1].label AS worst, by_category[1].labels[1].label AS first_label FROM contracts k {_OF_ALL}""")(
     lambda s, d: rp.paths(_documents(s, d), level="$.risk.level", adjustment="$.interdependency.risk_score_adjustment", first_target="$.interdependency.edges[0].target_label", worst="$.risk.findings[0].label", first_label="$.summary.by_category[0].labels[0].label"))
 
+# --- caches
+
+_LOG = "l AS (SELECT event_id, user_id || ':' || event_type AS k, epoch_us(ts) / 1000000.0::DOUBLE AS tm, ('0x' || substring(md5(user_id || ':' || event_type), 1, 8))::BIGINT % 4 AS shard FROM events WHERE user_id IS NOT NULL)"
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts AS timestamp_ntz)) / 1000000D")
+    return _t(s, d, "events").where("user_id IS NOT NULL").select("event_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("k"), seconds.alias("at"))
+
+
+add("cache_lru", f"""WITH {_LOG}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY tm, event_id) AS i FROM l),
+p AS MATERIALIZED (SELECT *, lag(i) OVER (PARTITION BY shard, k ORDER BY i) AS before, lead(i) OVER (PARTITION BY shard, k ORDER BY i) AS following FROM o),
+n AS (SELECT a.event_id, count(*) AS other FROM p a JOIN p b ON a.shard = b.shard AND b.i > a.before AND b.i < a.i AND (b.following IS NULL OR b.following > a.i) GROUP BY a.event_id)
+SELECT p.event_id, CAST(p.shard AS INTEGER) AS shard, p.before IS NOT NULL AND coalesce(n.other, 0) < 8 AS hit FROM p LEFT JOIN n USING (event_id)""")(
+    lambda s, d: ca.replay(_log(s, d), "k", "at", "event_id", size=8, shards=4).select("event_id", "shard", "hit"))
+add("cache_ttl", f"""WITH RECURSIVE {_LOG}, put AS (SELECT k, min(tm) AS tm FROM l GROUP BY k UNION ALL SELECT k, min(tm) FROM (SELECT l.k, l.tm FROM put JOIN l ON l.k = put.k AND l.tm - put.tm >= 86400) GROUP BY k)
+SELECT CAST(shard AS INTEGER) AS shard, count(*) AS accesses, count(*) - (SELECT count(*) FROM put JOIN (SELECT DISTINCT k, shard AS own FROM l) USING (k) WHERE own = shard) AS hits FROM l GROUP BY shard""")(
+    lambda s, d: ca.hit_rates(ca.replay(_log(s, d), "k", "at", "event_id", size=None, ttl=ca.DAY, shards=4)).select("shard", "accesses", "hits"))
+
 # --- search over indexed items
 
 _ITEMS = f"""{_BY_NAME}, it AS MATERIALIZED (SELECT 'e:' || id AS id, 'entity' AS kind, name || ' (' || type || ')' AS text, v FROM e
@@ -692,9 +718,10 @@ add("contract_compare_values", f"""WITH x AS ({_VALUES}), k AS (SELECT contract_
 m AS (SELECT contract_id, label, coalesce(string_agg(field || '=' || value, ',' ORDER BY field) FILTER (field IS NOT NULL), '') AS v FROM k GROUP BY ALL)
 SELECT a.label, a.v AS values_a, b.v AS values_b FROM m a JOIN m b ON a.label = b.label AND a.contract_id = {A} AND b.contract_id = {B} WHERE a.v <> '' OR b.v <> ''""")(
     lambda s, d: pf.compare_values(inputs.derive(s, d, _VALUES), A, B).select("label", _pairs("values_a").alias("values_a"), _pairs("values_b").alias("values_b")))
-add("portfolio_upsert", f"""WITH {_SCORE}, last AS (SELECT DISTINCT contract_id FROM contracts)
-SELECT l.contract_id, CASE WHEN l.contract_id % 3 = 0 THEN 50 ELSE score END AS score, CASE WHEN l.contract_id % 3 = 0 THEN 'MEDIUM' ELSE level END AS level FROM last l LEFT JOIN scores s ON s.contract_id = l.contract_id""")(
-    lambda s, d: pf.upsert_entries(inputs.contracts(s, d).withColumn("ord", F.lit(1)), inputs.contracts(s, d).where("contract_id % 3 = 0").select("contract_id", F.lit(50).alias("score"), F.lit("MEDIUM").alias("level")), _scores(s, d)))
+_ENTRIES = f"SELECT contract_id, clause_index AS ord, CASE WHEN clause_index % 3 = 0 THEN CAST(value AS INT) END AS score, CASE WHEN clause_index % 3 = 0 THEN 'GIVEN' END AS level FROM ({inputs.CLASSIFIED}) c"
+add("portfolio_upsert", f"""WITH {_SCORE}, last AS (SELECT contract_id, score AS s, level AS l FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY ord DESC) AS rn FROM ({_ENTRIES})) WHERE rn = 1)
+SELECT contract_id, CASE WHEN s IS NULL THEN score ELSE s END AS score, CASE WHEN s IS NULL THEN level ELSE l END AS level FROM last LEFT JOIN scores USING (contract_id)""")(
+    lambda s, d: pf.upsert_entries(inputs.derive(s, d, _ENTRIES), _scores(s, d)))
 add("riskiest_contracts", f"WITH {_SCORE} SELECT * FROM contracts WHERE contract_id IN (SELECT contract_id FROM scores ORDER BY score DESC, contract_id LIMIT 10)")(
     lambda s, d: pf.riskiest(inputs.contracts(s, d), _scores(s, d)))
 add("dep_report", f"""WITH RECURSIVE {_CYCLES}, n AS (SELECT contract_id, count(*) AS labels FROM clauses GROUP BY contract_id)
@@ -718,3 +745,34 @@ _ASKED = "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'obligations' WHEN 1
 add("canned_questions", f"""WITH a AS ({_ASKED}) SELECT s_suppkey, CASE WHEN name = 'obligations' AND party IS NOT NULL THEN 'What are the obligations of ' || party || '?'
 {" ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in pv.CANNED_QUESTIONS.items())} END AS question, CASE {" ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in pv.COMPARE_QUESTIONS.items())} ELSE '{pv.COMPARE_QUESTIONS["all"]}' END AS comparison FROM a""")(
     lambda s, d: inputs.derive(s, d, _ASKED).select("s_suppkey", pv.canned_question(F.col("name"), F.col("party")).alias("question"), pv.compare_question(F.col("name")).alias("comparison")))
+_PROMPT = f"""{_W}, asked AS (SELECT c.contract_id, c.clause_index, c.label, c.value, 'Clause labeled "' || c.label || '":' || chr(10) || c.text || chr(10) || chr(10) || coalesce(t.task, 'Extract: key terms, values, entities, and obligations related to ' || c.label) AS prompt
+  FROM clauses c LEFT JOIN {D["dim_task"]} t ON t.label = c.label WHERE c.confidence >= 0.45)"""
+add("extraction_prompts", f"WITH {_PROMPT} SELECT contract_id, clause_index, prompt FROM asked")(lambda s, d: pv.extraction_prompts(inputs.clauses(s, d)).select("contract_id", "clause_index", "prompt"))
+
+
+def _clause_replies(s: SparkSession, d: str) -> DataFrame:
+    """A reply for most prompts, as a model might give it, from the prompt's own hash."""
+    asked = pv.extraction_prompts(inputs.clauses(s, d)).select("prompt").distinct().withColumn("h", F.conv(F.substring(F.md5("prompt"), 1, 6), 16, 10).cast("int"))
+    body = F.format_string('{"values": [{"field": "f%d", "value": "v%d", "confidence": 0.%d}, {"field": "g"}], "entities": ["E%d"], "relationships": []}', F.col("h") % 5, F.col("h") % 97, F.col("h") % 9 + 1, F.col("h") % 7)
+    reply = F.when(F.col("h") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(F.col("h") % 4 == 1, body).when(F.col("h") % 4 == 2, F.lit("no idea"))
+    return asked.select(pv.prompt_key("none", F.col("prompt")).alias("prompt_key"), reply.alias("reply")).where("reply IS NOT NULL")
+
+
+_FOUND_VALUES = f"""{_PROMPT}, h AS (SELECT *, ('0x' || substring(md5(prompt), 1, 6))::BIGINT AS h FROM asked), said AS (SELECT * FROM h WHERE h % 4 IN (0, 1)),
+v AS (SELECT contract_id, clause_index, label, 0 AS place, 'f' || (h % 5) AS field, 'v' || (h % 97) AS value, CAST('0.' || (h % 9 + 1) AS DOUBLE) AS confidence FROM said UNION ALL SELECT contract_id, clause_index, label, 1, 'g', '', 0.5 FROM said)"""
+add("clause_extractions", f"WITH {_FOUND_VALUES} SELECT contract_id, clause_index, label, CAST(place AS INTEGER) AS place, field, value, confidence FROM v")(
+    lambda s, d: pv.extracted_values(pv.clause_extractions(inputs.clauses(s, d), _clause_replies(s, d))).withColumnRenamed("at", "place"))
+add("key_findings", f"WITH {_FOUND_VALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY clause_index, field) AS rn FROM v WHERE confidence >= 0.7) SELECT contract_id, label, field, value FROM r WHERE rn <= 20")(
+    lambda s, d: pv.key_findings(pv.extracted_values(pv.clause_extractions(inputs.clauses(s, d), _clause_replies(s, d)))).select("contract_id", "label", "field", "value"))
+_SUGGESTED = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(pv.SUGGESTED_QUESTIONS, 1)) + ") z(query_id, text)"
+
+
+def _suggested(s: SparkSession, d: str) -> DataFrame:
+    def use(index: TextIndex) -> DataFrame:
+        index.upsert(_t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("text").alias("kind"), "text"))
+        return index.search(pv.suggested(s)).select("query_id", "id", "rank", "score")
+
+    return _with_index(s, use)
+
+
+add("suggested_questions", f"WITH it AS (SELECT 'd' || doc_id AS id, 'text' AS kind, coalesce(text, '') AS text FROM documents), asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM {_SUGGESTED}), {_bm_sql('it')} SELECT query_id, id, rank, score FROM bmr")(_suggested)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausework.functions import dims, scores, text
 from clausework.operators import dependency as dep
 from clausework.operators import knowledge as kg
+from clausework.operators import label_sets as ls
 from clausework.operators import portfolio as pf
 from clausework.operators import providers, risk, search
 from clausework.sources import readers, sinks
@@ -74,21 +75,115 @@ def test_full_graph(spark, whole):
 
 def test_order_and_centrality(spark, whole):
     nodes, g = whole
-    order = [r.label for r in dep.topological_order(g, nodes).orderBy("position").collect()]
+    order = [r.label for r in ls.topological_order(nodes).orderBy("position").collect()]
     assert sorted(order) == sorted(r[0] for r in dims.LABELS)
     c = {r.label: r.centrality for r in dep.centrality(g, nodes).collect()}
     assert c["Document Name"] == 0 and max(c.values()) == c["License Grant"]
-    b = {r.label: r.betweenness for r in dep.betweenness(g, nodes).collect()}
+    b = {r.label: r.betweenness for r in ls.betweenness(nodes).collect()}
     assert all(0 <= x <= 1 for x in b.values()) and b["Document Name"] == 0
 
 
 def test_topological_order_without_cycle(spark):
     nodes = clauses(spark, ["Revenue/Profit Sharing", "Expiration Date", "Effective Date", "Exclusivity"])
-    g = dep.graph(dep.edges(nodes))
-    order = [r.label for r in dep.topological_order(g, nodes).orderBy("position").collect()]
+    order = [r.label for r in ls.topological_order(nodes).orderBy("position").collect()]
     assert order.index("Exclusivity") < order.index("Expiration Date") < order.index("Effective Date")
 
 
+def test_measures_of_label_sets(spark):
+    import random
+    from itertools import permutations
+
+    rng, names = random.Random(11), [r[0] for r in dims.LABELS]
+    sets = {c: rng.sample(names, rng.randrange(1, 12)) for c in range(1, 25)}
+    sets[30] = sets[3]
+    d = spark.createDataFrame([(c, i, x, "c", 0.9, "") for c, xs in sets.items() for i, x in enumerate(xs)] + [(None, 0, names[0], "c", 0.9, ""), (40, 0, "unknown", "c", 0.9, "")], COLUMNS)
+    part = {(r.contract_id, r.label): r.component for r in ls.components(d).collect()}
+    between = {(r.contract_id, r.label): r.betweenness for r in ls.betweenness(d).collect()}
+    order = {}
+    for r in ls.topological_order(d.where("contract_id < 40")).orderBy("position").collect():
+        order.setdefault(r.contract_id, []).append(r.label)
+    for c, xs in sets.items():
+        g = {(r[0], r[1]) for r in dims.DEPENDENCY_RULES} | {(r[1], r[0]) for r in dims.DEPENDENCY_RULES if r[4]}
+        g = {e for e in g if set(e) <= set(xs)}
+        reach = {x: {x} for x in xs}
+        for _ in xs:
+            for u, v in g:
+                reach[u] |= reach[v]
+                reach[v] |= reach[u]
+        assert {x: part[c, x] for x in xs} == {x: min(reach[x]) for x in xs}
+        far = {(s, s): (0, 1) for s in xs}
+        for depth in range(1, len(xs)):
+            for s in xs:
+                for v in xs:
+                    n = sum(far[s, u][1] for u, w in g if w == v and far.get((s, u), (None,))[0] == depth - 1)
+                    if (s, v) not in far and n:
+                        far[s, v] = (depth, n)
+        total = dict.fromkeys(xs, 0.0)
+        for s, v, t in permutations(xs, 3):
+            if (s, t) in far and (s, v) in far and (v, t) in far and far[s, v][0] + far[v, t][0] == far[s, t][0]:
+                total[v] += far[s, v][1] * far[v, t][1] / far[s, t][1]
+        scale = (len(xs) - 1) * (len(xs) - 2)
+        assert all(abs(between[c, x] - (total[x] / scale if scale else 0)) < 1e-9 for x in xs)
+        assert order[c] == ls.order_of(xs, ls._Rules(spark).edges) and sorted(order[c]) == sorted(xs)
+    assert len(part) == len(between) == sum(map(len, sets.values()))
+
+
+def test_rounding_is_that_of_python(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [0.0, 0.05, 0.15, 0.25, 12.25, 12.35, 2.675, -0.25, -12.35, 1e15 + 0.3, 1e300, float("inf"), float("-inf"), 5e-324, 0.05 - 2**-60, 4503599627370495.5, 0.45000000000000001]
+    values += [rng.randrange(-10**6, 10**6) / 40 for _ in range(5000)] + [rng.uniform(-1e4, 1e4) for _ in range(5000)] + [rng.randrange(10**9) / 20 * 2.0**-k for k in range(40)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        got = [r.x for r in d.select("v", scores.round_half_even(F.col("v"), digits).alias("x")).collect()]
+        assert got == [round(v, digits) for v in values]
+    assert d.limit(1).select(scores.round_half_even(F.lit(float("nan"))).alias("x")).first().x != 0 and d.limit(1).select(scores.round_half_even(F.lit(None).cast("double")).alias("x")).first().x is None
+
+
+def test_calibration_by_newton(spark):
+    import math
+    import random
+
+    from clausework.operators import classify
+
+    rng = random.Random(4)
+    rows = [(s, rng.random() < 1 / (1 + math.exp(-4 * s + 1.5))) for s in (rng.uniform(-1, 2) for _ in range(4000))] + [(None, True), (0.5, None), (float("nan"), True)]
+    d = spark.createDataFrame(rows, "s double, y boolean")
+    r = classify.fit_platt(d, "s", "y").first()
+    assert abs(r.a + 4) < 0.4 and abs(r.b - 1.5) < 0.3
+    slope = classify.platt_sums(d.where("s IS NOT NULL AND NOT isnan(s) AND y IS NOT NULL").select("s", F.col("y").cast("double").alias("y")), r.a, r.b).first()
+    assert abs(slope.g1) < 1e-6 and abs(slope.g0) < 1e-6
+    assert tuple(classify.fit_platt(d.where("false"), "s", "y").first()) == (0.0, 0.0)
+    assert tuple(classify.fit_platt(spark.createDataFrame([(1.0, True)], "s double, y boolean"), "s", "y").first()) == (0.0, 0.0)
+
+
+def test_nested_documents(spark):
+    from clausework.operators import reports
+
+    d = clauses(spark, ["Non-Compete", "Governing Law", "License Grant"]).withColumn("category", F.when(F.col("label") != "Governing Law", F.lit("c")))
+    docs = reports.documents(d, spark.createDataFrame([(1,), (2,), (2,)], "contract_id long"))
+    rows = {r.contract_id: r for r in reports.paths(docs, labels="$.summary.labels_found", edge="$.interdependency.edges[0].target_label", worst="$.risk.findings[0].severity", other="$.summary.by_category[0].category", none="$.no.such").collect()}
+    assert set(rows) == {1, 2} and (rows[1].labels, rows[2].labels) == ("3", "0") and rows[1].edge in ("Governing Law", "License Grant") and rows[2].edge is None
+    assert rows[1].other == "Other" and rows[2].worst in ("HIGH", "CRITICAL") and rows[1]["none"] is None
+    assert reports.documents(d.where("false"), spark.createDataFrame([], "contract_id long")).count() == 0
+
+
+def test_clause_extraction(spark):
+    from clausework.operators import providers
+
+    d = clauses(spark, ["Governing Law", "Own Label", "Insurance", "Parties"]).withColumn("confidence", F.when(F.col("label") == "Parties", 0.4).otherwise(0.9))
+    asked = providers.extraction_prompts(d)
+    prompts = {r.label: r.prompt for r in asked.collect()}
+    assert set(prompts) == {"Governing Law", "Own Label", "Insurance"} and "obligations related to Own Label" in prompts["Own Label"] and dims.EXTRACTION_TASKS["Governing Law"] in prompts["Governing Law"]
+    said = {"Governing Law": '```json\n{"values": [{"field": "law", "value": "Ohio", "confidence": 0.9}, {}], "entities": ["Ohio"]}\n```'.replace("\\n", "\n"), "Insurance": "none of it"}
+    replies = asked.where(F.col("label").isin(list(said))).select(providers.prompt_key("none", F.col("prompt")).alias("prompt_key"), F.create_map(*[F.lit(x) for kv in said.items() for x in kv])[F.col("label")].alias("reply"))
+    got = {r.label: r for r in providers.clause_extractions(d, replies).collect()}
+    assert [tuple(v) for v in got["Governing Law"]["values"]] == [("law", "Ohio", 0.9), ("", "", 0.5)] and got["Governing Law"].entities == ["Ohio"] and got["Governing Law"].relationships == []
+    assert got["Insurance"]["values"] == [] and got["Own Label"].entities == []
+    assert [(r.label, r.field) for r in providers.key_findings(providers.extracted_values(providers.clause_extractions(d, replies))).collect()] == [("Governing Law", "law")]
+
+
 def test_impact_depth(spark):
     names = ["Non-Compete", "Governing Law", "License Grant", "Expiration Date", "Effective Date"]
     g = dep.graph(dep.edges(clauses(spark, names)))
