@@ -2,10 +2,13 @@
 
 Every paragraph passes points for its length and commas to its parent and, halved, to its grandparent; a container's
 points are discounted by its share of link text. The best container is kept, widened to the article or main element
-around it, together with siblings that score well or read like prose. Menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers, scripts and styles are cut by element, role and class before scoring. A class that only says what a page has or lacks
-(has-sidebar, no-comments) cuts nothing, and a name of three parts or more cuts nothing inside article or main. Lists and tables of links are left out
-as menus outside article and main only. A header with a heading that stands in the chosen container gives its heading. Pages of any length and depth are read whole,
+around it, together with siblings that score well, read like prose or stand between kept ones.
+
+Elements and roles of menus, headers, footers, sidebars, notices, adverts, forms, scripts and styles are cut before scoring. A class or id is only a
+hint: one that names such a part and nothing else (sidebar, cookie-notice, user-comments-list) cuts its element unless that holds the article or most of the page's prose, one that has
+another word, too (social-science, related-work), cuts it only where its text is mostly links. Names of readers' comments always cut, classes that say what a page
+lacks (no-comments, has-sidebar) never do, nor does an id of a heading or paragraph. Where little would be left, hints count less, then not at all. Lists and tables of links are left
+out as menus outside article and main, if no prose stands before and after them. A header in the article gives its headings and its long paragraphs. Pages of any length and depth are read whole,
 in time in proportion to their length.
 
 A null or empty page, or one without text, gives an empty text. Broken markup is read as far as it goes: a tag
@@ -34,12 +37,12 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "xmp"}
-_CUT = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "svg", "math", "dialog", "menu", "object", "audio", "video", "canvas", "input", "label", "fieldset"} | _RAW
+_CUT = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "svg", "dialog", "menu", "object", "audio", "video", "canvas", "input", "fieldset"} | _RAW
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = {
     "p", "div", "section", "article", "main", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "tbody", "thead", "tfoot", "caption", "blockquote", "pre",
     "h1", "h2", "h3", "h4", "h5", "h6", "hr", "figure", "figcaption", "address", "details", "summary", "body", "html", "center", "hgroup",
-} | (_CUT - {"button", "label", "input", "svg", "math", "select", "object"})
+} | (_CUT - {"button", "input", "svg", "select", "object"})
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _CUT_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _CUT_WORD = {
@@ -48,47 +51,55 @@ _CUT_WORD = {
     "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
     "subscription", "signup", "login", "search", "pagination", "pager", "toolbar", "widget", "rail", "copyright", "disclaimer", "skip", "tags", "outbrain", "taboola",
 }
-_STATES = {"has", "no", "not", "with", "without", "is", "hide", "show", "js", "enable", "disable"}  # a class that begins so tells of a state
+_COMMENT_WORD = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply"}
+#: Words that say where or what kind of box a named part is.
+_NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "fixed", "form", "global", "group", "holder", "icon", "icons", "id", "inline", "inner",
+    "item", "items", "left", "link", "links", "list", "main", "message", "module", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "show", "site", "slot", "small", "sticky",
+    "story", "stories", "text", "thread", "title", "top", "unit", "user", "users", "view", "with", "wrap", "wrapper",
+}
+_STATES = {"has", "no", "not", "without", "hide", "js", "enable", "disable", "is"}  # a class that begins so tells of a state
+_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "blockquote", "pre", "figcaption"}
+_INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var"}
+_NO_HINT, _WEAK, _STRONG, _COMMENTS, _INTRO = range(5)
+_BYLINE = re.compile(r"(?i)\s*(?:by|von|par|por|published|posted|updated)\b")  # how a line about the author or date begins
 _KEEP_ALWAYS = {"html", "body", "article", "main"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "cut", "hint", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: _Node | None, cut: bool, hint: int = _NO_HINT):
+        self.tag, self.parent, self.cut, self.hint = tag, parent, cut, hint
         self.kids: list[_Node | str] = []
         self.score = self.chars = self.linked = 0
 
 
-def _names_cut(value: str, inside: bool) -> bool:
-    """Whether a class or id names something that is no part of the text."""
+def _hint(value: str) -> int:
+    """What a class or id says of its element."""
+    most = _NO_HINT
     for name in value.split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
-        if not parts or parts[0] in _STATES or (inside and len(parts) > 2):
+        if not parts or parts[0] in _STATES or _CUT_WORD.isdisjoint(parts):
             continue
-        if not _CUT_WORD.isdisjoint(parts):
-            return True
-    return False
+        alone = all(x in _CUT_WORD or x in _NEUTRAL for x in parts)
+        most = max(most, _COMMENTS if alone and not _COMMENT_WORD.isdisjoint(parts) else _STRONG if alone else _WEAK)
+    return most
 
 
-def _is_cut(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in _CUT:
-        return True
+def _judged(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether element or role cut, and what class and id hint at."""
+    cut, hint = tag in _CUT, _NO_HINT
     if not attrs or tag in _KEEP_ALWAYS:
-        return False
+        return cut, hint
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in _CUT_ROLE:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and _names_cut(value, inside):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _CUT_ROLE) or (name == "style" and "display:none" in value.replace(" ", "")):
+            cut = True
+        elif name == "class" or name == "id" and tag not in _TEXT:
+            hint = max(hint, _hint(value))
+    return cut, _NO_HINT if hint == _WEAK and tag in _INLINE else hint
 
 
 def _parse(page: str) -> _Node:
@@ -144,12 +155,17 @@ def _parse(page: str) -> _Node:
             if up.tag in _CLOSES[tag]:
                 leave(up)
         inside = open_["article"] > 0 or open_["main"] > 0
-        cut = at.cut or _is_cut(tag, attrs, inside)
+        cut, hint = _judged(tag, attrs)
+        cut = cut or at.cut
+        if tag == "button" and not at.cut and any(open_[x] > 0 for x in ("p", "td", *_HEADING)):
+            cut = False  # a word of a sentence
         if tag == "header" and not at.cut and inside:
             cut = False
-        if tag in ("p", "div", "span", "li") and at.tag == "header" and not at.cut:
-            cut = True
-        node = _Node(tag, at, cut)
+        if at.tag == "header" and not at.cut:
+            cut, hint = cut or tag in ("div", "span", "li"), _INTRO if tag == "p" else hint
+        elif tag in _INLINE and hint < _COMMENTS and any(open_[x] > 0 for x in ("p", "td", *_HEADING)):
+            hint = _NO_HINT  # words of a sentence
+        node = _Node(tag, at, cut, hint)
         at.kids.append(node)
         if tag not in _VOID and not attrs.rstrip().endswith("/"):
             at = node
@@ -215,6 +231,52 @@ def _density(n: _Node) -> float:
     return n.linked / n.chars if n.chars else 0.0
 
 
+def _text_of(n: _Node) -> str:
+    out, stack = [], [n]
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif not k.cut:
+            stack += reversed(k.kids)
+    return " ".join("".join(out).split())
+
+
+def _follow_hints(root: _Node, least: int) -> None:
+    """Cut what hints of ``least`` or more name, by what its text is like."""
+    nodes = _order(root)
+    holds = {id(n): [n.tag in ("article", "main"), n.tag in _TEXT] for n in nodes}  # how many articles, and blocks of text
+    for n in reversed(nodes):
+        n.chars += sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        if n.tag == "a":
+            n.linked = n.chars
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.linked += n.linked
+            above = holds[id(n.parent)]
+            above[0], above[1] = above[0] + holds[id(n)][0], above[1] + holds[id(n)][1]
+    prose, articles = root.chars - root.linked, holds[id(root)][0]
+
+    def is_the_text(n: _Node) -> bool:
+        """Most of the page's prose, with its article or else some blocks of text."""
+        inside, texts = holds[id(n)]
+        return 2 * (n.chars - n.linked) > prose and (inside > 0 or not articles and texts > 1)
+
+    for n in nodes:
+        if n.parent is not None and n.parent.cut:
+            n.cut = True
+        elif n.hint == _INTRO:
+            n.cut = n.chars < 50 or _density(n) > 0.25 or bool(_BYLINE.match(_text_of(n)))
+        elif n.hint >= least:
+            n.cut = n.hint == _COMMENTS or n.hint == _WEAK and _density(n) > 0.4 or n.hint == _STRONG and not is_the_text(n)
+    for n in nodes:
+        n.chars = n.linked = 0
+
+
+def _reads_as_prose(n: _Node) -> bool:
+    return n.chars > 0 and _density(n) <= 0.25 and (n.tag in _TEXT or n.tag in ("table", "ul", "ol", "dl", "figure", "details") or re.search(r"\w\W*[.!?:;]|[\u3002\uff01\uff1f]", _text_of(n)) is not None)
+
+
 def _kept(root: _Node) -> list[_Node]:
     nodes = _order(root)
     _score(nodes)
@@ -234,23 +296,28 @@ def _kept(root: _Node) -> list[_Node]:
     if best.tag not in ("article", "main"):
         _title(best)
     least = max(4.0, 0.2 * best.score)
-    out = []
-    for k in best.parent.kids:
-        if k is best:
-            out.append(k)
-        elif isinstance(k, _Node) and not k.cut:
-            if k.tag in ("article", "section", "div", "main") and k.score * (1 - _density(k)) >= least or k.tag == "p" and best.tag not in ("article", "main") and k.chars and _density(k) < 0.25:
-                out.append(k)
-            elif k.tag in _HEADING and best.tag not in ("article", "main"):
-                out.append(k)
-    return out
-
-
-def main_text(page: str | None) -> str:
-    """The page's main text, blocks joined by newlines."""
-    if not page:
-        return ""
-    root = _parse(page)
+    whole = best.tag in ("article", "main")
+    around = [k for k in best.parent.kids if isinstance(k, _Node) and not k.cut]
+    kept = set()
+    for i, k in enumerate(around):
+        scored = k.tag in ("article", "section", "div", "main") and k.score * (1 - _density(k)) >= least
+        told = not whole and (k.tag in _HEADING or (k.tag in _BLOCK and (k.tag not in ("div", "section", "center") or best.parent.tag != "body") and _reads_as_prose(k)))
+        if k is best or scored or told:
+            kept.add(i)
+    if not whole:  # what stands between kept parts belongs to them
+        kept = {i for i in range(min(kept), max(kept) + 1) if i in kept or around[i].tag in _BLOCK and _density(around[i]) <= 0.5}
+    return [around[i] for i in sorted(kept)]
+
+
+def _links_of_article(n: _Node) -> bool:
+    """Whether a list of links has prose before and after it."""
+    sides = n.parent.kids
+    at = next(i for i, k in enumerate(sides) if k is n)
+    prose = lambda some: any(isinstance(k, _Node) and not k.cut and k.tag in ("p", "blockquote", "pre") and k.chars and _density(k) <= 0.25 for k in some)
+    return prose(sides[:at]) and prose(sides[at + 1 :])
+
+
+def _written(root: _Node) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -269,7 +336,7 @@ def main_text(page: str | None) -> str:
                 flush()
             elif isinstance(k, str):
                 line.append(k)
-            elif k.cut or menus and k.tag in ("ul", "ol", "div", "section", "table", "dl") and k is not top and k.chars and _density(k) > 0.5:
+            elif k.cut or menus and k.tag in ("ul", "ol", "div", "section", "table", "dl") and k is not top and k.chars and _density(k) > 0.5 and not _links_of_article(k):
                 continue
             else:
                 block = k.tag in _BLOCK
@@ -283,6 +350,22 @@ def main_text(page: str | None) -> str:
     return "\n".join(blocks)
 
 
+def main_text(page: str | None) -> str:
+    """The page's main text, blocks joined by newlines."""
+    if not page:
+        return ""
+    text = ""
+    for least in (_WEAK, _COMMENTS, _INTRO):
+        root = _parse(page)
+        _follow_hints(root, least)
+        text = _written(root)
+        if least == _WEAK:
+            enough = 0.1 * sum(len(k.strip()) for n in _order(root) for k in n.kids if isinstance(k, str))
+        if text and len(text) >= enough:
+            break
+    return text
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``; the html itself is dropped."""
     kept = without(pages, *{"text", "n_chars"} - {html_col})

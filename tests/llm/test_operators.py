@@ -197,6 +197,35 @@ def test_html_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='social-science'>{PARAS}</div>", TEXT),
+        (f"<article>{PARAS}<section id='related-work'><h2>Related work</h2><p>Others did, as is known, the same.</p></section></article>", TEXT + "\nRelated work\nOthers did, as is known, the same."),
+        (f"<article><h1>T</h1><p class='share-price'>It fell.</p>{PARAS}<h2 id='search'>Search</h2><p>We looked, too.</p><h2 id='comments'>On comments</h2><p>They say, now.</p></article>", "T\nIt fell.\n" + TEXT + "\nSearch\nWe looked, too.\nOn comments\nThey say, now."),
+        (f"<div id=wrap><div class=a>{PARAS}</div><ul><li>one</li><li>two</li></ul><div class=b><p>Short tail.</p></div><blockquote>Quoted.</blockquote><table><tr><td>1<td>2</table><pre>code</pre></div>", TEXT + "\none\ntwo\nShort tail.\nQuoted.\n1 2\ncode"),
+        (f"<div class=x>{PARAS}<ul><li><a href=/1>Source one</a><li><a href=/2>Source two</a></ul><p>After, as said, it goes on.</p></div>", TEXT + "\nSource one\nSource two\nAfter, as said, it goes on."),
+        (f"<div class=x>{PARAS}<div><a href=/1>The linked report</a></div><p>After, as said, it goes on.</p></div>", TEXT + "\nThe linked report\nAfter, as said, it goes on."),
+        (f"<article><p>Press <button>Go</button>, a <label>name</label>, or <math><mi>x</mi></math> then.</p>{PARAS}</article>", "Press Go, a name, or x then.\n" + TEXT),
+        (f"<article><header><h1>T</h1><p>A standfirst of some length, which tells the reader what will come.</p><p>By Ann Example, who writes a lot of things for us, 3 May 2020</p></header>{PARAS}</article>", "T\nA standfirst of some length, which tells the reader what will come.\n" + TEXT),
+        (f"<main>{PARAS}<div class='user-comments-list'><p>Nice, very, very nice.</p></div></main>", TEXT),
+        (f"<main>{PARAS}<div class='show-comments'><p>Nice, very, very nice.</p></div></main>", TEXT),
+        (f"<div class='post-main'>{PARAS}</div><section class='comments-area'>" + "".join(f"<p>Reader {i}, long, long, and long again, says this and that.</p>" for i in range(40)) + "</section>", TEXT),
+        (f"<div class='sidebar'><div class='content'>{PARAS}</div></div>", TEXT),
+        (f"<div class='wrapper with-sidebar'><div class='ad-slot'>Buy now, here, today.</div>{PARAS}<div class='newsletter-box'><p>Subscribe, please, to our list.</p></div></div>", TEXT),
+        ("<div class='ad'>Much longer, in words, than all of the article is, and with more sentences. Here is one.</div><article><h1>Brief</h1><p>So.</p></article>", "Brief\nSo."),
+        (f"<article>{PARAS}<ul class='share-buttons'><li><a href=/>Share</a></ul><div class='related'><ul><li><a href=/>More</a></ul></div><p class='copyright'>All rights.</p></article>", TEXT),
+        (f"<article>{PARAS}<button>Share</button><div class='tags'><a>a</a> <a>b</a></div></article>", TEXT),
+        (f"<article><p>See <span class='search-term'>this</span> and <em class='social'>that</em>.</p>{PARAS}</article>", "See this and that.\n" + TEXT),
+        (f"<body class='has-sidebar login-page'><div id='page'><div id='content'>{PARAS}</div></div></body>", TEXT),
+        (f"<section class='notice-of-appeal'><h2>Notice of appeal</h2>{PARAS}</section>", "Notice of appeal\n" + TEXT),
+        (f"<div class='article-body'>{PARAS}<figure><figcaption>A picture, shown.</figcaption></figure><dl><dt>Term<dd>Meaning</dl></div>", TEXT + "\nA picture, shown.\nTerm\nMeaning"),
+    ],
+)
+def test_html_hints(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_long_and_deep_pages():
     began = time.process_time()
     for page in ("<div>" * 20000 + "</b>" * 20000, "<span>" * 20000 + "<p>x</p>" * 20000, "<b>" * 20000 + "<li>x" * 20000):
