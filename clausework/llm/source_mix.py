@@ -2,7 +2,8 @@
 
 A source's repetition rate is its target share times the target number of rows over the source's rows; a document
 is repeated a Poisson number of times with that mean. The number comes from the inverted distribution function at a uniform value
-hashed from id and seed (the text is not read), so a rerun after a lost executor repeats it. Copies are dealt out by a hash of document,
+hashed from id and seed (the text is not read), so a rerun after a lost executor repeats it. A row without an id has its place in the input's
+partitions for an id, which files keep, so each such row is drawn by itself. Copies are dealt out by a hash of document,
 copy and seed and sorted by it: one shuffle, in which a large source is spread like any other.
 
 Without weights every source gets the same share. Null sources are one source of their own; a source without weight has rate 0.
@@ -67,11 +68,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: i
     else:
         wide = by.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
         d = d.withColumn("__salt", salt).join(wide.withColumnRenamed("__salt", "__s"), (F.col("__salt") == F.col("__s")) & F.col(source).eqNullSafe(F.col("__source")), "left").drop("__s", "__salt")
-    text = f"coalesce(CAST({key} AS STRING), '')"
+    d = d.withColumn("__row", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    text = f"coalesce(CAST({key} AS STRING), concat('row ', CAST(__row AS STRING)))"
     d = d.withColumn("n_copies", F.expr(poisson_count(text, int(seed), "rate")))
     d = d.where("n_copies > 0").drop("__source", "rate", "source_rows")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    d = d.withColumn("shuffle_key", F.expr(f"md5(concat_ws(':', {text}, CAST(copy AS STRING), 'order', '{int(seed)}'))"))
+    d = d.withColumn("shuffle_key", F.expr(f"md5(concat_ws(':', {text}, CAST(copy AS STRING), 'order', '{int(seed)}'))")).drop("__row")
     return d.repartition(partitions or shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 

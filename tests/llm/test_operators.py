@@ -389,6 +389,15 @@ def test_source_mix(docs, texts):
     assert source_mix.mix(empty(docs)).count() == 0
 
 
+def test_source_mix_draws_each_row_without_an_id_by_itself(spark):
+    rows = spark.createDataFrame([(None, "same text", "a" if i < 500 else "b", "clash") for i in range(2000)], "doc_id long, text string, source string, __row string").drop("__row")
+    for seed in (1, 17):
+        got = source_mix.mix(rows, target_rows=2000, seed=seed)
+        n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+        assert 850 < n["a"] < 1150 and 850 < n["b"] < 1150
+        assert got.select("shuffle_key").distinct().count() == sum(n.values())
+
+
 @pytest.mark.parametrize("rate", [0.2, 1.0, 7.5, 255.0, 900.0])
 def test_poisson(spark, rate):
     k = np.array([r.k for r in spark.range(3000).select(F.lit(rate).alias("rate"), "id").selectExpr(f"{source_mix.poisson_count('CAST(id AS STRING)', 5, 'rate')} AS k").collect()])
