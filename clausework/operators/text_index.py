@@ -41,34 +41,34 @@ class TextIndex:
         tokens = text.tokens(F.coalesce("text", F.lit("")))
         rows = items.where("id IS NOT NULL").withColumns({"block": self._block(), "dl": F.size(tokens)})
         rows = rows if "payload" in items.columns else rows.withColumn("payload", F.lit(None).cast("string"))
-        rows = cut(rows.select(*_names(), *([order] if order and order not in _names() else [])))
         n = self.items.upsert(rows, order)
-        self._refresh(rows.select(F.col("block")))
+        self._refresh(self.items.touched)
         return n
 
     def delete(self, ids: DataFrame) -> int:
-        rows = cut(ids.select(F.col("id").cast("string").alias("id")).withColumn("block", self._block()))
-        n = self.items.delete(rows)
-        self._refresh(rows.select("block"))
+        n = self.items.delete(ids.select(F.col("id").cast("string").alias("id")))
+        self._refresh(self.items.touched)
         return n
 
-    def _refresh(self, blocks: DataFrame) -> None:
-        """Write postings and heads of the blocks' shards anew from their items."""
-        touched = [r.shard for r in blocks.select(F.pmod("block", F.lit(self.shards)).alias("shard")).distinct().collect()]  # at most all shards
-        if not touched:
+    def _refresh(self, shards: list[int]) -> None:
+        """Write the shards' postings anew from their items, dealt once by block, and their heads from the postings."""
+        if not shards:
             return
-        items = self.items.part(touched)
+        items = self.items.part(shards).select("block", "id", "dl", "text").repartition("block")
         terms = items.select("block", "id", "dl", F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("term"))
         counted = terms.groupBy("block", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        entry = F.struct("id", "tf", "dl")
-        blocked = counted.groupBy("block", "term").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        blocked = cut(blocked.withColumn("shard", F.pmod("block", F.lit(self.shards)).cast("int")).repartition("shard"))
-        for name, cols in (("postings", ["term", "block", "entries"]), ("heads", ["term", "block", "df", "max_tf", "min_dl"])):
-            blocked.select(*cols, "shard").sortWithinPartitions("shard", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{self.path}/{name}")
-        left = {r.shard for r in blocked.select("shard").distinct().collect()}
-        for shard in set(touched) - left:
+        blocked = counted.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries"))
+        self._write(blocked.withColumn("shard", F.pmod("block", F.lit(self.shards)).cast("int")), "postings")
+        # shards whose last item went get no rows, so their folders must go
+        for shard in set(shards) - {r.bucket for r in self.items.buckets_of(shards).collect()}:
             for name in ("postings", "heads"):
                 drop(self.spark, f"{self.path}/{name}/shard={shard}")
+        new = self._read("postings").where(F.col("shard").isin(shards))
+        heads = new.select("term", "block", F.size("entries").cast("long").alias("df"), F.array_max("entries.tf").alias("max_tf"), F.array_min("entries.dl").alias("min_dl"), "shard")
+        self._write(heads, "heads")
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.sortWithinPartitions("shard", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str) -> DataFrame:
         shape = "term string, block int, " + ("entries array<struct<id:string,tf:int,dl:int>>" if name == "postings" else "df long, max_tf int, min_dl int") + ", shard int"

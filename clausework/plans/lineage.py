@@ -36,7 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CONSTRAINTS, before)
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store holds it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    store, where = _store(spark, path)
+    store.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _store(spark, path)
+    return store.exists(where)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import text
-from clausework.plans.lineage import cut, drop
+from clausework.plans.lineage import cut, drop, exists
 
 BUCKETS = 64
 
@@ -19,24 +18,24 @@ class DuplicateKeyError(ValueError):
 class KeyedTable:
     """Rows by ``keys`` under ``path``, as Parquet in folders of ``bucket``.
 
-    A write is worked out and cut first, then the touched buckets are overwritten as they are committed, each whole. A write that failed
+    A write is checked and, where there are rows already, worked out and cut first; then the touched buckets are overwritten as they are committed, each whole. A write that failed
     half-way is mended by writing the same rows again, which gives the same table. One writer at a time. Null is a key like any other.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = BUCKETS):
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
-        self.empty, self.schema = spark.createDataFrame([], schema), schema
+        self.empty, self.schema, self.touched = spark.createDataFrame([], schema), schema, []
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
+    def _exists(self) -> bool:
+        return exists(self.spark, self.path)
+
     def _stored(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{self.schema}, bucket int").parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return self.empty.withColumn("bucket", F.lit(0))
-            raise
+        if not self._exists():
+            return self.empty.withColumn("bucket", F.lit(0))
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self._stored().select(self.empty.columns)
@@ -45,6 +44,10 @@ class KeyedTable:
         """Rows of some buckets, whose folders alone are read."""
         return self._stored().where(F.col("bucket").isin(buckets)).select(self.empty.columns)
 
+    def buckets_of(self, buckets: list[int]) -> DataFrame:
+        """Those of ``buckets`` that have rows."""
+        return self._stored().where(F.col("bucket").isin(buckets)).select("bucket").distinct()
+
     def find(self, keys: DataFrame) -> DataFrame:
         """Rows of these keys, from their buckets alone."""
         wanted = keys.select(*self.keys).distinct().withColumn("bucket", self.bucket())
@@ -59,33 +62,37 @@ class KeyedTable:
     def upsert(self, rows: DataFrame, order: str | None = None) -> int:
         """Put ``rows`` in place of those with their keys, of equal keys the last by ``order``; without an order equal keys are an error.
 
-        Gives the number of buckets written.
+        Gives the number of buckets written, which ``touched`` names. Rows are worked out twice: for their keys, then to be written.
         """
         new = rows
         if order is not None:
             w = Window.partitionBy(*self.keys).orderBy(F.desc_nulls_last(order), F.xxhash64(*[c for c in self.empty.columns if rows.schema[c].dataType.typeName() != "map"]))
             new = rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-        return self._replace(new.select(self.empty.columns), new.select(*self.keys))
+        new = new.select(self.empty.columns).withColumn("bucket", self.bucket())
+        return self._replace(new, new.select(*self.keys, "bucket"))
 
     def delete(self, keys: DataFrame) -> int:
-        return self._replace(self.empty, keys)
+        gone = cut(keys.select(*self.keys).distinct().withColumn("bucket", self.bucket()))
+        return self._replace(self.empty.withColumn("bucket", F.lit(0)), gone)
 
     def _replace(self, new: DataFrame, gone: DataFrame) -> int:
-        new = cut(new.withColumn("bucket", self.bucket()))
-        gone = cut(gone.select(*self.keys).withColumn("bucket", self.bucket()).distinct())
-        touched = sorted(r.bucket for r in gone.select("bucket").distinct().collect())  # at most all buckets
-        if not touched:
+        counted = gone.groupBy(*self.keys, "bucket").agg(F.count("*").alias("n"))
+        found = counted.agg(F.max_by(F.struct(*self.keys), "n").alias("key"), F.max("n").alias("n"), F.collect_set("bucket").alias("touched")).first()  # at most all buckets
+        if (found.n or 0) > 1:
+            raise DuplicateKeyError(f"two rows of the key {list(found.key)}")
+        self.touched = sorted(found.touched)
+        if not self.touched:
             return 0
-        kept = self._same(self._stored().where(F.col("bucket").isin(touched)), gone, "left_anti")
-        whole = cut(kept.unionByName(new).repartition("bucket"))
-        twice = whole.groupBy(*self.keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-        if twice:
-            raise DuplicateKeyError(f"two rows of the key {[twice[0][k] for k in self.keys]}")
-        whole.sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-        emptied = set(touched) - {r.bucket for r in whole.select("bucket").distinct().collect()}
-        for b in emptied:  # a dynamic overwrite leaves folders alone that get no rows
+        whole, left = new, set(self.touched)
+        if self._exists():
+            # the rows may come from this very table, and so do those that stay
+            kept = self._same(self._stored().where(F.col("bucket").isin(self.touched)), gone, "left_anti")
+            whole = cut(kept.unionByName(new))
+            left = {r.bucket for r in whole.select("bucket").distinct().collect()}
+        whole.repartition("bucket").sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        for b in set(self.touched) - left:  # a dynamic overwrite leaves folders alone that get no rows
             drop(self.spark, f"{self.path}/bucket={b}")
-        return len(touched)
+        return len(self.touched)
 
 
 NODE = "type string, id string, name string, contract_id long, label string, confidence double, properties string"
