@@ -15,17 +15,20 @@ def prototypes(vectors: DataFrame) -> DataFrame:
 
 
 def similarities(vectors: DataFrame, protos: DataFrame) -> DataFrame:
-    """Cosine of each vector with each prototype; the prototypes are as few as there are labels."""
-    return vectors.crossJoin(F.broadcast(protos.select(F.col("label").alias("candidate"), "prototype"))).withColumn("cosine", scores.cosine(F.col("embedding"), F.col("prototype"))).drop("prototype")
+    """Cosine of each vector with each prototype, 0 where either has no length; the prototypes are as few as there are labels. Lengths are taken once a vector."""
+    of = F.broadcast(protos.select(F.col("label").alias("candidate"), "prototype", scores.norm(F.col("prototype")).alias("__m")))
+    d = vectors.withColumn("__n", scores.norm(F.col("embedding"))).crossJoin(of)
+    length = F.col("__n") * F.col("__m")
+    return d.withColumn("cosine", F.when(length == 0, F.lit(0.0)).otherwise(F.try_divide(scores.dot(F.col("embedding"), F.col("prototype")), length))).drop("prototype", "__n", "__m")
 
 
-def classify(vectors: DataFrame, protos: DataFrame, top_k: int = 3, threshold: float = 0.3, key: str = "vec_id", digits: int = 6) -> DataFrame:
+def classify(vectors: DataFrame, protos: DataFrame, top_k: int = 3, threshold: float = 0.3, key: str | tuple[str, ...] = "vec_id", digits: int = 6) -> DataFrame:
     """The best labels of each vector above a cosine, with calibrated confidence; ties go to the lesser label.
 
     Cosines are rounded to ``digits`` first, so that ranks do not hang on the order in which a prototype's vectors were added up.
     """
     d = similarities(vectors, protos).withColumn("cosine", F.round("cosine", digits))
-    w = Window.partitionBy(key).orderBy(F.desc("cosine"), "candidate")
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc("cosine"), "candidate")
     d = d.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= top_k) & (F.col("cosine") >= threshold))
     return d.withColumn("confidence", scores.platt(F.col("cosine")))
 

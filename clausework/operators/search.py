@@ -18,22 +18,23 @@ QUERY_BLOCK, ROW_BLOCK = 2048, 16384
 def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 16) -> DataFrame:
     """query_id, id, score, rank of the k best (or all) for each query; idf is ln(1 + (N - n + 0.5) / (n + 0.5)).
 
-    Terms that no query has go before postings are counted: by a broadcast of the queries' terms if these are ``MOST_TERMS`` at most, else by a
-    join.
+    Words that no query has go first: by a broadcast of the queries' terms if these are ``MOST_TERMS`` at most, else by a join. The others are dealt
+    by document once; counts, scores and each task's best lists need no further shuffle, for terms, with their weights and queries, are broadcast again.
     """
     d = corpus.select("id", text.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     size = d.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
-    every = d.select("id", "dl", F.explode("t").alias("term"))
-    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        every = every.join(F.broadcast(wanted), "term", "left_semi")
-    hits = every.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    d = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(size))
+    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    hinted = F.broadcast if few else (lambda x: x)
+    every = d.select("id", "dl", F.explode("t").alias("term")).join(hinted(wanted), "term", "left_semi").repartition("id")
+    hits = every.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    s = d.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0").withColumn("score", F.round("score", 9))
+    weighed = df.select("term", idf.alias("idf"), "avgdl").join(terms.groupBy("term").agg(F.collect_list("query_id").alias("asks")), "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(hinted(weighed), "term").select("id", part.alias("part"), F.explode("asks").alias("query_id"))
+    s = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score > 0").withColumn("score", F.round("score", 9))
     if k is None:
         return s
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

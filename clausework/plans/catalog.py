@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.functions import dims, scores, text
+from clausework.operators import analysis as an
 from clausework.operators import caches as ca
 from clausework.operators import classify as cl
 from clausework.operators import dependency as dep
@@ -551,6 +552,34 @@ add("analysis_paths", f"""WITH RECURSIVE {_LISTS} SELECT k.contract_id, CASE WHE
   edges[1].target_label AS first_target, findings[1].label AS worst, by_category[1].labels[1].label AS first_label FROM contracts k {_OF_ALL}""")(
     lambda s, d: rp.paths(_documents(s, d), level="$.risk.level", adjustment="$.interdependency.risk_score_adjustment", first_target="$.interdependency.edges[0].target_label", worst="$.risk.findings[0].label", first_label="$.summary.by_category[0].labels[0].label"))
 
+# --- from texts to documents
+
+_TRIGRAMS = "list_transform(range(1, greatest(length({x}) - 1, 1)), lambda i: ('0x' || substring(md5(substring(lower({x}), i, 3)), 1, 4))::BIGINT % 64)"
+_HISTOGRAM = "list_transform(range(64), lambda j: len(list_filter({b}, lambda y: y = j))::DOUBLE)"
+_CLASSIFIED = f"""d AS (SELECT doc_id AS contract_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), sp AS (SELECT contract_id, regexp_split_to_array(t, '\\n\\s*\\n') AS parts FROM d),
+sk AS (SELECT contract_id, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 30) AS parts FROM sp),
+sx AS (SELECT contract_id, unnest(range(len(parts))) AS clause_index, unnest(parts) AS text FROM sk),
+cut_up AS (SELECT contract_id, CAST(clause_index AS INTEGER) AS clause_index, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS text FROM sx WHERE length(text) >= 50),
+cv AS MATERIALIZED (SELECT contract_id, clause_index, text, {_HISTOGRAM.format(b="b")} AS v FROM (SELECT *, {_TRIGRAMS.format(x="text")} AS b FROM cut_up)),
+lt AS (SELECT l.label, l.category, l.label || '. Examples: ' || coalesce(string_agg(p.pattern, ' ' ORDER BY p.pattern_ord), '') AS x FROM {D["dim_label"]} l LEFT JOIN {D["dim_pattern"]} p ON p.label = l.label GROUP BY l.label, l.category),
+lv AS MATERIALIZED (SELECT label, category, {_HISTOGRAM.format(b="b")} AS v FROM (SELECT *, {_TRIGRAMS.format(x="x")} AS b FROM lt)),
+cs AS (SELECT contract_id, clause_index, text, label, category, round(list_dot_product(cv.v, lv.v) / (sqrt(list_dot_product(cv.v, cv.v)) * sqrt(list_dot_product(lv.v, lv.v))), 6) AS cosine FROM cv CROSS JOIN lv),
+chosen AS (SELECT *, 1 / (1 + exp(-6.0540 * cosine + 2.2416)) AS confidence FROM (SELECT *, CAST(row_number() OVER (PARTITION BY contract_id, clause_index ORDER BY cosine DESC, label) AS INTEGER) AS rank FROM cs) WHERE rank <= 3 AND cosine >= 0.4)"""
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "documents").select(F.col("doc_id").alias("contract_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+
+
+add("classify_contracts", f"WITH {_CLASSIFIED} SELECT contract_id, clause_index, label, category, rank, cosine, round(confidence, 6) AS confidence FROM chosen")(
+    lambda s, d: an.classified(_texts(s, d)).select("contract_id", "clause_index", "label", "category", "rank", "cosine", F.round("confidence", 6).alias("confidence")))
+_OWN_CLAUSES = f"""{_CLASSIFIED}, clauses AS (SELECT contract_id, clause_index, label, category, confidence, text FROM (SELECT *, row_number() OVER (PARTITION BY contract_id, label ORDER BY confidence DESC, clause_index) AS rn FROM chosen WHERE rank = 1) WHERE rn = 1),
+contracts AS (SELECT DISTINCT doc_id AS contract_id FROM documents WHERE doc_id IS NOT NULL)"""
+_OWN_SCORES = f"""{_ADJUST.replace(_W, _OWN_CLAUSES)}, {_SCORE.split(_W + ",", 1)[1]}"""
+add("analyze_contracts", f"""WITH RECURSIVE {_OWN_SCORES}, raised AS (SELECT contract_id, CAST(least(100, score + coalesce(adjustment, 0)) AS INTEGER) AS score FROM scores LEFT JOIN adjustment USING (contract_id))
+SELECT contract_id, CAST((SELECT count(*) FROM clauses c WHERE c.contract_id = r.contract_id) AS VARCHAR) AS labels, CAST(score AS VARCHAR) AS score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM raised r""")(
+    lambda s, d: rp.paths(an.analyze(_texts(s, d)), labels="$.summary.labels_found", score="$.risk.score", level="$.risk.level"))
+
 # --- caches
 
 _LOG = "l AS (SELECT event_id, user_id || ':' || event_type AS k, epoch_us(ts) / 1000000.0::DOUBLE AS tm, ('0x' || substring(md5(user_id || ':' || event_type), 1, 8))::BIGINT % 4 AS shard FROM events WHERE user_id IS NOT NULL)"

@@ -375,3 +375,36 @@ def test_named_queries(spark):
     from clausework.sources import sinks
 
     assert sinks.run_named(spark, "SELECT id * :k AS x FROM given_ids WHERE id > 1", {"given_ids": spark.range(3)}, {"k": 5}).collect()[0].x == 10
+
+
+def test_analysis_from_text(spark):
+    from clausework.operators import analysis, reports
+
+    law = " ".join(dims.LABEL_PATTERNS["Governing Law"]) + " and the governing law of this contract is that of Ohio"
+    texts = [(1, f"{law}.\n\nshort\n\n{'zzzz qqqq xxxx ' * 10}\n\n{law} again."), (2, None), (3, ""), (None, law), (4, "x" * 60)]
+    contracts = spark.createDataFrame(texts, "contract_id long, text string")
+    found = analysis.classified(contracts).collect()
+    assert {r.contract_id for r in found} == {1} and {r.clause_index for r in found if r["rank"] == 1} == {0, 2}
+    assert all(r.label == "Governing Law" for r in found if r["rank"] == 1) and max(r["rank"] for r in found) <= 3
+    docs = {r.contract_id: r for r in reports.paths(analysis.analyze(contracts), n="$.summary.labels_found", first="$.clauses[0].label", score="$.risk.score").collect()}
+    assert set(docs) == {1, 2, 3, 4} and (docs[1].n, docs[1].first) == ("1", "Governing Law") and docs[2].n == "0" and int(docs[1].score) < int(docs[2].score)
+    assert analysis.analyze(contracts.where("contract_id < 0")).count() == 0
+
+
+def test_trigram_vectors(spark):
+    import hashlib
+
+    texts = ["Acme, Inc.", "", "ab", "abc", None, "Äbcé 日本語", "aaaaaaaaaa", "a\nb\x00c\\d"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for buckets in (1, 7, 64, 128):
+        got = [r.v for r in d.select(text.trigram_vector(F.col("t"), buckets).alias("v")).collect()]
+        for t, v in zip(texts, got, strict=True):
+            if t is None:
+                assert v is None or all(x is None or x == 0 for x in v)
+                continue
+            want = [0.0] * buckets
+            for i in range(len(t) - 2):
+                want[int(hashlib.md5(t.lower()[i : i + 3].encode()).hexdigest()[:4], 16) % buckets] += 1
+            assert v == want
+    with pytest.raises(ValueError, match="buckets"):
+        text.trigram_vector(F.col("t"), 129)
