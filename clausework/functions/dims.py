@@ -302,3 +302,10 @@ DIMENSIONS: dict[str, str] = {
 def dim(spark: SparkSession, name: str) -> DataFrame:
     """A dimension as a DataFrame; all are smaller than 200 rows."""
     return spark.sql(DIMENSIONS[name])
+
+
+def label_rules(spark: SparkSession) -> DataFrame:
+    """label, category, severity, requires_llm, high_risk, missing_severity (null where a lack is no risk) and the number of its patterns."""
+    missing, patterns = dim(spark, "dim_missing_rule").withColumnRenamed("severity", "missing_severity"), dim(spark, "dim_pattern").groupBy("label").count().withColumnRenamed("count", "patterns")
+    d = dim(spark, "dim_label").join(dim(spark, "dim_risk_rule").select("label", "severity", "requires_llm"), "label", "left").join(missing, "label", "left").join(patterns, "label", "left")
+    return d.selectExpr("label", "category", "severity", "requires_llm", "coalesce(severity IN ('CRITICAL', 'HIGH'), false) AS high_risk", "missing_severity", "coalesce(patterns, 0L) AS patterns")

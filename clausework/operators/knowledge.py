@@ -86,7 +86,25 @@ def cluster(entities: DataFrame, threshold: float | None = None, embedding: str
     return similarity.leader_clusters(entities, F.col("type"), own, embedding)
 
 
-KMEANS_LEAST = 20  # fixed value
+KMEANS_LEAST, KMEANS_MOST = 20, 128  # fixed values
+
+
+def kmeans_size(n: int) -> int:
+    """How many clusters n vectors are put into where none is named: the root of n, 2 at least and 128 at most; n itself where that is no fewer."""
+    return min(n, min(KMEANS_MOST, max(2, int(n**0.5))))
+
+
+def cluster_vectors(vectors: DataFrame, k: int | None = None, id_col: str = "id", vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """id and cluster by k-means; with as many clusters as rows or more, each row is its own. Rows without a usable vector are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    d = vectors.where(similarity.usable(F.col(vector))).select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    n = d.count()
+    k = kmeans_size(n) if k is None else k
+    if k >= n:
+        return d.select("id", F.col("id").cast("string").alias("cluster"))
+    return KMeans(k=k, seed=seed).fit(d).transform(d).select("id", F.col("prediction").cast("string").alias("cluster"))
 
 
 def find_duplicates(entities: DataFrame, threshold: float | None = None, embedding: str = "embedding") -> DataFrame:
@@ -136,6 +154,24 @@ def choose_canonical(entities: DataFrame, clusters: DataFrame, for_aggregation:
     return clusters.join(best, "leader_id").select(F.col("id").alias("old_id"), "canonical_id")
 
 
+def choose_named(entities: DataFrame, clusters: DataFrame, replies: DataFrame, model: str = "none") -> DataFrame:
+    """old_id, canonical_id, canonical_name: the name that a reply picks for a cluster of two or more, by the prompt of its sorted names.
+
+    The entity of that name is canonical, the first among equals; where no entity has it, the first entity takes the name. Without a reply the best name is
+    chosen as ``choose_canonical`` does. A reply is a JSON object with "canonical".
+    """
+    from clausework.operators.providers import prompt_key, with_reply
+
+    d = entities.join(clusters.select("id", "leader_id"), "id").select("leader_id", "id", "name", "ord")
+    groups = d.groupBy("leader_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n"), F.min_by("id", "ord").alias("first"))
+    said = with_reply(groups, replies, F.when(F.col("n") > 1, prompt_key(model, F.array_join("names", "\n")))).withColumn("named", F.get_json_object(text.fenced_json(F.col("reply")), "$.canonical")).select("leader_id", "first", "named")
+    of_name = d.join(said, "leader_id").where("name = named").groupBy("leader_id").agg(F.min_by("id", "ord").alias("match"))
+    best = choose_canonical(entities, clusters).join(clusters.select(F.col("id").alias("old_id"), "leader_id"), "old_id").join(said, "leader_id").join(of_name, "leader_id", "left")
+    best = best.withColumn("canonical_id", F.when(F.col("named").isNull(), F.col("canonical_id")).otherwise(F.coalesce("match", "first")))
+    names = entities.select(F.col("id").alias("canonical_id"), F.col("name").alias("own_name"))
+    return best.join(names, "canonical_id").select("old_id", "canonical_id", F.when(F.col("named").isNotNull() & F.col("match").isNull(), F.col("named")).otherwise(F.col("own_name")).alias("canonical_name"))
+
+
 def aliases(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     """canonical_id and the sorted names that it replaces."""
     d = mapping.where("old_id <> canonical_id").join(entities.select(F.col("id").alias("old_id"), "name"), "old_id")

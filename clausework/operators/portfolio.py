@@ -148,3 +148,19 @@ def upsert_entries(entries: DataFrame, computed: DataFrame) -> DataFrame:
 def riskiest(contracts: DataFrame, scores: DataFrame, first: int = 10) -> DataFrame:
     """Contracts on the list of the ``first`` highest scores."""
     return contracts.join(F.broadcast(scores.orderBy(F.desc("score"), "contract_id").limit(first).select("contract_id")), "contract_id", "left_semi")
+
+
+def compare_contracts(contracts: DataFrame, clauses: DataFrame, scores: DataFrame, values: DataFrame, a: int, b: int) -> DataFrame:
+    """One row for two contracts: contract_a, contract_b, shared_clauses, only_in_a, only_in_b (sorted), risk and clause_differences.
+
+    Raises ``UnknownContractError`` where either is not there. A label is in a list once; differences are those of ``compare_values``. No list is longer than there are labels.
+    """
+    require(contracts, a, b)
+    own = clauses.where(F.col("contract_id").isin(a, b)).groupBy("label").agg(F.bool_or(F.col("contract_id") == a).alias("in_a"), F.bool_or(F.col("contract_id") == b).alias("in_b"))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("label"))))
+    lists = own.agg(listed(F.col("in_a") & F.col("in_b")).alias("shared_clauses"), listed(F.col("in_a") & ~F.col("in_b")).alias("only_in_a"), listed(F.col("in_b") & ~F.col("in_a")).alias("only_in_b"))
+    pairs = lambda c: F.array_sort(F.map_entries(c))
+    apart = compare_values(values, a, b).agg(F.sort_array(F.collect_list(F.struct("label", pairs("values_a").alias("values_a"), pairs("values_b").alias("values_b")))).alias("clause_differences"))
+    risk = compare_risk(scores, a, b).select(F.struct("difference", "level_a", "level_b", "score_a", "score_b").alias("risk"))
+    d = lists.crossJoin(F.broadcast(risk)).crossJoin(F.broadcast(apart))
+    return d.select(F.lit(a).cast("long").alias("contract_a"), F.lit(b).cast("long").alias("contract_b"), "*")

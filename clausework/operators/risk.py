@@ -79,3 +79,16 @@ def adjust(scores_df: DataFrame, adjustment: DataFrame) -> DataFrame:
     d = scores_df.join(adjustment, "contract_id", "left").withColumn("adjustment", F.coalesce("adjustment", F.lit(0)))
     new = F.least(F.lit(100), F.col("score") + F.col("adjustment"))
     return d.select("contract_id", new.alias("score"), F.when(F.col("adjustment") > 0, scores.risk_band(new)).otherwise(F.col("level")).alias("level"), "adjustment")
+
+
+def assess(clauses: DataFrame, contracts: DataFrame) -> DataFrame:
+    """contract_id, score, level and summary of every contract."""
+    found = findings(clauses, contracts)
+    return risk_scores(found, contracts).join(summary_text(found), "contract_id", "left").select("contract_id", "score", "level", F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def exposure(clauses: DataFrame) -> DataFrame:
+    """label, category, severity, high_risk, requires_llm and in how many contracts it stands, for every label."""
+    rules = dims.label_rules(clauses.sparkSession)
+    n = clauses.groupBy("label").agg(F.count_distinct("contract_id").alias("contracts"))
+    return rules.join(n, "label", "left").select("label", "category", "severity", "high_risk", "requires_llm", "missing_severity", "patterns", F.coalesce("contracts", F.lit(0)).alias("contracts"))

@@ -805,3 +805,34 @@ def _suggested(s: SparkSession, d: str) -> DataFrame:
 
 
 add("suggested_questions", f"WITH it AS (SELECT 'd' || doc_id AS id, 'text' AS kind, coalesce(text, '') AS text FROM documents), asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM {_SUGGESTED}), {_bm_sql('it')} SELECT query_id, id, rank, score FROM bmr")(_suggested)
+_COMPARED = _SQL["contract_compare_values"].replace("SELECT a.label, a.v AS values_a, b.v AS values_b FROM m a", "SELECT a.label, a.l AS values_a, b.l AS values_b FROM ml a").replace("JOIN m b", "JOIN ml b").replace("a.v <> '' OR b.v <> ''", "len(a.l) > 0 OR len(b.l) > 0")
+_COMPARED = _COMPARED.replace("SELECT a.label, a.l", ", ml AS (SELECT contract_id, label, coalesce(list({'key': field, 'value': value} ORDER BY field) FILTER (field IS NOT NULL), []) AS l FROM k GROUP BY ALL), apart AS (SELECT a.label, a.l", 1)
+add("contract_comparison", f"""WITH {_SCORE}, {_COMPARED.split("WITH ", 1)[1]}), la AS (SELECT DISTINCT label FROM clauses WHERE contract_id = {A}), lb AS (SELECT DISTINCT label FROM clauses WHERE contract_id = {B})
+SELECT CAST({A} AS BIGINT) AS contract_a, CAST({B} AS BIGINT) AS contract_b, (SELECT coalesce(string_agg(label, '|' ORDER BY label), '') FROM (SELECT label FROM la INTERSECT SELECT label FROM lb)) AS shared_clauses,
+  (SELECT coalesce(string_agg(label, '|' ORDER BY label), '') FROM (SELECT label FROM la EXCEPT SELECT label FROM lb)) AS only_in_a, (SELECT coalesce(string_agg(label, '|' ORDER BY label), '') FROM (SELECT label FROM lb EXCEPT SELECT label FROM la)) AS only_in_b,
+  (SELECT x.score - y.score FROM scores x, scores y WHERE x.contract_id = {A} AND y.contract_id = {B}) AS difference,
+  (SELECT CAST(to_json(coalesce(list({{'label': label, 'values_a': values_a, 'values_b': values_b}} ORDER BY label), [])) AS VARCHAR) FROM apart) AS differences""")(
+    lambda s, d: pf.compare_contracts(inputs.contracts(s, d), inputs.clauses(s, d), _scores(s, d), inputs.derive(s, d, _VALUES), A, B).select("contract_a", "contract_b", *[F.array_join(c, "|").alias(c) for c in ("shared_clauses", "only_in_a", "only_in_b")], "risk.difference", F.to_json("clause_differences").alias("differences")))
+add("label_exposure", f"""WITH {_W}, n AS (SELECT label, count(DISTINCT contract_id) AS contracts FROM clauses GROUP BY label), p AS (SELECT label, count(*) AS patterns FROM {D["dim_pattern"]} x GROUP BY label)
+SELECT l.label, l.category, r.severity, coalesce(r.severity IN ('CRITICAL', 'HIGH'), false) AS high_risk, r.requires_llm, m.severity AS missing_severity, coalesce(p.patterns, 0) AS patterns, coalesce(n.contracts, 0) AS contracts
+FROM {D["dim_label"]} l LEFT JOIN {D["dim_risk_rule"]} r ON r.label = l.label LEFT JOIN {D["dim_missing_rule"]} m ON m.label = l.label LEFT JOIN n ON n.label = l.label LEFT JOIN p ON p.label = l.label""")(lambda s, d: risk.exposure(inputs.clauses(s, d)))
+add("risk_assessment", f"""WITH {_SCORE}, n AS (SELECT contract_id, {_PARTS} FROM found GROUP BY contract_id)
+SELECT contract_id, score, level, coalesce(concat_ws(' | ', CASE WHEN c > 0 THEN c || ' CRITICAL' END, CASE WHEN h > 0 THEN h || ' HIGH' END, CASE WHEN m > 0 THEN m || ' missing' END), '') AS summary FROM scores LEFT JOIN n USING (contract_id)""")(
+    lambda s, d: risk.assess(inputs.clauses(s, d), inputs.contracts(s, d)))
+
+
+def _named_by_reply(s: SparkSession, d: str) -> DataFrame:
+    """Clusters of which every second one has a reply: the last of its names, or one that no entity has."""
+    e = _named(s, d)
+    clusters = cut(kg.cluster(e, 0.8))
+    names = e.join(clusters.select("id", "leader_id"), "id").groupBy("leader_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n")).where("n > 1")
+    h = F.conv(F.substring(F.md5(F.array_join("names", "\n")), 1, 4), 16, 10).cast("int") % 4
+    said = names.withColumn("h", h).select(pv.prompt_key("none", F.array_join("names", "\n")).alias("prompt_key"), F.when(F.col("h") == 0, F.to_json(F.struct(F.element_at("names", -1).alias("canonical")))).when(F.col("h") == 1, F.lit('{"canonical": "Group of its own"}')).alias("reply"))
+    return kg.choose_named(e, clusters, said.where("reply IS NOT NULL"))
+
+
+add("canonical_by_reply", f"""{_RESOLVED}, gg AS (SELECT leader_id, list_sort(list(DISTINCT name)) AS names, count(*) AS n, arg_min(o.id, o.ord) AS first FROM m JOIN o ON o.id = m.old_id GROUP BY leader_id),
+r AS (SELECT leader_id, first, CASE WHEN n > 1 THEN CASE ('0x' || substring(md5(array_to_string(names, chr(10))), 1, 4))::BIGINT % 4 WHEN 0 THEN names[-1] WHEN 1 THEN 'Group of its own' END END AS named FROM gg),
+f AS (SELECT m.leader_id, arg_min(o.id, o.ord) AS match FROM m JOIN o ON o.id = m.old_id JOIN r ON r.leader_id = m.leader_id AND o.name = r.named GROUP BY m.leader_id),
+x AS (SELECT m.old_id, CASE WHEN named IS NULL THEN m.canonical_id ELSE coalesce(match, first) END AS canonical_id, named, match FROM m JOIN r USING (leader_id) LEFT JOIN f USING (leader_id))
+SELECT x.old_id, x.canonical_id, CASE WHEN named IS NOT NULL AND match IS NULL THEN named ELSE o.name END AS canonical_name FROM x JOIN o ON o.id = x.canonical_id""")(_named_by_reply)

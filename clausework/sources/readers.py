@@ -88,6 +88,11 @@ def read_question_answers(spark: SparkSession, path: str, least: int = 21) -> Da
     return d.where(F.char_length("answer") >= least)
 
 
+def flatten_clauses(contracts: DataFrame) -> DataFrame:
+    """text, category and contract_id of every clause of contracts with a list of clauses; contracts without any are left out."""
+    return contracts.select(F.explode("clauses").alias("c")).select("c.text", "c.category", "c.contract_id")
+
+
 def of_type(contracts: DataFrame, word: str = "NDA", column: str = "contract_type") -> DataFrame:
     return contracts.where(F.contains(F.col(column), F.lit(word)))
 
