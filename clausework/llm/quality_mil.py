@@ -2,8 +2,8 @@
 
 A document is a bag of passages of 64 words. Every passage is encoded by fixed text statistics and a trained layer; gated attention,
 learned from document labels alone, weighs the passages, and a logistic unit scores the weighted sum. The model is
-trained in numpy on at most ``max_train_docs`` labelled rows and ``max_train_passages`` passages in all: whole documents are taken in order of a hash
-while they fit, long or short. No feature looks beyond its passage. Scoring reads every passage of every text.
+trained in numpy on at most ``max_train_docs`` labelled rows, taken in order of a hash, with all passages of each, however long: the driver holds
+60 bytes a passage of these. No feature looks beyond its passage. Scoring reads every passage of every text.
 
 Empty and null texts are one passage without words and get a score. Rows of ``labels`` whose label is null are not used;
 without usable labels of both classes every score is the share of label 1 (0.5 without labels). Repeated rows score alike; input columns named like results are replaced.
@@ -26,7 +26,6 @@ QUERY = "op8_quality_classifier"
 ORACLE_SQL = None
 PASSAGE_WORDS = 64
 MAX_TRAIN_DOCS = 6000
-MAX_TRAIN_PASSAGES = 500_000
 HELD_OUT_MOD = 5
 THRESHOLD = 0.3
 HIDDEN, ATTENTION, LEAST_STEPS = 16, 8, 900
@@ -120,9 +119,10 @@ class AttentionModel:
         if len(np.unique(y)) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
-        every = np.concatenate(bags).astype(np.float64)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-        bags = [(b - self.mean) / self.scale for b in bags]
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(axis=0) for b in bags) / n) + 1e-3
+        bags = [((b - self.mean) / self.scale).astype(np.float32) for b in bags]
         r, step = np.random.default_rng(seed), 0
         epochs = max(epochs, -(-LEAST_STEPS // -(-len(bags) // batch)))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -132,7 +132,7 @@ class AttentionModel:
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
                 n = np.array([len(bags[i]) for i in own])
-                grad = self._gradient(np.concatenate([bags[i] for i in own]), np.concatenate([[0], np.cumsum(n)]), y[own])
+                grad = self._gradient(np.concatenate([bags[i] for i in own]).astype(np.float64), np.concatenate([[0], np.cumsum(n)]), y[own])
                 step += 1
                 for k, g in grad.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -156,7 +156,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % HELD_OUT_MOD == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_passages: int = MAX_TRAIN_PASSAGES, text: str = "text", label: str = "quality") -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, text: str = "text", label: str = "quality") -> AttentionModel:
     """Fit on labelled rows outside the held-out fold; labels of one id that disagree count as 1."""
     rows = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
@@ -170,13 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(y[own]), pa.array(bags, pa.binary())], names=["doc_id", "y", "x"])
 
     found = cut(joined.mapInArrow(run, "doc_id long, y double, x binary").withColumn("h", F.xxhash64("doc_id", "x")))
-    left, ends = max_train_passages, set()
-    for r in found.select("h", "doc_id", F.length("x").alias("n")).orderBy("h", "doc_id").limit(max_train_docs).collect():
-        if r.n // (4 * N_FEATURES) <= left and (r.h, r.doc_id) not in ends:
-            left -= r.n // (4 * N_FEATURES)
-            ends.add((r.h, r.doc_id))
-    some = docs.sparkSession.createDataFrame(sorted(ends), "h long, doc_id long")
-    got = found.join(F.broadcast(some), ["h", "doc_id"]).dropDuplicates(["h", "doc_id"]).select("doc_id", "y", "x").collect()
+    ends = found.select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(max_train_docs)
+    got = found.join(F.broadcast(ends), ["h", "doc_id"]).dropDuplicates(["h", "doc_id"]).select("doc_id", "y", "x").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
     return AttentionModel().fit([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got], np.array([r.y for r in got]))
 

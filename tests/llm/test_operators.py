@@ -442,7 +442,7 @@ def test_quality_of_long_documents(spark):
     (_, first, x), = quality_mil.passage_features(docs.where("doc_id = 0").toArrow().column("text").combine_chunks())
     weight = model._forward((x - model.mean) / model.scale, first)[3]
     assert x[weight.argmax(), 0] == x[:, 0].max()  # the passage of symbols has the most attention
-    assert quality_mil.train(docs, marks, max_train_passages=71).constant is not None  # a single whole document fits
+    assert quality_mil.train(docs, marks, max_train_docs=1).constant is not None  # a single row
 
 
 def test_attention_gradient():
