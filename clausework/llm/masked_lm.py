@@ -7,7 +7,7 @@ The probability of a token given its neighbours on both sides has three parts.
   depends on, a network trained in numpy learns to predict every class from those on both sides.
 * Word: a word's share of its class, by its count over all documents for the ``MOST_WORDS`` most frequent words, for rarer ones the mean share of what is left.
 * Memory: for windows of ``REACH`` words on each side, a table by word identity over the whole corpus of what stands between them. It grows with
-  the corpus and stays distributed. It holds the windows whose hash is a multiple of ``MEMORY_SHARE``, the same ones wherever they occur. A document is judged by
+  the corpus and stays distributed, and holds every window of every document. A document is judged by
   the other documents' entries alone; with n of them, of d different words, they have the weight n / (n + d), the network has the rest.
 
 A document's score is the sum of the log-probabilities of all its tokens, and that sum per token. Texts that stand in the corpus twice score higher than
@@ -41,7 +41,7 @@ TOP_WORDS = 79
 SHAPES = 16
 VOCABULARY = 1 + TOP_WORDS + SHAPES  # 0 marks a document's edge
 MOST_WORDS = 1 << 14
-REACH, MEMORY_SHARE = 2, 4
+REACH = 2
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -243,9 +243,8 @@ def remembered(docs: DataFrame, vocabulary: Vocabulary, flat: Broadcast, text: s
             for d in documents(b.column(text), lower=True):
                 key, of = vocabulary.triples(d)
                 window = windows(d)
-                own = np.flatnonzero((window & U64(MEMORY_SHARE - 1)) == 0)
-                log = network[key[own]] + vocabulary.shares(d, vocabulary.tokens(d))[own]
-                yield from sender.add(window[own], uids[d.rows][of[own]], (d.hashes[own] >> U64(32)).astype(np.uint32), np.minimum(-log * 1024, 65535).astype(np.uint16))
+                log = network[key] + vocabulary.shares(d, vocabulary.tokens(d))
+                yield from sender.add(window, uids[d.rows][of], (d.hashes >> U64(32)).astype(np.uint32), np.minimum(-log * 1024, 65535).astype(np.uint16))
         yield from sender.flush()
         blobs.release()
 

@@ -245,21 +245,19 @@ def brute_lm(rows, vocabulary, network):
             return []
         k, share, h = vocabulary.tokens(d).tolist(), vocabulary.shares(d, vocabulary.tokens(d)).tolist(), d.hashes.tolist()
         at = lambda x, i: x[i] if 0 <= i < len(x) else 0
-        kept = (masked_lm.windows(d) % masked_lm.MEMORY_SHARE == 0).tolist()
-        return [(float(network[at(k, i - 1), at(k, i + 1), k[i]]) + share[i], tuple(at(h, i + j) for j in (-2, -1, 1, 2)), h[i], kept[i]) for i in range(len(h))]
+        return [(float(network[at(k, i - 1), at(k, i + 1), k[i]]) + share[i], tuple(at(h, i + j) for j in (-2, -1, 1, 2)), h[i]) for i in range(len(h))]
 
     memory, own, known = {}, {}, {}
     for i, t in rows:
         known[i] = parts(t)
-        for _, window, word, kept in known[i]:
-            if kept:
-                memory.setdefault(window, Counter())[word] += 1
-                own.setdefault((i, window), Counter())[word] += 1
+        for _, window, word in known[i]:
+            memory.setdefault(window, Counter())[word] += 1
+            own.setdefault((i, window), Counter())[word] += 1
     out = {}
     for i, _ in rows:
         out[i] = 0.0
-        for log, window, word, kept in known[i]:
-            others = memory[window] - own[i, window] if kept else Counter()
+        for log, window, word in known[i]:
+            others = memory[window] - own[i, window]
             n, d = sum(others.values()), len(others)
             out[i] += np.log(n / (n + d) * others[word] / n + d / (n + d) * np.exp(log)) if n else log
     return out
