@@ -37,6 +37,7 @@ LENGTH, WIDTH, FUNCTIONS = 50, 5, 4
 PERCENT = 80
 SLICE_ROWS, BLOCK_ROWS = 4_000, 2_048
 FRAME_KEYS, ROUND_PAIRS, HELD_ROWS, MARK_BITS = 1 << 22, 1 << 12, 1 << 14, 11
+FREQUENT = 64
 _SEEDS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -253,11 +254,13 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
                 out.append(np.unique(rows[ok] * m + lead[ok]))
         return np.unique(np.concatenate(out))
 
-    def shingle_keys() -> tuple[np.ndarray, np.ndarray]:
-        """Keys and rows: of each window its rarest shingles, so many that two windows with enough shingles in common share one.
+    def shingle_keys() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and rows: of each window its rarest shingles, so many that two windows with enough shingles in common share one; and which of them ask nobody.
 
         Segments of similarity ``percent`` have ``least`` places in common at least. Shingles are ordered by a count of their hash's cell
-        in the group, then by hash; those that stand alone in their cell have no partner.
+        in the group, then by hash; those that stand alone in their cell have no partner. Where a window's shingles of more than ``FREQUENT``
+        windows could not make it similar to anything, even if all were shared, a partner shares a rarer one; the rarest one that they share is among the keys of both,
+        so the frequent ones need not ask. Thus windows of a template cost no pairs, as long as what they share is too little.
         """
         frame = length - WIDTH + 1
         least = -(-2 * frame * percent // (100 + percent))
@@ -265,23 +268,27 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
         for own in blocks(active):
             s, full = shingled(own)
             cells += np.bincount((mix(s ^ name[own, None]) >> U64(44)).astype(np.int64)[full], minlength=len(cells))
-        keys, whose = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        keys, whose, quiet = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for own in blocks(active):
             s, full = shingled(own)
             key = mix(s ^ name[own, None])
             n = cells[(key >> U64(44)).astype(np.int64)]
+            common = full & (n > FREQUENT)
+            enough = (100 + percent) * common.sum(axis=1) >= 2 * percent * frame
+            enough[enough] = _possible(common[enough], full[enough], length, percent)
             order = np.argsort(np.where(full, (n.astype(U64) << U64(40)) | (key & U64((1 << 40) - 1)), U64(2**64 - 1)), axis=1)
             i, k = np.nonzero(np.arange(span) <= (full.sum(axis=1) - least)[:, None])
             k = order[i, k]
             some = full[i, k] & (n[i, k] > 1)
             keys.append(key[i, k][some])
             whose.append(own[i][some])
+            quiet.append((common[i, k] & ~enough[i])[some])
         key, rows = np.concatenate(keys), np.concatenate(whose)
         order = np.lexsort((rank[rows], key))
         key, rows = key[order], rows[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (rows[1:] != rows[:-1])
-        return key[new], rows[new]
+        return key[new], rows[new], np.concatenate(quiet)[order][new]
 
     def marked(b: np.ndarray, a: np.ndarray) -> np.ndarray:
         """For each pair, places of b whose shingle a might have: all that it has, and a few more."""
@@ -386,9 +393,9 @@ def verified(name: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndar
             where[active] = np.arange(len(active))
             held = _window_shingles(*dense(active))
             held = (*held, *_marks(*held))
-        key, rows = shingle_keys()
+        key, rows, quiet = shingle_keys()
         begin, size = blobs.runs(key)
-        place, lead = np.arange(len(rows)) - np.repeat(begin, size), np.repeat(begin, size)
+        place, lead = np.where(quiet, 0, np.arange(len(rows)) - np.repeat(begin, size)), np.repeat(begin, size)
         best_first(*np.divmod(_first_pairs(rows, place, lead, open_), m))
         everyone(rows, place, lead)
     rows = np.concatenate(rows_out)

@@ -154,6 +154,28 @@ def test_one_changed_word_at_every_place():
                 assert len(rows) == 0 or (end - begin).max() >= length
 
 
+def test_templates_cost_no_pairs():
+    """Windows of a name that share too little to be similar are not compared pair by pair, and those that are similar are still found."""
+    rng = np.random.default_rng(3)
+
+    def group(m):
+        w = np.tile(rng.integers(0, 60_000, 95), (m, 1))
+        w[:, 34:61] = rng.integers(0, 60_000, (m, 27))
+        for i in range(0, m, 40):  # a near copy of the window before
+            w[i + 1] = w[i]
+            w[i + 1, [20, 75]] = 60_001, 60_002
+        return np.full(m, 7, np.uint64), np.arange(m), np.full(m, 45, np.uint8), np.arange(m) * 95, np.full(m, 95, np.uint8), w.astype(np.uint16).ravel()
+
+    seconds = []
+    for m in (1000, 4000):
+        arrays = group(m)
+        began = time.process_time()
+        rows, begin, end = passage_dedup.verified(*arrays, 50, 80)
+        seconds.append(time.process_time() - began)
+        assert set(rows.tolist()) == set(range(1, m, 40)) and (end - begin >= 50).all()
+    assert seconds[1] < 5 and seconds[1] < 12 * max(seconds[0], 0.1)
+
+
 def test_cartesian_intervals():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 2**62, 500, dtype=np.uint64)
