@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausework.functions import scores, text
+from clausework.functions import dims, scores, text
 
 
 def prototypes(vectors: DataFrame) -> DataFrame:
@@ -39,6 +39,13 @@ def split_contracts(contracts: DataFrame, least: int = 50) -> DataFrame:
     return d.where(F.char_length("text") >= least).withColumn("text", text.preview(F.col("text")))
 
 
+def label_patterns(clauses: DataFrame) -> DataFrame:
+    """label, n and patterns (joined by bars) of every label's wording, and how many clauses have the label."""
+    each = dims.dim(clauses.sparkSession, "dim_pattern").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pattern_ord", "pattern"))), lambda x: x["pattern"]), "|").alias("patterns"))
+    have = clauses.groupBy("label").agg(F.count("*").alias("clauses"))
+    return each.join(have, "label", "left").select("label", "n", "patterns", F.coalesce("clauses", F.lit(0)).alias("clauses"))
+
+
 def label_occurrence(classified: DataFrame) -> DataFrame:
     return classified.groupBy("label").agg(F.count("*").alias("n"), F.max("confidence").alias("max_confidence"), F.max_by("text", F.struct("confidence", -F.col("contract_id"), -F.col("clause_index"))).alias("best_match"))
 

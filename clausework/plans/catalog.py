@@ -103,8 +103,8 @@ add("label_occurrence", f"""WITH k AS ({inputs.CLASSIFIED}) SELECT label, count(
     lambda s, d: cl.label_occurrence(inputs.classified(s, d)))
 add("category_summary", f"WITH {_W} SELECT contract_id, category, count(*) AS n, string_agg(label, ', ' ORDER BY confidence DESC, label) AS labels FROM clauses GROUP BY contract_id, category")(
     lambda s, d: cl.category_summary(inputs.clauses(s, d)))
-add("label_patterns", f"SELECT label, count(*) AS n, string_agg(pattern, '|' ORDER BY pattern_ord) AS patterns FROM {D['dim_pattern']} p GROUP BY label")(
-    lambda s, d: dims.dim(s, "dim_pattern").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pattern_ord", "pattern"))), lambda x: x["pattern"]), "|").alias("patterns")))
+add("label_patterns", f"""WITH {_W}, p AS (SELECT label, count(*) AS n, string_agg(pattern, '|' ORDER BY pattern_ord) AS patterns FROM {D['dim_pattern']} x GROUP BY label), c AS (SELECT label, count(*) AS clauses FROM clauses GROUP BY label)
+SELECT p.label, n, patterns, coalesce(clauses, 0) AS clauses FROM p LEFT JOIN c ON c.label = p.label""")(lambda s, d: cl.label_patterns(inputs.clauses(s, d)))
 
 # --- portfolio
 
