@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; where none is named, take one in the warehouse, or on a local master a temporary one."""
+    """Keep the cluster's shared checkpoint folder; where none is named, take one in the warehouse, or on a local master a new temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and sc.master.startswith("local"):
-        shared = os.path.join(tempfile.gettempdir(), "clausework-checkpoints")
+        shared = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/clausework-checkpoints")
 
 
