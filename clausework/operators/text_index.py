@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import text
-from clausework.operators.search import K1, B
+from clausework.operators.search import K1, MOST_TERMS, B
 from clausework.plans.lineage import cut, drop
 from clausework.sources.keyed import KeyedTable
 
@@ -79,6 +79,7 @@ class TextIndex:
         sizes = self.items.read().agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
         terms = cut(queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.coalesce("text", F.lit(""))))).alias("term")))
         wanted = terms.select("term").distinct()
+        wanted = F.broadcast(wanted) if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted
         heads = cut(self._read("heads").join(wanted, "term", "left_semi").drop("shard"))
         known = heads.groupBy("term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(sizes))
         idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -88,14 +89,15 @@ class TextIndex:
         bounds = cut(known.join(heads.select("term", "block", "max_tf", "min_dl"), "term").groupBy("query_id", "block").agg(bound).withColumn("bound", F.col("bound") + 1e-6))
         w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
         first = cut(bounds.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first_blocks).select("query_id", "block"))
-        found = cut(self._score(known, first, kind, k))
+        found = cut(self._score(known, wanted, first, kind, k))
         floor = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
         rest = bounds.join(first, ["query_id", "block"], "left_anti").join(floor, "query_id", "left").where("floor IS NULL OR bound >= floor").select("query_id", "block")
-        return _best(found.drop("rank").unionByName(self._score(known, rest, kind, k).drop("rank")), k)
+        return _best(found.drop("rank").unionByName(self._score(known, wanted, rest, kind, k).drop("rank")), k)
 
-    def _score(self, known: DataFrame, where: DataFrame, kind: str | None, k: int) -> DataFrame:
+    def _score(self, known: DataFrame, wanted: DataFrame, where: DataFrame, kind: str | None, k: int) -> DataFrame:
         asked = where.join(known, "query_id")
-        hits = self._read("postings").drop("shard").join(asked, ["term", "block"]).select("query_id", "idf", "avgdl", "block", F.inline("entries"))
+        # terms that no query has go where they are read
+        hits = self._read("postings").drop("shard").join(wanted, "term", "left_semi").join(asked, ["term", "block"]).select("query_id", "idf", "avgdl", "block", F.inline("entries"))
         scored = hits.groupBy("query_id", "id", "block").agg(F.sum(F.col("idf") * _part(F.col("tf"), F.col("dl"))).alias("score")).withColumn("score", F.round("score", 9)).where("score > 0")
         if kind is not None:
             scored = scored.join(self.items.read().where(F.col("kind") == kind).select("id"), "id", "left_semi")
