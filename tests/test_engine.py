@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -228,6 +229,22 @@ def test_split(spark):
     assert len(one(spark, text.split_clauses(F.col("s")), s=t)) == 4
 
 
+def test_queries_that_split_by_blank_lines_leave_section_marks_alone(spark, tmp_path):
+    """An address at the head of a line reads like a section's number; the SQL of these queries divides by blank lines alone."""
+    from clausework.plans import catalog
+
+    long = "that goes on for long enough to be kept as a clause of its own, and then some."
+    texts = [f"First part {long}\n70.32.29.134 second part {long}\nThird part {long}", f"No mark {long}\nNor here {long}", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("clause_split", "classify_contracts"):
+        got = catalog.queries()[name](spark, str(tmp_path)).collect()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(catalog.oracle_sql()[name]).fetchall()
+        assert sorted(map(tuple, got)) == sorted(want), name
+    assert len(one(spark, text.split_clauses(F.col("s")), s=texts[0])) == 2 and len(one(spark, text.split_clauses(F.col("s"), sections=False), s=texts[0].replace("\n", "\n\n"))) == 3
+
+
 @pytest.mark.parametrize(("raw", "want"), [('x ```json\n{"a": 1}\n``` y', '{"a": 1}'), ("```\n[1]\n```", "[1]"), ('so {"a": {"b": 2}} it is', '{"a": {"b": 2}}'), ("none", "none")])
 def test_fenced_json(spark, raw, want):
     assert one(spark, text.fenced_json(F.col("s")), s=raw) == want
