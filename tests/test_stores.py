@@ -141,3 +141,42 @@ def test_vectors_of_unequal_length_and_many_blocks(spark):
             assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(-s, abs=1e-9)) for s, i in want]
         assert "n" not in got and "y" not in got
     assert se.vector_topk(vectors, asked.where("query_id = '-'"), 5).count() == 0
+
+
+def test_frequent_words_are_scored_once_for_all_queries_that_have_them(spark, tmp_path, monkeypatch):
+    items = {f"i{k:03}": ("entity" if k % 3 else "triple", f"the n{k // 2} " + ("inc" if k % 2 else "llc")) for k in range(200)}
+    asked = [(q, f"the n{q} inc") for q in range(60)] + [(70, "the"), (71, "n5"), (72, "the nobody llc")]
+    index = TextIndex(spark, str(tmp_path / "i"), blocks=6, shards=3)
+    index.upsert(spark.createDataFrame([(i, k, t) for i, (k, t) in items.items()], "id string, kind string, text string"))
+    queries, seen, whole = spark.createDataFrame(asked, "query_id long, text string"), [], TextIndex._best_of_sets
+
+    def counting(self, known, *rest):
+        seen.append(known.select("query_id").distinct().count())
+        return whole(self, known, *rest)
+
+    monkeypatch.setattr(TextIndex, "_best_of_sets", counting)
+    for kind in (None, "entity"):
+        got = {}
+        for r in index.search(queries, 5, kind, rare=8).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.id))
+        for q, t in asked:
+            own = {i: round(s, 9) for i, s in scores(items, t).items() if kind is None or items[i][0] == kind}
+            assert sorted(got.get(q, [])) == [(n + 1, i) for n, i in enumerate(sorted(own, key=lambda i: (-own[i], i))[:5])], (q, t)
+    assert seen == [3, 3]
+
+
+def test_vectors_are_searched_where_they_are_and_equal_queries_once(spark):
+    rng = random.Random(8)
+    rows = [(f"v{i}", [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(q, rows[q % 3][1]) for q in range(90)], "query_id long, embedding array<double>")
+    found = se.vector_topk(vectors, asked, 5, own=True, query_block=2, row_block=7)
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()  # vectors were dealt out once for each block of queries
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for q in range(90):
+        e = rows[q % 3][1]
+        length = math.hypot(*e)
+        near = sorted((-round(sum(a * b for a, b in zip(e, v, strict=True)) / length / math.hypot(*v), 9) + 0.0, i) for i, v in rows if any(v))
+        assert [i for _, i in sorted(got[q])] == [i for _, i in near[:5]]
