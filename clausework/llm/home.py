@@ -19,6 +19,7 @@ from clausework.llm.session import cut
 SCHEMA = "bucket int, kind int, n int, payload binary"
 NOTES, COPIES, ROWS = 0, 1, 2
 FLUSH_BYTES = 16 << 20
+VISIT_BYTES = 1 << 20
 _NAMES = ["bucket", "kind", "n", "payload"]
 
 
@@ -109,11 +110,26 @@ def gather(docs: DataFrame, copies: DataFrame, notes: DataFrame, buckets: int) -
 
 
 def visits(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, pa.RecordBatch]]:
-    """For each batch of rows: its bucket's notes, sorted by their first column, and a mark of rows that are copies."""
+    """For each group of rows: its bucket's notes, sorted by their first column, and a mark of rows that are copies.
+
+    With many buckets a payload has a few rows only, so payloads of a bucket are put together up to ``VISIT_BYTES``.
+    """
     at, held, copies, notes = None, [], [], None
+    tables: list[pa.Table] = []
+    size = 0
+
+    def group() -> Iterator[tuple[list[np.ndarray], np.ndarray, pa.RecordBatch]]:
+        nonlocal size
+        if tables:
+            for rows in pa.concat_tables(tables).combine_chunks().to_batches():
+                yield notes, np.isin(rows.column("uid").to_numpy(), same), rows
+        tables.clear()
+        size = 0
+
     for b in batches:
         for bucket, kind, n, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             if bucket != at:
+                yield from group()
                 at, held, copies, notes = bucket, [], [], None
             if kind == NOTES:
                 held.append(blobs.unpack(payload.as_py(), n, kinds))
@@ -125,6 +141,8 @@ def visits(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tupl
                     order = np.argsort(notes[0], kind="stable")
                     notes, held = [a[order] for a in notes], []
                     same = np.concatenate(copies) if copies else np.zeros(0, np.int64)
-                table = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
-                for rows in table.to_batches():
-                    yield notes, np.isin(rows.column("uid").to_numpy(), same), rows
+                tables.append(pa.ipc.open_stream(payload.as_buffer()).read_all())
+                size += tables[-1].nbytes
+                if size >= VISIT_BYTES:
+                    yield from group()
+    yield from group()

@@ -3,7 +3,7 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Strings are found in
 four steps. (1) Every string of that length is named by its least hashed 16-byte mer, so equal strings have equal names;
 names that occur in one document only are set aside. (2) For the rest, maximal runs of strings with one name are cut out
-of the texts and dealt out by name. (3) Of the runs of each share, the distinct ones are concatenated, suffix-sorted and transformed; breadth-first backward
+of the texts and dealt out by name. (3) Of the runs of each share, the distinct ones that have a string's hash in common with another are concatenated, suffix-sorted and transformed; breadth-first backward
 extension of intervals sets common-prefix values in increasing order and stops at ``length``: positions still unset
 then join suffixes that share at least ``length`` bytes. The least document of each such block decides for all its
 strings. (4) Removed intervals go back to their documents, which are cut and digested.
@@ -268,6 +268,22 @@ def least_holders(strings: np.ndarray, width: np.ndarray, holder: np.ndarray, le
     return out[where]
 
 
+def searched(strings: np.ndarray, width: np.ndarray, length: int) -> np.ndarray:
+    """Marks of the strings to search: those with ``length`` bytes whose hash stands in them or another string once more.
+
+    Equal bytes have equal hashes, so a string without a mark shares no ``length`` bytes with any other.
+    """
+    count = width - length + 1
+    row = np.repeat(np.arange(len(count)), count)
+    first = np.cumsum(width) - width
+    h = mer_hashes(strings, length)[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(row))]
+    order = np.argsort(h)
+    equal = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    out = np.zeros(len(count), dtype=bool)
+    out[row[order[equal]]] = out[row[order[equal + 1]]] = True
+    return out
+
+
 def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Blobs, by document bucket, of row, begin and end of removed bytes."""
 
@@ -295,6 +311,9 @@ def removed_intervals(runs: DataFrame, length: int, buckets: int) -> DataFrame:
         _, inverse, several = np.unique(name[lead], return_inverse=True, return_counts=True)
         mixed = several[inverse] > 1  # a name with one distinct run needs no search
         least = np.repeat(doc[lead], w)
+        if mixed.any():
+            own = np.flatnonzero(mixed)
+            mixed[own] = searched(strings[at[np.repeat(mixed, w)]], w[own], length)
         if mixed.any():
             sought = np.repeat(mixed, w)
             least[sought] = least_holders(strings[at[sought]], w[mixed], doc[lead][mixed], length)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clausework.llm import graph, html_text, kd_search, masked_lm, packing, partenum, passage_dedup, quality_mil, quality_rules, source_mix, suffix_dedup, words
+from clausework.llm import graph, home, html_text, kd_search, masked_lm, packing, partenum, passage_dedup, quality_mil, quality_rules, source_mix, suffix_dedup, words
 
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -526,6 +526,27 @@ def test_interval_expansion(seed):
         at += len(s)
 
 
+def test_lone_strings_are_not_searched():
+    rng = random.Random(5)
+    mer, shared = b"the same sixteen", b"fifty bytes that two of the strings have in common"
+    strings = [bytes(rng.randrange(256) for _ in range(40)) + mer + bytes(rng.randrange(256) for _ in range(40)) for _ in range(200)] + [shared + b"a" * 9, b"b" * 9 + shared]
+    width = np.array([len(s) for s in strings])
+    assert suffix_dedup.searched(np.frombuffer(b"".join(strings), np.uint8), width, 50).tolist() == [False] * 200 + [True] * 2
+
+
+def test_small_payloads_are_visited_together():
+    rows = [pa.RecordBatch.from_pydict({"doc_id": [i], "uid": [i], "text": ["x" * 1000]}) for i in range(3000)]
+    payloads = []
+    for r in rows:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, r.schema) as w:
+            w.write_batch(r)
+        payloads.append(sink.getvalue().to_pybytes())
+    batches = [home._batch([(i // 2900, home.ROWS, 1, p)]) for i, p in enumerate(payloads)]
+    sizes = [b.num_rows for _, _, b in home.visits(iter(batches), ["<u8"])]
+    assert len(sizes) == 4 and sizes[-1] == 100 and sum(sizes) == 3000
+
+
 @pytest.mark.parametrize("case", ["anywhere", "middle", "two", "tails", "groups"])
 def test_passage_recall(spark, case):
     """Near passages of 60 words in documents of 200 random ones: at least 95 in 100 later copies lose most of the passage."""
