@@ -170,6 +170,23 @@ def test_nested_documents(spark):
     assert reports.documents(d.where("false"), spark.createDataFrame([], "contract_id long")).count() == 0
 
 
+def test_documents_store_nothing_on_the_way(spark):
+    from pathlib import Path
+
+    from clausework.operators import reports
+
+    rows = [(1, 0, "Anti-Assignment", "a", None, None), (1, 1, "not a label", None, 0.5, "t"), (2, 0, "not a label", "b", 0.9, "t"), (None, 0, "Anti-Assignment", "a", 0.9, "t")]
+    clauses = spark.createDataFrame(rows, "contract_id long, clause_index long, label string, category string, confidence double, text string")
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.iterdir())
+    docs = reports.documents(clauses, spark.createDataFrame([(1,), (2,), (3,)], "contract_id long"))
+    got = {r.contract_id: r for r in reports.paths(docs, n="$.summary.labels_found", central="$.interdependency.centrality_scores[0].centrality", advice="$.interdependency.recommendations[0].advice").collect()}
+    assert set(folder.iterdir()) == before and set(got) == {1, 2, 3}
+    assert got[1].n == "2" and float(got[1].central) == 0.0
+    assert float(got[2].central) == 1.0 and got[2].advice == "Change with care: not a label"
+    assert (got[3].n, got[3].central) == ("0", None)
+
+
 def test_clause_extraction(spark):
     from clausework.operators import providers
 
