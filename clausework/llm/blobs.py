@@ -35,6 +35,21 @@ def unpack(payload: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
+def pack_with_ids(arrays: list[np.ndarray]) -> bytes:
+    """Like ``pack``, with the values of the second column once each, and their places in the rows."""
+    key, ids, *rest = arrays
+    own, at = np.unique(ids, return_inverse=True)
+    head = pack([own])
+    return len(own).to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + pack([key, at.astype(np.uint32), *rest])
+
+
+def unpack_with_ids(payload: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    size = 8 + int.from_bytes(payload[4:8], "little")
+    own = unpack(payload[8:size], int.from_bytes(payload[:4], "little"), kinds[1:2])[0]
+    key, at, *rest = unpack(payload[size:], n, [kinds[0], "<u4", *kinds[2:]])
+    return [key, own[at], *rest]
+
+
 def release() -> None:
     """Give freed memory back, so that idle workers hold little."""
     with contextlib.suppress(OSError, AttributeError):
@@ -49,8 +64,8 @@ def buckets_of(df: DataFrame) -> int:
 class Sender:
     """Collects entries, keys first, and gives batches of blobs."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.n = buckets, [], 0
+    def __init__(self, buckets: int, pack: Callable[[list[np.ndarray]], bytes] = pack):
+        self.buckets, self.held, self.n, self.pack = buckets, [], 0, pack
 
     def add(self, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key):
@@ -68,7 +83,7 @@ class Sender:
         arrays = [a[order] for a in arrays]
         bucket = ((arrays[0] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        rows = [(i, int(b - a), pack([x[a:b] for x in arrays])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(i, int(b - a), self.pack([x[a:b] for x in arrays])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "n", "payload"])
 
 
@@ -78,7 +93,7 @@ def deal(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n))).sortWithinPartitions("bucket", *order)
 
 
-def reduce_buckets(sent: DataFrame, kinds: list[str], start: Callable[[], tuple[Callable[..., Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]], schema: str) -> DataFrame:
+def reduce_buckets(sent: DataFrame, kinds: list[str], start: Callable[[], tuple[Callable[..., Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]], schema: str, unpack: Callable[[bytes, int, list[str]], list[np.ndarray]] = unpack) -> DataFrame:
     """``start()`` gives, for each task, a function of a bucket's entries, sorted by key, and one for the end; one bucket at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

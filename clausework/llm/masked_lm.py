@@ -15,7 +15,8 @@ others, as they should under a model of the whole corpus.
 
 Null and empty texts have no tokens and score 0. Repeated rows count as often as they occur; rows of equal id and text are one document to
 the memory. An empty corpus gives an empty result. Texts of any length are scored whole; columns named like results are replaced, others kept. Counts are exact,
-words and windows are told by 64-bit and 32-bit hashes; memory weights are summed as integers (2^-16), so that order does not matter. The
+words and windows are told by 64-bit and 32-bit hashes; a blob of windows holds each document's id once, and a task
+sends each document one sum of gains; memory weights are summed as integers (2^-16), so that order does not matter. The
 tables that reach the driver have at most VOCABULARY^3 and MOST_WORDS rows.
 """
 
@@ -237,7 +238,7 @@ def remembered(docs: DataFrame, vocabulary: Vocabulary, flat: Broadcast, text: s
     buckets = blobs.buckets_of(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, network = blobs.Sender(buckets), flat.value
+        sender, network = blobs.Sender(buckets, blobs.pack_with_ids), flat.value
         for b in batches:
             uids = b.column("uid").to_numpy(zero_copy_only=False)
             for d in documents(b.column(text), lower=True):
@@ -249,7 +250,7 @@ def remembered(docs: DataFrame, vocabulary: Vocabulary, flat: Broadcast, text: s
         blobs.release()
 
     def start() -> tuple:
-        sender = blobs.Sender(buckets)
+        sender, held = blobs.Sender(buckets), []
 
         def meet(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             window, uid, word, log = arrays
@@ -257,20 +258,33 @@ def remembered(docs: DataFrame, vocabulary: Vocabulary, flat: Broadcast, text: s
             window, uid, word, log = window[many], uid[many], word[many], log[many]
             if len(window):
                 own, gain = gains(window, uid, word, -log.astype(np.float64) / 1024)
-                yield from sender.add(uid.view(U64)[own], gain)
+                held.append(sums(uid.view(U64)[own], gain))
+            yield from ()
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from sender.add(*sums(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from sender.flush()
 
-        return meet, sender.flush
+        return meet, end
 
     def total() -> tuple:
         def work(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             uid, gain = arrays
-            begin, _ = blobs.runs(uid)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[begin].view(np.int64)), pa.array(np.add.reduceat(gain.astype(np.int64), begin))], names=["uid", "gain"])
+            own, gain = sums(uid, gain)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(gain)], names=["uid", "gain"])
 
         return work, lambda: iter(())
 
-    met = blobs.reduce_buckets(docs.mapInArrow(send, blobs.SCHEMA), ["<u8", "<i8", "<u4", "<u2"], start, blobs.SCHEMA)
-    return blobs.reduce_buckets(met, ["<u8", "<i4"], total, "uid long, gain long")
+    met = blobs.reduce_buckets(docs.mapInArrow(send, blobs.SCHEMA), ["<u8", "<i8", "<u4", "<u2"], start, blobs.SCHEMA, blobs.unpack_with_ids)
+    return blobs.reduce_buckets(met, ["<u8", "<i8"], total, "uid long, gain long")
+
+
+def sums(uid: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each uid once, with the sum of its gains."""
+    order = np.argsort(uid, kind="stable")
+    begin, _ = blobs.runs(uid[order])
+    return uid[order][begin], np.add.reduceat(gain[order].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
 
 
 def gains(window: np.ndarray, uid: np.ndarray, word: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

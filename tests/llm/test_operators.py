@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clausework.llm import graph, home, html_text, kd_search, masked_lm, packing, partenum, passage_dedup, quality_mil, quality_rules, source_mix, suffix_dedup, words
+from clausework.llm import blobs, graph, home, html_text, kd_search, masked_lm, packing, partenum, passage_dedup, quality_mil, quality_rules, source_mix, suffix_dedup, words
 
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -302,6 +302,17 @@ def test_masked_lm_tells_repeated_documents(spark):
     assert all(again[500 + i] < again[20 + i] for i in range(10) if rows[20 + i][1] != junk[i][1])  # unseen words cost more than seen ones of like shape
 
 
+def test_window_entries_hold_ids_once():
+    r = np.random.default_rng(4)
+    arrays = [np.sort(r.integers(0, 2**63, 9000).astype(np.uint64)), r.choice(r.integers(-(2**63), 2**63, 400), 9000), r.integers(0, 2**32, 9000).astype(np.uint32), r.integers(0, 2**16, 9000).astype(np.uint16)]
+    packed = blobs.pack_with_ids(arrays)
+    got = blobs.unpack_with_ids(packed, 9000, ["<u8", "<i8", "<u4", "<u2"])
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, got, strict=True))
+    assert len(packed) < 0.8 * len(blobs.pack(arrays))
+    uid, gain = masked_lm.sums(np.array([7, 3, 7], np.uint64), np.array([2**30, -5, 2**31 - 1], np.int32))
+    assert uid.tolist() == [3, 7] and gain.tolist() == [-5, 2**30 + 2**31 - 1]
+
+
 def test_masked_lm(docs, texts):
     vocabulary, network = masked_lm.fit(docs.select("text"))
     assert np.allclose(np.exp(network.astype(float)).sum(axis=2), 1, atol=1e-3)
